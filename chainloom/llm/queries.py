@@ -6,17 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .quality import quality_rules
-from .runtime import table
-
-
-def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+from .chat import OP2_SQL, op2_chat_format
+from .mixing import OP7_SQL, op7_mixing
+from .quality import op8_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {"op2_chat_format": op2_chat_format, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": OP2_SQL, "op7_mixing": OP7_SQL}
