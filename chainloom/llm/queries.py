@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP2_SQL, op2_chat_format
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op8_quality_rules
+from .token_store import op5_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules}
+    return {"op2_chat_format": op2_chat_format, "op5_token_output": op5_token_output, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
