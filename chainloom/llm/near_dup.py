@@ -238,3 +238,19 @@ reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(r.low, s.doc_id)) AS component_id, s.doc_id <= coalesce(r.low, s.doc_id) AS kept
 FROM sets s LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) r ON s.doc_id = r.x
 """
+
+
+def kept_rows(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when one document of each component does.
+    Decisions go by doc_id: an id goes when none of its rows is kept, and where a row occurs again
+    with the same id and text, one of them stays. Rows with a null doc_id stay."""
+    told = written(near_duplicates(docs, k), "near-decisions")
+    ids = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = written(ids.where("not kept").select("_id"), "near-gone")
+    few = gone.count() <= BROADCAST_IDS
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    out = row.join(F.broadcast(gone) if few else gone, F.col("own_id") == F.col("_id"), "left_anti")
+    if ids.where("kept and n > 1").head(1):
+        once = out.where("own_id is not null").select("row", "own_id", F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")).alias("digest")).dropDuplicates(["own_id", "digest"])
+        out = once.select("row").unionByName(out.where("own_id is null").select("row"))
+    return out.select("row.*")
