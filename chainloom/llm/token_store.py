@@ -18,6 +18,7 @@ chunk of its own; an empty table gives no files and an empty result; other colum
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -35,8 +36,8 @@ MAGIC = b"BPS1"
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 19
 END_ID = 1
-#: Distinct words whose ids a worker keeps; when full it starts anew.
-CACHE_WORDS = 300_000
+#: Distinct words in each generation of a worker's memory.
+CACHE_WORDS = 250_000
 CHUNKS = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -47,34 +48,73 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose pre-tokens never contain white space: a text's ids are
-    those of its white-space separated pieces, so each distinct piece is encoded once. Texts with
-    the characters on whose kind Python and the tokenizer differ are encoded as they are."""
-
+    """Ids of texts by a word tokenizer whose pre-tokens never contain white space: a text's ids are
+    those of its pieces between white space, and a piece's those of its pre-tokens, so each distinct
+    pre-token is encoded once while it is remembered. Only pieces whose characters all stand before
+    U+0180, where case, kind and normal form are the same in every Unicode version, are cut here;
+    any other piece, or text with a control character on whose kind Python differs, goes to the
+    tokenizer whole. Two generations of `cache_words` pieces bound the memory and keep the frequent."""
+
+    # Fixed value: the pre-token pattern of the tokenizer file.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     _ODD = re.compile("[\x1c-\x1f]")
+    _PLAIN = re.compile("[\x21-\u017f]*")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a worker a core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.cut = regex.compile(self.PATTERN).findall
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.cache_words = cache_words
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, token: str) -> bytes:
+        out = self.pieces.get(token)
+        if out is None:
+            if len(self.pieces) >= self.cache_words:
+                self.pieces.clear()
+            shown = token if token.isascii() else "".join(map(self.letter.__getitem__, token.encode()))
+            out = self.pieces[token] = np.array([x.id for x in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        return out
+
+    def word(self, word: str) -> bytes:
+        if (out := self.older.get(word)) is not None:
+            return out
+        if self._PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.piece, self.cut(word.lower())))
+        return self.raw(word)
 
     def __call__(self, text: str) -> bytes:
         if self._ODD.search(text):
-            return self.raw([text])[0]
+            return self.raw(text)
         words = text.split()
-        known = self.known
-        if new := list({w for w in words if w not in known}):
-            if len(known) + len(new) > self.cache_words:
-                known.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                known.update(zip(new[i : i + 4096], self.raw(new[i : i + 4096]), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        if new := set(words).difference(self.words):
+            fresh = {w: self.word(w) for w in new}
+            if len(self.words) + len(fresh) > self.cache_words:
+                kept = {w: self.words[w] for w in words if w in self.words}
+                self.older, self.words = self.words, kept
+            self.words |= fresh
+        return b"".join(map(self.words.__getitem__, words))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pack(ids: np.ndarray, unit: int = 8, block_ids: int = BLOCK_IDS, level: int = 3) -> bytes:
@@ -121,7 +161,7 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, unit: int = 8, chun
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(path)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(path)
         ids, lengths, parts, start, chunk, size = [], [], [], 0, 0, 0
         tail = struct.pack("<I", end_id)
 
