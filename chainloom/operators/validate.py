@@ -1,0 +1,95 @@
+"""Schema rules as predicates: every rule gives rows that break it, never an exception."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.canon import is_count, is_hash, is_id
+from ..sources.ledger import ZERO
+
+# The closed sets of the schema.
+OUTCOMES = ("SUCCEEDED", "FAILED", "UNKNOWN", "CANCELLED")
+AVAILABILITY = ("INCLUDED", "WITHHELD", "UNAVAILABLE")
+MAX_PARENTS, MAX_OBJECTS = 64, 16
+
+# The fields that each event kind requires, beyond run.
+REQUIRED = {
+    "RunOpened": ("intent",),
+    "StepOpened": ("step", "operation"),
+    "ObservationRecorded": ("step", "value"),
+    "StepClosed": ("step", "outcome"),
+    "DelegationOffered": ("delegation", "child", "scope"),
+    "DelegationAccepted": ("delegation", "offer", "scope"),
+    "EvidenceAttached": ("step", "format", "object"),
+    "RunClosed": ("outcome",),
+    "CorrectionNoted": ("target", "replacement", "reason"),
+}
+
+
+def violations(df: DataFrame, rules: dict[str, Column], *keys: str) -> DataFrame:
+    """keys and rule, one row for each broken rule. A rule whose value is null counts as broken."""
+    broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
+    return df.select(*keys, F.explode(F.array_compact(F.array(*broken))).alias("rule"))
+
+
+def sorted_unique(items: Column) -> Column:
+    """Whether an array stands in strictly rising order."""
+    pairs = F.zip_with(F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda a, b: a < b)
+    return (F.size(items) < 2) | F.forall(pairs, lambda x: x)
+
+
+def event_rules() -> dict[str, Column]:
+    """Rules of an event's own fields (strings as received: seq, lamport, prev, hash, source, stream, kind)."""
+    return {
+        "source": is_id(F.col("source")),
+        "stream": is_id(F.col("stream")),
+        "seq": is_count(F.col("seq").cast("string"), 1),
+        "lamport": is_count(F.col("lamport").cast("string"), 1),
+        "prev": is_hash(F.col("prev")),
+        "hash": is_hash(F.col("hash")) & (F.col("hash") != ZERO),
+        "kind": F.col("kind").isin(*REQUIRED),
+    }
+
+
+def closed_fields(kind: Column, present: Column) -> Column:
+    """Whether the array of field names present is exactly what the kind requires."""
+    rule = F.lit(False)
+    for name, fields in REQUIRED.items():
+        want = F.array(*[F.lit(f) for f in ("run", *fields)])
+        rule = F.when(kind == name, (F.size(F.array_except(want, present)) == 0) & (F.size(F.array_except(present, want)) == 0)).otherwise(rule)
+    return rule
+
+
+def step_closed_rule() -> Column:
+    """A step that succeeded or failed names an observation; any other names none."""
+    return (F.col("kind") != "StepClosed") | (F.col("outcome").isin("SUCCEEDED", "FAILED") == F.col("observation").isNotNull())
+
+
+def cut_rule() -> Column:
+    return (F.col("through") == 0) == (F.col("head") == ZERO)
+
+
+def inventory_rule() -> Column:
+    return F.col("availability").isin(*AVAILABILITY) & ((F.col("kind") == "object") | (F.col("availability") == "INCLUDED"))
+
+
+def pin_rule() -> Column:
+    scoped = F.col("source").isNotNull() & F.col("stream").isNotNull()
+    return F.when(F.col("role") == "origin", scoped).otherwise(F.col("source").isNull() & F.col("stream").isNull()) & (F.col("first") <= F.col("last"))
+
+
+def backup_path_rule(path: Column) -> Column:
+    """Relative ASCII paths without empty, `.` or `..` parts or backslashes."""
+    parts = F.split(path, "/")
+    return path.rlike(r"^[\x21-\x5B\x5D-\x7E]+$") & ~path.startswith("/") & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
+
+
+def lineage_request_rule(max_nodes: int, max_depth: int) -> bool:
+    return 1 <= max_nodes <= 20_000 and 1 <= max_depth <= 4096
+
+
+def within_limits(df: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """limit, most of the array columns that pass a bound."""
+    sizes = df.agg(*[F.max(F.size(c)).alias(c) for c in limits])
+    return sizes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("limit"), F.col(c).alias("most"), F.lit(n).alias("bound")) for c, n in limits.items()])).alias("x")).select("x.*").where("most > bound")
