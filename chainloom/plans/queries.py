@@ -227,14 +227,10 @@ def gap_blocked(spark, d):
     return graph.gap_blocked(*load(spark, d))
 
 
-@query("WITH RECURSIVE links AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % 500 AS dst FROM lineitem WHERE l_partkey < 500 AND l_linenumber = 1), reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON l.src = r.dst), cyc AS (SELECT src AS node FROM reach WHERE src = dst) SELECT node FROM cyc UNION SELECT r.dst FROM reach r JOIN cyc c ON c.node = r.src")
+@query("WITH RECURSIVE links AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % 500 AS dst FROM lineitem WHERE l_partkey < 500 AND l_linenumber = 1), reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON l.src = r.dst), cyc AS (SELECT src AS node FROM reach WHERE src = dst) SELECT node FROM cyc UNION SELECT r.dst FROM reach r JOIN cyc c ON c.node = r.src JOIN reach t ON t.src = r.dst JOIN cyc e ON e.node = t.dst")
 def cycle_members(spark, d):
     rows = table(spark, d, "lineitem").where("l_partkey < 500 and l_linenumber = 1")
-    return graph.cycle_members(_pruned(rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("dst"))))
-
-
-def _pruned(links: DataFrame) -> DataFrame:
-    return links.distinct()
+    return graph.cycle_members(rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("dst")))
 
 
 @query()

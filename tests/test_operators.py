@@ -1,0 +1,120 @@
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from chainloom.operators import audit, chain, graph, inventory, replay, store, trust, validate
+from chainloom.plans.queries import run_events
+from chainloom.sources import tables
+from chainloom.sources.ledger import ZERO, from_events, table
+from chainloom.streaming.ordered_replay import streaming_replay
+
+DATA = "/root/testdata/sf0.001"
+DIAMOND = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_diamond_closure_and_limits(spark):
+    links = frame(spark, DIAMOND, "src string, dst string")
+    got = {(r.node, r.depth) for r in graph.ancestors(links, frame(spark, [("d",)], "node string")).collect()}
+    assert got == {("d", 0), ("b", 1), ("c", 1), ("a", 2)}
+    with pytest.raises(graph.LimitError):
+        graph.ancestors(links, frame(spark, [("d",)], "node string"), max_depth=1)
+    with pytest.raises(graph.LimitError):
+        graph.ancestors(links, frame(spark, [("d",)], "node string"), max_nodes=3)
+    long = frame(spark, [(str(i), str(i + 1)) for i in range(30)] + [("0", "30")], "src string, dst string")
+    depth = {r.node: r.depth for r in graph.ancestors(long, frame(spark, [("30",)], "node string")).collect()}
+    assert depth["0"] == 1 and depth["1"] == 29 and len(depth) == 31
+
+
+def test_topological_order_and_cycles(spark):
+    nodes = frame(spark, [("g", x) for x in "abcdexy"], "component string, node string")
+    links = frame(spark, [*DIAMOND, ("x", "y"), ("y", "x"), ("x", "e")], "src string, dst string")
+    got = [r.node for r in graph.topological_order(nodes, links).orderBy("position").collect()]
+    assert got == ["a", "b", "c", "d", "e", "x", "y"]
+    assert {r.node for r in graph.cycle_members(links).collect()} == {"x", "y"}
+    assert graph.cycle_members(frame(spark, DIAMOND, "src string, dst string")).count() == 0
+
+
+def test_findings_of_a_small_history(spark):
+    rows = [("s", "m", 1, ZERO, "h1", 1), ("s", "m", 2, "h1", "h2", 2), ("s", "m", 2, "h1", "h2b", 2), ("s", "m", 4, "h3", "h4", 3), ("s", "n", 1, "h1", "n1", 2), ("t", "m", 3, "x", "t3", 9)]
+    ledger = frame(spark, rows, "source string, stream string, seq long, prev string, hash string, lamport long").withColumn("kind", F.lit("k"))
+    parents = frame(spark, [("n1", "s", "m", 1, "h1"), ("h2", "t", "m", 3, "t3"), ("h4", "s", "m", 4, "h4")], "child string, source string, stream string, seq long, hash string")
+    codes = sorted(r.code for r in chain.chain_findings(ledger, parents).collect())
+    assert codes == ["PARENT_MISSING", "PARENT_MISSING", "PREFIX_MISSING", "PREFIX_MISSING", "PREV_MISMATCH", "SOURCE_FORK"]
+    strict = {r.child: r.ok for r in chain.parent_check(ledger, parents, strict_source=True).collect()}
+    assert strict == {"n1": True, "h2": True, "h4": False}
+    cuts = {(r.source, r.stream): (r.through, r.head) for r in chain.cuts(ledger).collect()}
+    assert cuts == {("s", "m"): (4, "h4"), ("s", "n"): (1, "n1"), ("t", "m"): (3, "t3")}
+
+
+def test_legal_outcomes():
+    ok = replay.legal_outcome
+    assert ok("SUCCEEDED", ["SUCCEEDED"]) and not ok("SUCCEEDED", []) and not ok("SUCCEEDED", ["SUCCEEDED", "FAILED"])
+    assert ok("FAILED", ["FAILED", "UNKNOWN"]) and not ok("UNKNOWN", ["FAILED", "UNKNOWN"]) and ok("CANCELLED", ["CANCELLED", "SUCCEEDED"]) and not ok("CANCELLED", [None, "CANCELLED"])
+
+
+def test_trust(spark):
+    schema = "role string, source string, stream string, key string, first long, last long, status string"
+    pins = frame(spark, [("origin", "s", "m", "k", 1, 9, "ACTIVE"), ("origin", "s", "m", "k", 20, 30, "ACTIVE"), ("audit", None, None, "a", 1, 5, "ACTIVE")], schema)
+    records = frame(spark, [("s", "m", 9, "k"), ("s", "m", 25, "k"), ("s", "m", 1, "z"), ("s", "q", 1, "k")], "source string, stream string, seq long, key string")
+    assert [r.key_code for r in trust.key_check(records, pins).orderBy("stream", "key", "seq").collect()] == ["OK", "KEY_INTERVAL", "KEY_UNPINNED", "KEY_UNPINNED"]
+    heads = frame(spark, [("origin", "s", "m", 3, "h"), ("origin", "s", "m", 3, "g")], "role string, source string, stream string, seq long, hash string")
+    assert {r.problem for r in trust.trust_problems(pins, heads).collect()} == {"head conflict"}
+    bad = pins.unionByName(frame(spark, [("origin", "s", "m", "a", 5, 6, "ACTIVE")], schema))
+    assert {r.problem for r in trust.trust_problems(bad, heads.limit(1)).collect()} == {"interval overlap", "key in two roles"}
+    checked = trust.audit_key_check(frame(spark, [(6, "a"), (2, "a")], "seq long, key string"), pins)
+    assert {(r.seq, r.key_code) for r in checked.collect()} == {(6, "KEY_INTERVAL"), (2, "OK")}
+
+
+def test_validation(spark):
+    df = frame(spark, [("RunOpened", ["run", "intent"], [1, 2]), ("StepOpened", ["run", "step"], [2, 1]), ("Other", ["run"], [1, 1])], "kind string, present array<string>, items array<int>")
+    out = validate.violations(df, {"fields": validate.closed_fields(F.col("kind"), F.col("present")), "order": validate.sorted_unique(F.col("items"))}, "kind")
+    assert {(r.kind, r.rule) for r in out.collect()} == {("StepOpened", "fields"), ("StepOpened", "order"), ("Other", "fields"), ("Other", "order")}
+    paths = frame(spark, [("a/b",), ("/a",), ("a/../b",), ("a\\b",), ("a//b",), ("é",)], "p string")
+    assert [r[0] for r in paths.select(validate.backup_path_rule(F.col("p"))).collect()] == [True, False, False, False, False, False]
+    assert validate.within_limits(df, {"items": 1}).count() == 1
+
+
+def test_publish_and_objects(spark):
+    root = tempfile.mkdtemp(prefix="chainloom-test-")
+    clean = from_events(table(spark, DATA, "events")).drop("user_id")
+    store.publish(root, clean.where("seq <= 2"), 1, 0)
+    store.publish(root, clean.where("seq = 3"), 2, 1)
+    assert tables.latest_revision(spark, root) == 2
+    assert tables.published_events(spark, root, 1).count() == clean.where("seq <= 2").count()
+    with pytest.raises(tables.RevisionConflict):
+        store.publish(root, clean, 2, 1)
+    docs = table(spark, DATA, "documents").select(F.col("text").cast("binary").alias("content"))
+    tables.write_objects(docs, f"{root}/objects")
+    back = tables.read_objects(spark, f"{root}/objects")
+    assert back.count() == docs.distinct().count() and back.where("not intact").count() == 0
+    tables.write_bundle(f"{root}/bundle", events=clean, cuts=chain.cuts(clean))
+    assert tables.read_bundle(spark, f"{root}/bundle", ("events", "cuts"))["events"].count() == clean.count()
+    assert inventory.evidence_root(clean.select(F.lit("event").alias("kind"), F.col("hash").alias("digest"))).count() == 1
+
+
+def test_streaming_replay_equals_batch(spark):
+    root = tempfile.mkdtemp(prefix="chainloom-test-")
+    events = run_events(spark, DATA).where("stream in ('c1', 'c2', 'c4', 'c5', 'c7')").cache()
+    parts = events.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(4)))
+    for k in range(4):  # every part has holes that later parts fill
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{root}/in/part={k}")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
+    q = streaming_replay(source).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.stream, r.seq): r.code for r in spark.read.parquet(f"{root}/out").collect()}
+    want = {(r.stream, r.seq): r.code for r in replay.replay(events).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_audit_of_a_good_log(spark):
+    rows = [("w", 1, ZERO, "a", "WorkspaceCreated", 0, None, None), ("w", 2, "a", "b", "SourceRegistered", 1, None, "s"), ("w", 3, "b", "c", "ImportStaged", None, "t", None), ("w", 4, "c", "d", "ImportCommitted", 2, "t", None)]
+    log = frame(spark, rows, "workspace string, seq long, prev string, hash string, kind string, revision long, stage string, source_id string").withColumn("evidence", F.lit("e"))
+    assert audit.audit_chain(log).count() == 0 and audit.audit_semantics(log).count() == 0
+    twice = log.unionByName(log.where("seq = 4").withColumn("seq", F.lit(5).cast("long")))
+    assert {r.reason for r in audit.audit_semantics(twice).collect()} == {"stage not open", "revision"}
