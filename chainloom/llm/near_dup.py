@@ -1,19 +1,21 @@
 """MinHash near-dedup (operator 4): chosen-path set similarity join.
 
 A document's set is its distinct word shingles; its signature holds the minimum of the set under
-`COORDS` hash functions. Equal sets form one class, and classes are joined. Each of TREES independent
-trees begins with one node for each value of one coordinate. A node is
-  - dropped, when it has one class or only classes that are linked already;
-  - compared exhaustively by signature, when it has at most SMALL classes;
-  - otherwise thinned by pivots (a few of its classes are compared with all its others, which takes
-    linear work, and leave it) and branched: each class goes to the children named by its values at
-    BRANCHES coordinates that the node's path chooses.
+`COORDS` hash functions, and the low byte of it under `BYTES` more. Equal sets form one class, and
+classes are joined. Each of TREES independent trees begins with one node for each value of one
+coordinate. At every level
+  - a node with one class, or only classes that are linked already, is dropped;
+  - in every other node one pivot is compared with all classes, which takes linear work and connects
+    large groups of near copies without expanding them into pairs;
+  - a node of at most SMALL classes, of which some are still not linked, is then compared exhaustively,
+    and only likely pairs of classes that are not linked leave it;
+  - a larger one is branched: each class goes to the children named by its values at BRANCHES
+    coordinates that the node's path chooses.
 A pair of similarity s survives a branching with expectation s * BRANCHES > 1 above the threshold, and
-pairs well below it die out. Candidate pairs are confirmed on full shingle sets, and confirmed links
-are merged into components, which prunes what the next level compares: a large group of near copies
-is connected by its pivots and is not expanded into pairs. From level MAX_LEVELS on nodes are only
-thinned by pivots until they are small, so nothing is left out. A pair at the threshold is missed by
-one tree with probability under 0.34, by all ten under 2e-5.
+pairs well below it die out. Comparison is by signature; likely pairs are confirmed on full shingle
+sets, and confirmed links are merged into components, which prunes what follows. From level
+MAX_LEVELS on nodes are thinned by their pivots alone until they are small, so nothing is left out. A
+pair at the threshold is missed by one tree with probability under 0.34, by all ten under 2e-5.
 
 Classes, links and components stay in tables; a lost executor repeats tasks of written inputs only.
 
@@ -34,16 +36,17 @@ from .runtime import map_batches, string_column, table, written
 
 WORDS = 5  # in a shingle
 NUMERATOR, DENOMINATOR = 75, 100
-TREES, COORDS, BRANCHES = 10, 40, 2
-SMALL, PIVOTS, MAX_LEVELS = 32, 4, 10
-#: Equal coordinates from which a pair is confirmed on full sets: a pair at the threshold has 30 in the mean, and fewer than this with probability 1e-5.
-LIKELY = 18
+TREES, COORDS, BYTES, BRANCHES = 10, 40, 96, 2
+SMALL, MAX_LEVELS = 2000, 6
+#: Equal coordinates from which a pair is confirmed on full sets, of the COORDS and of all. A pair at the threshold has 30 and 102 in the mean, and fewer than these with probabilities of about 1e-6 and 3e-6.
+LOOSE, LIKELY = 16, 79
 #: Up to so many ids are broadcast to fetch texts (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(4)
-_A = (_rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
+_A = (_rng.integers(0, 1 << 63, COORDS + BYTES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_B = _rng.integers(0, 1 << 63, COORDS + BYTES, dtype=np.uint64)
+_WIDTH = 4 * COORDS + BYTES
 
 
 def _sets(column: pa.Array, k: int):
@@ -62,11 +65,14 @@ def _key(own: np.ndarray) -> bytes:
 
 
 def _signature(own: np.ndarray) -> bytes:
-    out = np.empty(COORDS, np.uint32)
+    out = np.full(COORDS + BYTES, 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
-        for c in range(COORDS):
-            out[c] = ((own * _A[c] + _B[c]) >> np.uint64(32)).min()
-    return out.tobytes()
+        for i in range(0, len(own), 1024):
+            x = own[i : i + 1024, None] * _A
+            x += _B
+            np.minimum(out, x.min(0), out=out)
+    out >>= np.uint64(24)
+    return (out[:COORDS] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (out[COORDS:] & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -84,36 +90,49 @@ def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return map_batches(rows, run, "doc_id long, n_shingles long, class binary, sig binary")
 
 
-def _coords(column: pa.Array) -> np.ndarray:
-    data, _ = kernel.buffers(column)
-    offset = kernel.buffers(column)[1][0]
-    return data[offset : offset + 4 * COORDS * len(column)].view(np.uint32).reshape(-1, COORDS)
+def _split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and bytes of signatures that stand one after another."""
+    rows = data.reshape(-1, _WIDTH)
+    return np.ascontiguousarray(rows[:, : 4 * COORDS]).view(np.uint32), rows[:, 4 * COORDS :]
 
 
-def _likely_in_node(nodes: DataFrame) -> DataFrame:
-    """Exhaustive comparison by signature within nodes of at most SMALL classes: class, sig arrays."""
+def _column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = kernel.buffers(column)
+    return _split(data[at[0] : at[-1]])
+
+
+def _likely_in_nodes(nodes: DataFrame) -> DataFrame:
+    """Likely pairs of classes with different labels in nodes of at most SMALL. nodes: members."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = [], []
         for row in range(batch.num_rows):
-            members = batch.column(0)[row].as_py()
-            sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint32).reshape(-1, COORDS)
-            a, b = np.triu_indices(len(members), 1)
-            near = (sig[a] == sig[b]).sum(1) >= LIKELY
-            for x, y in zip(a[near], b[near], strict=True):
-                p, q = members[x]["class"], members[y]["class"]
-                left.append(min(p, q))
-                right.append(max(p, q))
+            members = batch.column(0)[row].values
+            keys = members.field("class").to_pylist()
+            labels = np.unique(np.array(members.field("label").to_pylist(), object).astype("S16"), return_inverse=True)[1]
+            coords, low = _column(members.field("sig"))
+            n = len(keys)
+            equal = np.zeros((n, n), np.uint8)
+            for c in range(COORDS):
+                equal += coords[:, c, None] == coords[None, :, c]
+            a, b = np.nonzero(np.triu(equal >= LOOSE, 1) & (labels[:, None] != labels[None, :]))
+            for i in range(0, len(a), 4096):
+                x, y = a[i : i + 4096], b[i : i + 4096]
+                near = equal[x, y] + (low[x] == low[y]).sum(1) >= LIKELY
+                for p, q in zip(x[near], y[near], strict=True):
+                    left.append(min(keys[p], keys[q]))
+                    right.append(max(keys[p], keys[q]))
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     return map_batches(nodes, run, "a binary, b binary")
 
 
 def _likely(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) that agree in LIKELY coordinates."""
+    """The likely ones of pairs (a, b, x, y), x and y their signatures."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = (_coords(batch.column(2)) == _coords(batch.column(3))).sum(1) >= LIKELY
+        (p, x), (q, y) = _column(batch.column(2)), _column(batch.column(3))
+        near = (p == q).sum(1) + (x == y).sum(1) >= LIKELY
         return batch.select(["a", "b"]).filter(pa.array(near))
 
     return map_batches(pairs, run, "a binary, b binary")
@@ -173,31 +192,50 @@ def _coordinate(c: Column) -> Column:
     return F.substring(F.col("sig"), c * 4 + 1, F.lit(4))
 
 
+class _Links:
+    """Confirmed links so far, and the root of every linked class."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
+        self.docs, self.classes, self.k = docs, classes, k
+        self.links = self.roots = None
+
+    def add(self, likely: DataFrame) -> None:
+        pairs = written(likely.distinct(), "near-pairs")
+        if self.roots is None or pairs.head(1):
+            found = written(confirm(pairs, self.docs, self.classes, self.k), "near-links")
+            self.links = found if self.links is None else self.links.union(found)
+            self.roots = written(components(self.links), "near-roots")
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """rows with the root of their class as label, of nodes with more than one label; n: their size."""
+        if self.roots is None:
+            rows = rows.withColumn("label", F.col("class"))
+        else:
+            rows = rows.join(self.roots, "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
+        size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node", "n")
+        return rows.join(size, "node")
+
+
 def similar_classes(docs: DataFrame, classes: DataFrame, k: int = WORDS) -> DataFrame:
     """class, root for the classes that are linked with another. classes: class, first_id, sig."""
-    spark = docs.sparkSession
+    known, level = _Links(docs, classes, k), 0
+    signed = classes.select("class", "sig")
     roots = [F.xxhash64(F.lit(t), _coordinate(F.lit(t))) for t in range(TREES)]
     nodes = classes.select("class", F.explode(F.array(*roots)).alias("node"))
-    links, labels, level = None, None, 0
     while True:
-        labelled = nodes.withColumn("label", F.col("class")) if labels is None else nodes.join(labels, "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
-        size = labelled.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low <> high").select("node", "n")
-        live = written(labelled.join(size, "node").join(classes.select("class", "sig"), "class"), "near-nodes")
-        small = live.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("class", "sig")).alias("members"))
-        near = _likely_in_node(small.select("members"))
-        big = live.where(F.col("n") > SMALL)
-        picks = big.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("node", "class", F.lit(p)).alias("h"), "class", "sig", "label")).alias(f"p{p}") for p in range(PIVOTS)])
-        picks = picks.select("node", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{p}.{x}").alias(x) for x in ("class", "sig", "label")]) for p in range(PIVOTS)]))).alias("pivot"))
-        picks = written(picks.select("node", *[F.col(f"pivot.{x}").alias(f"pivot_{x}") for x in ("class", "sig", "label")]), "near-pivots")
-        star = big.join(picks, "node").where("label <> pivot_label")
-        near = near.union(_likely(star.select(F.least("class", "pivot_class").alias("a"), F.greatest("class", "pivot_class").alias("b"), F.when(F.col("class") < F.col("pivot_class"), F.col("sig")).otherwise(F.col("pivot_sig")).alias("x"), F.when(F.col("class") < F.col("pivot_class"), F.col("pivot_sig")).otherwise(F.col("sig")).alias("y"))))
-        near = written(near.distinct(), "near-pairs")
-        found = written(confirm(near, docs, classes, k), "near-links")
-        links = found if links is None else links.union(found)
-        labels = written(components(links), "near-roots")
-        rest = big.join(picks.select("node", F.col("pivot_class").alias("class")), ["node", "class"], "left_anti").select("node", "class", "sig")
+        live = written(known.label(nodes).drop("n", "label").join(signed, "class"), "near-nodes")
+        pivots = live.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "class").alias("h"), "class", "sig")).alias("p"))
+        pivots = written(pivots.select("node", F.col("p.class").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "near-pivots")
+        star = live.join(pivots, "node").where("class <> pivot")
+        lower = F.col("class") < F.col("pivot")
+        known.add(_likely(star.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"), F.when(lower, F.col("sig")).otherwise(F.col("pivot_sig")).alias("x"), F.when(lower, F.col("pivot_sig")).otherwise(F.col("sig")).alias("y"))))
+        open_ = known.label(live)
+        small = open_.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("class", "label", "sig")).alias("members"))
+        known.add(_likely_in_nodes(small.select("members")))
+        rest = known.label(live).where(F.col("n") > SMALL).join(pivots.select("node", F.col("pivot").alias("class")), ["node", "class"], "left_anti")
+        rest = written(rest.select("node", "class", "sig"), "near-rest")
         if not rest.head(1):
-            return labels
+            return known.roots
         level += 1
         if level < MAX_LEVELS:
             at = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS - TREES)).cast("int") + TREES for j in range(BRANCHES)]

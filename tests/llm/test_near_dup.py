@@ -42,7 +42,7 @@ def test_edges(spark, odd_docs):
 
 
 def test_large_group_of_near_copies_and_a_shared_passage(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 6)
+    monkeypatch.setattr(near_dup, "SMALL", 40)
     rng = np.random.default_rng(3)
     word = lambda: "w%d" % rng.integers(0, 10**6)
     base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
