@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, string_column, table
+from .runtime import map_batches, smallest, string_column, table
 
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.95
@@ -232,7 +232,7 @@ def _told(spans: list[tuple[int, int, int]]) -> str:
 def fit(docs: DataFrame, sample_rows: int = 3000, seed: int = 3) -> Field | None:
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), string_column(docs, "text").alias("text"))
     rows = rows.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= SAMPLE_CHARS))
-    rows = rows.orderBy(F.xxhash64("id", "text", F.lit(seed)), "id", "text").limit(sample_rows)
+    rows = smallest(rows.withColumn("h", F.xxhash64("id", "text", F.lit(seed))), "h", sample_rows, "id", "text")
     return train([r.text for r in rows.collect()])
 
 
