@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .runtime import map_batches, string_column, table
+from .runtime import map_batches, smallest, string_column, table
 
 WINDOW = 64
 HIDDEN = 8
@@ -186,7 +186,8 @@ def fit(docs: DataFrame, sample_rows: int = 4000, per_row: int = 3, seed: int =
     rows = rows.where("id is not null and lang is not null and text is not null and pmod(crc32(cast(id as binary)), 4) <> 2")
     room = F.greatest(F.char_length("text") - WINDOW, F.lit(0)) + 1
     parts = [F.substring("text", (F.pmod(F.xxhash64("id", F.lit(k + 100 * seed)), room) + 1).cast("int"), F.lit(WINDOW)).alias(f"w{k}") for k in range(per_row)]
-    rows = rows.select("id", F.xxhash64("id", F.lit(seed)).alias("h"), "lang", *parts).orderBy("h", "id", "lang", *[f"w{k}" for k in range(per_row)]).limit(sample_rows).collect()
+    rows = rows.select("id", F.xxhash64("id", F.lit(seed)).alias("h"), "lang", *parts)
+    rows = smallest(rows, "h", sample_rows, "id", "lang", *[f"w{k}" for k in range(per_row)]).collect()
     texts = [(r[f"w{k}"].encode()[:WINDOW], r.lang) for r in rows for k in range(per_row) if r[f"w{k}"]]
     if not texts:
         return None
