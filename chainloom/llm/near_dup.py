@@ -7,8 +7,10 @@ coordinate. At every level
   - a node with one class, or only classes that are linked already, is dropped;
   - in every other node one pivot is compared with all classes, which takes linear work and connects
     large groups of near copies without expanding them into pairs;
-  - a node of at most SMALL classes, of which some are still not linked, is then compared exhaustively,
-    and only likely pairs of classes that are not linked leave it;
+  - a node of at most SMALL classes, of which some are still not linked, is then compared exhaustively:
+    by signature for the classes that have a likely partner with another label, then on the full sets
+    of these, likeliest pairs first, where a pair that others already connect is passed over. So what
+    leaves a node is fewer links than it has classes, never its pairs;
   - a larger one is branched: each class goes to the children named by its values at BRANCHES
     coordinates that the node's path chooses.
 A pair of similarity s survives a branching with expectation s * BRANCHES > 1 above the threshold, and
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -37,9 +39,11 @@ from .runtime import map_batches, string_column, table, written
 WORDS = 5  # in a shingle
 NUMERATOR, DENOMINATOR = 75, 100
 TREES, COORDS, BYTES, BRANCHES = 10, 40, 96, 2
-SMALL, MAX_LEVELS = 2000, 6
+SMALL, PIVOTS, MAX_LEVELS = 2000, 32, 6
 #: Equal coordinates from which a pair is confirmed on full sets, of the COORDS and of all. A pair at the threshold has 30 and 102 in the mean, and fewer than these with probabilities of about 1e-6 and 3e-6.
 LOOSE, LIKELY = 16, 79
+#: Sets of one node that stand side by side in a task; nodes with more are thinned by PIVOTS pivots at a time.
+NODE_BYTES = 64_000_000
 #: Up to so many ids are broadcast to fetch texts (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -101,27 +105,75 @@ def _column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _split(data[at[0] : at[-1]])
 
 
-def _likely_in_nodes(nodes: DataFrame) -> DataFrame:
-    """Likely pairs of classes with different labels in nodes of at most SMALL. nodes: members."""
+def _likely_pairs(members: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers a < b of likely pairs with different labels, their equal coordinates, and the labels
+    as numbers. members: struct (class, label, sig, ...)."""
+    labels = np.unique(np.array(members.field("label").to_pylist(), "S16"), return_inverse=True)[1]
+    coords, low = _column(members.field("sig"))
+    equal = np.zeros((len(labels), len(labels)), np.uint8)
+    for c in range(COORDS):
+        equal += coords[:, c, None] == coords[None, :, c]
+    a, b = np.nonzero(np.triu(equal >= LOOSE, 1) & (labels[:, None] != labels[None, :]))
+    score = np.zeros(len(a), np.int64)
+    for i in range(0, len(a), 8192):
+        x, y = a[i : i + 8192], b[i : i + 8192]
+        score[i : i + 8192] = equal[x, y] + (low[x] == low[y]).sum(1)
+    near = score >= LIKELY
+    return a[near], b[near], score[near], labels
+
+
+def _with_partner(nodes: DataFrame) -> DataFrame:
+    """node, class, label of the classes that have a likely partner with another label in their node."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, key, label = [], [], []
+        for row in range(batch.num_rows):
+            members = batch.column(1)[row].values
+            a, b, _, _ = _likely_pairs(members)
+            some = pa.array(np.union1d(a, b))
+            key += members.field("class").take(some).to_pylist()
+            label += members.field("label").take(some).to_pylist()
+            node += [batch.column(0)[row].as_py()] * len(some)
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(key, pa.binary()), pa.array(label, pa.binary())], ["node", "class", "label"])
+
+    return map_batches(nodes, run, "node long, class binary, label binary")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if NUMERATOR * max(len(x), len(y)) > DENOMINATOR * min(len(x), len(y)):
+        return False
+    place = np.searchsorted(x, y)
+    both = int((x[np.minimum(place, len(x) - 1)] == y).sum())
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
+def _links_in_nodes(nodes: DataFrame) -> DataFrame:
+    """Confirmed links a < b that connect whatever is connected within each node, and no more of them
+    than it takes. nodes: members with items, the full sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = [], []
         for row in range(batch.num_rows):
             members = batch.column(0)[row].values
+            a, b, score, label = _likely_pairs(members)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.field("items")]
             keys = members.field("class").to_pylist()
-            labels = np.unique(np.array(members.field("label").to_pylist(), object).astype("S16"), return_inverse=True)[1]
-            coords, low = _column(members.field("sig"))
-            n = len(keys)
-            equal = np.zeros((n, n), np.uint8)
-            for c in range(COORDS):
-                equal += coords[:, c, None] == coords[None, :, c]
-            a, b = np.nonzero(np.triu(equal >= LOOSE, 1) & (labels[:, None] != labels[None, :]))
-            for i in range(0, len(a), 4096):
-                x, y = a[i : i + 4096], b[i : i + 4096]
-                near = equal[x, y] + (low[x] == low[y]).sum(1) >= LIKELY
-                for p, q in zip(x[near], y[near], strict=True):
-                    left.append(min(keys[p], keys[q]))
-                    right.append(max(keys[p], keys[q]))
+            root = list(range(int(label.max(initial=0)) + 1))
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for k in np.argsort(-score, kind="stable"):
+                x, y = int(a[k]), int(b[k])
+                p, q = find(label[x]), find(label[y])
+                if p != q and _similar(sets[x], sets[y]):
+                    root[p] = q
+                    left.append(min(keys[x], keys[y]))
+                    right.append(max(keys[x], keys[y]))
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     return map_batches(nodes, run, "a binary, b binary")
@@ -138,11 +190,9 @@ def _likely(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs, run, "a binary, b binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = WORDS) -> DataFrame:
-    """The pairs of classes whose full sets are similar enough. Sets are made anew from the texts of
-    one document a class, for the classes in some pair only."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = written(classes.join(wanted, "class", "left_semi").select("class", "first_id"), "near-wanted")
+def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int = WORDS) -> DataFrame:
+    """class, items: the full sets of the wanted classes, made anew from the text of one document each."""
+    wanted = written(classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "first_id"), "near-wanted")
     few = wanted.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), string_column(docs, "text").alias("text"))
     rows = rows.join(F.broadcast(wanted) if few else wanted, "first_id").select("class", "text")
@@ -155,16 +205,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = WORD
                 data.append(own.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["class", "items"])
 
-    items = written(map_batches(rows, sets, "class binary, items binary").dropDuplicates(["class"]), "near-sets")
+    return written(map_batches(rows, sets, "class binary, items binary").dropDuplicates(["class"]), "near-sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = WORDS) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    items = full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), docs, classes, k)
 
     def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = np.zeros(batch.num_rows, bool)
-        for row in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), np.uint64) for c in (2, 3))
-            if NUMERATOR * max(len(x), len(y)) <= DENOMINATOR * min(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near[row] = DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
-        return batch.select(["a", "b"]).filter(pa.array(near))
+        sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3)]
+        return batch.select(["a", "b"]).filter(pa.array([_similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
     full = pairs.join(items.select(F.col("class").alias("a"), F.col("items").alias("left")), "a").join(items.select(F.col("class").alias("b"), F.col("items").alias("right")), "b")
     return map_batches(full.select("a", "b", "left", "right"), similar, "a binary, b binary")
@@ -200,9 +250,41 @@ class _Links:
         self.links = self.roots = None
 
     def add(self, likely: DataFrame) -> None:
+        """Confirms likely pairs and merges the links."""
         pairs = written(likely.distinct(), "near-pairs")
         if self.roots is None or pairs.head(1):
-            found = written(confirm(pairs, self.docs, self.classes, self.k), "near-links")
+            self._merge(confirm(pairs, self.docs, self.classes, self.k))
+
+    def add_from_nodes(self, open_: DataFrame) -> None:
+        """Merges the links within nodes of at most SMALL classes (node, class, label, sig)."""
+        members = F.collect_list(F.struct("class", "label", "sig")).alias("members")
+        some = written(_with_partner(open_.groupBy("node").agg(members)), "near-partners")
+        if not some.head(1):
+            return
+        items = full_sets(some, self.docs, self.classes, self.k)
+        rows = some.join(self.classes.select("class", "sig"), "class").join(items, "class")
+        size = rows.groupBy("node").agg(F.sum(F.octet_length("items")).alias("bytes"))
+        rows = rows.join(size, "node")
+        nodes = rows.where(F.col("bytes") <= NODE_BYTES).groupBy("node").agg(F.collect_list(F.struct("class", "label", "sig", "items")).alias("members"))
+        self._merge(_links_in_nodes(nodes.select("members")))
+        large = written(rows.where(F.col("bytes") > NODE_BYTES).select("node", "class", "label"), "near-large")
+        if large.head(1):  # sets too long to stand side by side: every class with every pivot, some pivots at a time
+            self._thin(large)
+
+    def _thin(self, rows: DataFrame) -> None:
+        order = Window.partitionBy("node").orderBy(F.xxhash64("node", "class"))
+        signed = self.classes.select("class", "sig")
+        while rows.head(1):
+            ranked = written(rows.select("node", "class").withColumn("rank", F.row_number().over(order)), "near-large")
+            pivots = ranked.where(F.col("rank") <= PIVOTS).select("node", F.col("class").alias("pivot"), F.col("rank").alias("pivot_rank"))
+            star = ranked.join(pivots, "node").where("rank > pivot_rank").join(signed, "class").join(signed.select(F.col("class").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+            near = _likely(star.select("class", "pivot", "sig", "pivot_sig").toDF("a", "b", "x", "y"))
+            self.add(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            rows = written(self.label(ranked.where(F.col("rank") > PIVOTS).select("node", "class")).select("node", "class"), "near-large")
+
+    def _merge(self, links: DataFrame) -> None:
+        found = written(links.distinct(), "near-links")
+        if self.roots is None or found.head(1):
             self.links = found if self.links is None else self.links.union(found)
             self.roots = written(components(self.links), "near-roots")
 
@@ -230,8 +312,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int = WORDS) -> Data
         lower = F.col("class") < F.col("pivot")
         known.add(_likely(star.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"), F.when(lower, F.col("sig")).otherwise(F.col("pivot_sig")).alias("x"), F.when(lower, F.col("pivot_sig")).otherwise(F.col("sig")).alias("y"))))
         open_ = known.label(live)
-        small = open_.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("class", "label", "sig")).alias("members"))
-        known.add(_likely_in_nodes(small.select("members")))
+        known.add_from_nodes(open_.where(F.col("n") <= SMALL))
         rest = known.label(live).where(F.col("n") > SMALL).join(pivots.select("node", F.col("pivot").alias("class")), ["node", "class"], "left_anti")
         rest = written(rest.select("node", "class", "sig"), "near-rest")
         if not rest.head(1):

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from chainloom.llm import near_dup
 
@@ -41,18 +42,20 @@ def test_edges(spark, odd_docs):
     assert near_dup.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
-def test_large_group_of_near_copies_and_a_shared_passage(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 40)
+@pytest.mark.parametrize(("small", "node_bytes"), [(25, 64_000_000), (200, 20_000)])
+def test_large_group_of_near_copies_and_a_shared_passage(spark, monkeypatch, small, node_bytes):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "NODE_BYTES", node_bytes)
     rng = np.random.default_rng(3)
     word = lambda: "w%d" % rng.integers(0, 10**6)
     base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
     rows = []
-    for i in range(70):  # copies at different distances from one text
+    for i in range(45):  # copies at different distances from one text
         text = list(base)
         for at in rng.choice(len(text), rng.integers(0, 6), replace=False):
             text[at] = word()
         rows.append((i, " ".join(text)))
-    for i in range(60):  # a passage that many texts share
+    for i in range(30):  # a passage that many texts share
         rows.append((100 + i, " ".join([*[word() for _ in range(30)], *passage])))
     chain = [word() for _ in range(100)]
     for i in range(12):  # each similar to the next only
