@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .runtime import map_batches, string_column, table, written
+from .runtime import map_batches, string_column, table, workers, written
 
 WORDS = 5  # in a shingle
 NUMERATOR, DENOMINATOR = 75, 100
@@ -42,6 +42,8 @@ TREES, COORDS, BYTES, BRANCHES = 10, 40, 96, 2
 SMALL, PIVOTS, MAX_LEVELS = 2000, 32, 6
 #: Equal coordinates from which a pair is confirmed on full sets, of the COORDS and of all. A pair at the threshold has 30 and 102 in the mean, and fewer than these with probabilities of about 1e-6 and 3e-6.
 LOOSE, LIKELY = 16, 79
+#: Links that one task merges (32 bytes each); more are merged by joins, to the same result.
+TASK_EDGES = 500_000
 #: Sets of one node that stand side by side in a task; nodes with more are thinned by PIVOTS pivots at a time.
 NODE_BYTES = 64_000_000
 #: Up to so many ids are broadcast to fetch texts (16 bytes each); beyond it the join shuffles.
@@ -220,10 +222,43 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = WORD
     return map_batches(full.select("a", "b", "left", "right"), similar, "a binary, b binary")
 
 
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    """components() by union-find over one table of at most TASK_EDGES links."""
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        ends = [np.frombuffer(b"".join(t.column(c).to_pylist()), "V16") for c in (0, 1)]
+        both = np.concatenate(ends).view(np.uint8).reshape(-1, 16)
+        keys, number = np.unique(both, axis=0, return_inverse=True)  # in byte order
+        root = list(range(len(keys)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        number = number.reshape(2, -1)
+        for x, y in zip(number[0].tolist(), number[1].tolist(), strict=True):
+            p, q = find(x), find(y)
+            root[max(p, q)] = min(p, q)
+        names = [k.tobytes() for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[find(i)] for i in range(len(names))], pa.binary())], ["class", "root"])
+
+    workers(edges.sparkSession)
+    return edges.coalesce(1).mapInArrow(run, "class binary, root binary")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """class, root: the smallest class reachable, for the classes in some link. Stars are alternately
-    made large (neighbours of a class that stand above it move to its smallest) and small."""
+    """class, root: the smallest class reachable, for the classes in some link. Up to TASK_EDGES links
+    are merged in one task; of more, stars are alternately made large (neighbours of a class that stand
+    above it move to its smallest) and small, until nothing moves."""
     edges = written(links.select("a", "b").where("a <> b").distinct(), "near-edges")
+    if edges.count() <= TASK_EDGES:
+        return _components_of_few(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))

@@ -62,3 +62,15 @@ def test_large_group_of_near_copies_and_a_shared_passage(spark, monkeypatch, sma
         chain[i * 8] = word()
         rows.append((200 + i, " ".join(chain)))
     assert got(spark, rows) == brute(rows)
+
+
+def test_components_by_task_and_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    key = lambda i: int(i).to_bytes(16, "big")
+    pairs = [(key(a), key(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(key(200 + i), key(201 + i)) for i in range(40)]
+    links = spark.createDataFrame(pairs, "a binary, b binary")
+    told = lambda: {bytes(r["class"]): bytes(r["root"]) for r in near_dup.components(links).collect()}
+    one = told()
+    monkeypatch.setattr(near_dup, "TASK_EDGES", 0)
+    assert told() == one
+    assert {one[key(200 + i)] for i in range(41)} == {key(200)}
