@@ -233,6 +233,14 @@ def cycle_members(spark, d):
     return graph.cycle_members(rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("dst")))
 
 
+@query()
+def cycle_members_all(spark, d):
+    """cycle_members over every row of lineitem; the targets wrap at the number of parts, so any part can be one."""
+    parts = table(spark, d, "part").agg((F.max("p_partkey") + 1).alias("n_parts"))
+    rows = table(spark, d, "lineitem").crossJoin(F.broadcast(parts))
+    return graph.cycle_members(rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n_parts")).alias("dst")))
+
+
 @query()
 def topo_order(spark, d):
     ledger, parents = load(spark, d)
