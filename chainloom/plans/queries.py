@@ -334,6 +334,35 @@ def delegation_reuse(spark, d):
     return replay.delegation_edges(delegation_match(spark, d))
 
 
+def _accepts_all(spark, d):
+    """Every row of lineitem as an accept. In orders with an even key all rows but the first name another scope, so that
+    these offers have one good accept at most."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    li = table(spark, d, "lineitem").withColumn("k", F.row_number().over(order)).select("l_orderkey", "l_partkey", "k")
+    li = li.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    other = (F.col("l_partkey") % 10 == 0) | ((F.col("l_orderkey") % 2 == 0) & (F.col("k") > 1))
+    scope = F.when(other, "X").otherwise(F.col("o_orderstatus"))
+    return li.select(F.concat_ws("-", "l_orderkey", "k").alias("accept"), F.when(F.col("l_partkey") % 31 == 0, -1).otherwise(F.col("l_orderkey")).alias("offer"), F.concat(F.lit("d"), F.col("l_orderkey") % 50).alias("delegation"), scope.alias("scope"), F.col("o_custkey").cast("string").alias("child"))
+
+
+_MATCH_ALL = """WITH k AS (
+  SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem),
+a AS (
+  SELECT l_orderkey || '-' || k AS accept, CASE WHEN l_partkey % 31 = 0 THEN -1 ELSE l_orderkey END AS offer,
+    l_partkey % 10 = 0 OR l_partkey % 31 = 0 OR l_orderkey % 19 = 0 OR (l_orderkey % 2 = 0 AND k > 1) AS bad FROM k JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT accept, offer, CASE WHEN bad THEN 'DELEGATION_MISMATCH' ELSE 'OK' END AS code FROM a)"""
+
+
+@query(f"{_MATCH_ALL} SELECT accept, offer, code FROM m")
+def delegation_match_all(spark, d):
+    return replay.delegation_match(_accepts_all(spark, d), _offers(spark, d))
+
+
+@query(f"{_MATCH_ALL} SELECT offer, count(*) AS n, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'DELEGATION_REUSED' END AS code, CASE WHEN count(*) = 1 THEN min(accept) END AS accept FROM m WHERE code = 'OK' GROUP BY offer")
+def delegation_reuse_all(spark, d):
+    return replay.delegation_edges(delegation_match_all(spark, d))
+
+
 # -- objects ------------------------------------------------------------------------------------
 
 
