@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import base64url, canonical, domain_hash, from_base64url, is_count, is_id, parse_column
 from ..operators import audit, chain, graph, inventory, replay, store, trust, validate
-from ..sources.ledger import ZERO, from_events, load, table
+from ..sources.ledger import ZERO, from_events, load, settle, table
 from . import verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -689,6 +689,26 @@ def signature_check(spark, d):
 SQL["signature_check"] = "SELECT i::INT AS id, i % 3 <> 0 AS signature_ok FROM range(24) t(i)"
 
 
+@query(f"WITH {LEDGER} SELECT hash, event_id % 3 <> 0 AS signature_ok FROM ledger")
+def signature_check_all(spark, d):
+    """Every event of the ledger signed by the key of its user, every third signature damaged, and all verified. The
+    tables hold no signatures, so they are made here, by executors."""
+    import hashlib
+
+    from ..functions import ed25519
+
+    @F.udf("struct<key: binary, signature: binary>", useArrow=True)
+    def signed(name: str, message: bytes, damaged: bool):
+        seed = hashlib.sha256(name.encode()).digest()
+        s = ed25519.sign(seed, bytes(message))
+        return ed25519.public_key(seed), s[:-1] + bytes([s[-1] ^ 1]) if damaged else s
+
+    rows = _keyed(spark, d).select("hash", "key", F.concat(F.lit("event").cast("binary"), F.unhex(F.lit("00")), F.unhex("hash")).alias("message"), (F.col("event_id") % 3 == 0).alias("damaged"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = settle(rows.select("hash", "message", signed("key", "message", "damaged").alias("s")).select("hash", "message", "s.key", "s.signature"))
+    return ed25519.verified(rows, "key", "message", "signature").select("hash", "signature_ok")
+
+
 @query()
 def verify_report(spark, d):
     """The report over a whole clean history with its own pins: one row."""
