@@ -214,6 +214,29 @@ def induced_edges(spark, d):
     return graph.induced(graph.edges(ledger, parents), nodes)
 
 
+_CLOSURE_ALL = f"""WITH RECURSIVE {LEDGER}, {EDGES}, known AS (SELECT src, dst FROM links WHERE src IN (SELECT hash FROM ledger)),
+tops AS (SELECT source, stream, max(seq) AS seq FROM ledger GROUP BY ALL),
+seen AS (SELECT hash AS node FROM ledger JOIN tops USING (source, stream, seq) UNION SELECT k.src FROM seen s JOIN known k ON k.dst = s.node)"""
+
+
+def _closure_all(ledger: DataFrame, parents: DataFrame) -> DataFrame:
+    """Ancestors of every stream's last events."""
+    tops = ledger.groupBy("source", "stream").agg(F.max("seq").alias("seq"))
+    heads = ledger.join(tops, ["source", "stream", "seq"]).select(F.col("hash").alias("node"))
+    return graph.ancestors(_causal(ledger, parents), heads, max_depth=2**31 - 1)
+
+
+@query(f"{_CLOSURE_ALL} SELECT node FROM seen")
+def ancestor_closure_all(spark, d):
+    return _closure_all(*load(spark, d)).select("node")
+
+
+@query(f"{_CLOSURE_ALL} SELECT DISTINCT src, dst, kind FROM links WHERE src IN (SELECT node FROM seen) AND dst IN (SELECT node FROM seen)")
+def induced_edges_all(spark, d):
+    ledger, parents = load(spark, d)
+    return graph.induced(graph.edges(ledger, parents), _closure_all(ledger, parents))
+
+
 @query(
     f"""WITH RECURSIVE {LEDGER}, {CHECKED}, {EDGES},
 forked AS (SELECT DISTINCT source, stream FROM ledger GROUP BY source, stream, seq HAVING count(*) > 1),
