@@ -5,6 +5,9 @@ labels every candidate token (a white-space separated token with a digit or an a
 token is clamped to "none"). Neighbouring candidates share chain potentials, and tokens that repeat
 (same digits, or same letters around an at sign) share skip potentials with their last occurrence in
 the document, however far away; loopy sum-product message passing makes labels of one entity agree.
+A sweep takes the chains and then the skips from the first token to the last and back, so that evidence
+crosses any number of repeats at once; a text is swept until no message moves by TOLERANCE. (Loops need not
+settle: steps shrink after SETTLING sweeps, and a text that still moves after MAX_SWEEPS is warned of.)
 So a number that is plainly a card in one place is found where its other form fails the pattern. A
 token that the field is sure of and that meets no base span gives an added span.
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +36,7 @@ from .runtime import map_batches, smallest, string_column, table
 
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.95
-ROUNDS = 8
+TOLERANCE, SETTLING, MAX_SWEEPS = 1e-6, 20, 1000
 SAMPLE_CHARS = 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -145,29 +149,51 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def infer(g: Graph, f: Field, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities by loopy sum-product message passing."""
+def _levels(edges: np.ndarray, n: int) -> list[np.ndarray]:
+    """The edges by their place on their path: each node has one edge back and one on at most."""
+    depth = [0] * n
+    for a, b in edges.tolist():
+        depth[b] = depth[a] + 1
+    place = np.array(depth)[edges[:, 1]]
+    order = np.argsort(place, kind="stable")
+    return np.split(edges[order], np.flatnonzero(np.diff(place[order])) + 1) if len(edges) else []
+
+
+def infer(g: Graph, f: Field, rounds: int = MAX_SWEEPS) -> np.ndarray:
+    """Label probabilities by loopy sum-product message passing, in sweeps over whole paths."""
     unary = f.unary[g.features].sum(1)
     n, labels = unary.shape
-    source = np.concatenate([g.chain[:, 0], g.chain[:, 1], g.skip[:, 0], g.skip[:, 1]])
-    target = np.concatenate([g.chain[:, 1], g.chain[:, 0], g.skip[:, 1], g.skip[:, 0]])
-    a, b = len(g.chain), len(g.skip)
-    twin = np.concatenate([np.arange(a) + a, np.arange(a), np.arange(b) + 2 * a + b, np.arange(b) + 2 * a])
-    shared = np.concatenate([np.repeat(p[None], k, 0) for p, k in ((f.chain, a), (f.chain.T, a), (f.skip, b), (f.skip.T, b))])
-    told = np.zeros((len(source), labels))
-
-    def gathered() -> np.ndarray:
-        out = unary.copy()
-        np.add.at(out, target, told)
-        return out
-
-    for _ in range(rounds if len(source) else 0):
-        x = (gathered()[source] - told[twin])[:, :, None] + shared
-        top = x.max(1)
-        new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
-        new -= new.max(1, keepdims=True)
-        told = 0.5 * told + 0.5 * new
-    return _softmax(gathered())
+    told = np.zeros((2, 2, n, labels))  # into each node: by chain and skip, from before and after
+    live = np.ones(n, bool)
+    kinds = [(e, np.exp(p - p.max())) for e, p in ((g.chain, f.chain), (g.skip, f.skip))]
+    paths = [_levels(e, n) for e, _ in kinds]
+    for sweep in range(rounds):
+        step, moved = 1 / (1 + max(0, sweep - SETTLING) / SETTLING), np.zeros(n)
+        for k, (_, shared) in enumerate(kinds):
+            if not paths[k]:
+                continue
+            rest = unary + told[1 - k].sum(0)
+            for way, by in ((0, shared), (1, shared.T)):
+                new = np.zeros((n, labels))
+                for edges in paths[k] if way == 0 else reversed(paths[k]):
+                    a, b = edges[:, way], edges[:, 1 - way]
+                    x = rest[a] + new[a]
+                    out = np.log(np.maximum(np.exp(x - x.max(1, keepdims=True)) @ by, 1e-300))
+                    new[b] = out - out.max(1, keepdims=True)
+                change = np.where(live[:, None], new - told[k, way], 0)
+                moved = np.maximum(moved, np.abs(change).max(1))
+                told[k, way] += step * change
+        still = np.zeros(1 + g.home.max(initial=0), bool)
+        still[g.home[moved >= TOLERANCE]] = True
+        if not still.any():
+            break
+        if not still[g.home[live]].all():
+            live = still[g.home]
+            paths = [_levels(e[live[e[:, 0]]], n) for e, _ in kinds]
+    else:
+        if rounds == MAX_SWEEPS:
+            warnings.warn(f"personal data: messages of {still.sum()} texts still move after {rounds} sweeps", stacklevel=2)
+    return _softmax(unary + told.sum((0, 1)))
 
 
 def _labels(g: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:

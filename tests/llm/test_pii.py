@@ -76,3 +76,46 @@ def test_query_and_edges(spark, odd_docs, data):
     assert odd.count() == odd_docs.count()
     assert all(r.spans == "" for r in odd.where("doc_id < 3").collect())
     assert pii.find_personal_data(odd_docs.limit(0)).count() == 0
+
+
+def test_evidence_crosses_dozens_of_repeats():
+    f = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), 10 * np.eye(5))
+    f.unary[45 + 1, 3] = 60  # a plus sign is evidence of a card here, nothing else is
+    g = pii.graph(["+7777777 " + "x 7777777 " * 60, "7777777", "x 7777777 " * 60 + "+7777777"])
+    p = pii.infer(g, f)
+    first, alone, last = (p[g.home == t] for t in range(3))
+    assert len(first) == 61 and (first.argmax(1) == 3).all() and first[-1, 3] > pii.SURE
+    assert np.allclose(alone, 0.2) and np.allclose(first, last[::-1], atol=1e-6)
+    # exact marginals of the path, far end
+    t = np.exp(f.skip)
+    t /= t.sum(1, keepdims=True)
+    assert np.allclose(first[-1], np.linalg.matrix_power(t, 60)[3], atol=1e-6)
+
+
+def slow_messages(g, f, rounds=400):
+    """Every message of every edge at once, half damped."""
+    u = f.unary[g.features].sum(1)
+    told = {}
+    for edges, pot in ((g.chain, f.chain), (g.skip, f.skip)):
+        for k, (a, b) in enumerate(edges.tolist()):
+            told |= {(id(pot), k, a, b): (np.zeros(5), pot), (id(pot), k, b, a): (np.zeros(5), pot.T)}
+    for _ in range(rounds):
+        total = u.copy()
+        for (_, _, _, b), (m, _) in told.items():
+            total[b] += m
+        new = {}
+        for (p, k, a, b), (m, pot) in told.items():
+            x = np.log(np.exp((total[a] - told[p, k, b, a][0])[:, None] + pot).sum(0))
+            new[p, k, a, b] = (0.5 * m + 0.5 * (x - x.max()), pot)
+        told = new
+    for (_, _, _, b), (m, _) in told.items():
+        u[b] += m
+    return np.exp(u) / np.exp(u).sum(1, keepdims=True)
+
+
+def test_sweeps_settle_where_slow_messages_do():
+    rng = np.random.default_rng(1)
+    f = pii.Field(rng.normal(size=(pii.N_FEATURES, 5)), rng.normal(size=(5, 5)) / 3, np.eye(5))
+    g = pii.graph([" ".join(rng.choice(["12345678", "x", "7777777", "a@b.c", "5", "999-9999"], 60)) for _ in range(3)])
+    assert len(g.skip) > 50 and len(g.chain) > 50
+    assert np.allclose(pii.infer(g, f), slow_messages(g, f), atol=1e-4)
