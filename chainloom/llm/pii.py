@@ -1,9 +1,11 @@
 """Personal data (operator 3): fixed patterns and a skip-chain conditional random field.
 
 Base spans are leftmost non-overlapping matches of four patterns; they always stay. The field then
-labels every candidate token (a white-space separated token with a digit or an at sign; any other
-token is clamped to "none"). Neighbouring candidates share chain potentials, and tokens that repeat
-(same digits, or same letters around an at sign) share skip potentials with their last occurrence in
+labels every candidate (a white-space separated token with a digit or an at sign; any other token is
+clamped to "none"). Tokens of one base span are one candidate, and so are adjacent tokens without letters
+whose digits together, GROUP_DIGITS at most (no card has more), are those of a base span, of another token
+or of another whole row of such tokens in the text. Neighbouring candidates share chain potentials, and candidates that
+repeat (same digits, however few and however grouped, or same letters around an at sign) share skip potentials with their last occurrence in
 the document, however far away; loopy sum-product message passing makes labels of one entity agree.
 A sweep takes the chains and then the skips from the first token to the last and back, so that evidence
 crosses any number of repeats at once; a text is swept until no message moves by TOLERANCE. (Loops need not
@@ -25,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import re
 import warnings
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +42,7 @@ KINDS = ("email", "ip", "card", "phone")
 SURE = 0.95
 TOLERANCE, SETTLING, MAX_SWEEPS = 1e-6, 20, 1000
 SAMPLE_CHARS = 20_000
+GROUP_DIGITS = 19
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The patterns of the base rule. A digit run is entered at its start only, which finds the same matches.
@@ -114,21 +119,61 @@ class Graph:
     skip: np.ndarray
 
 
-def graph(texts: list[str]) -> Graph:
+def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, digits) of each candidate, in order: single tokens and joined ones."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+    digits = ["".join(_DIGITS.findall(text[a:b])) for a, b in tokens]
+    until, keys = list(range(len(tokens))), digits.copy()  # last token of the candidate that begins here, its key
+    taken = [False] * len(tokens)
+    known = set()
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        first, last = bisect_right(ends, s), bisect_left(starts, e) - 1
+        if kind > 0 and not any(taken[first : last + 1]):
+            taken[first : last + 1] = [True] * (last + 1 - first)
+            until[first], keys[first] = last, "".join(_DIGITS.findall(text[s:e]))
+            known.add(keys[first])
+    loose = [not t and "@" not in (x := text[a:b]) and not any(map(str.isalpha, x)) for t, (a, b) in zip(taken, tokens, strict=True)]
+    joins = [i > 0 and loose[i] and loose[i - 1] and text[ends[i - 1] : starts[i]].isspace() for i in range(len(tokens))]
+    known.update(d for d, t in zip(digits, taken, strict=True) if not t)
+    rows, row_end, i = Counter(), {}, 0
+    while i < len(tokens):
+        j = i
+        while j + 1 < len(tokens) and joins[j + 1]:
+            j += 1
+        if j > i and sum(map(len, digits[i : j + 1])) <= GROUP_DIGITS:
+            rows["".join(digits[i : j + 1])] += 1
+            row_end[i] = j
+        i = j + 1
+    out, i = [], 0
+    while i < len(tokens):
+        if loose[i]:
+            key, j = digits[i], i
+            while j + 1 < len(tokens) and joins[j + 1] and len(key) + len(digits[j + 1]) <= GROUP_DIGITS:
+                j += 1
+                key += digits[j]
+                if key in known or rows[key] > (row_end.get(i) == j):
+                    until[i], keys[i] = j, key
+        out.append((starts[i], ends[until[i]], keys[i]))
+        i = until[i] + 1
+    return out
+
+
+def graph(texts: list[str], spans: list[list[tuple[int, int, int]]] | None = None) -> Graph:
+    """spans: the base spans of each text, where the caller has them."""
     home, span, feats, chain, skip = [], [], [], [], []
     for t, text in enumerate(texts):
         seen: dict[str, int] = {}
         before = None
-        for m in _TOKEN.finditer(text):
-            node, token = len(home), m[0]
+        for start, end, key in _candidates(text, base_spans(text) if spans is None else spans[t]):
+            node, token = len(home), text[start:end]
             home.append(t)
-            span.append(m.span())
+            span.append((start, end))
             feats.append(_features(token))
-            if before is not None and text[before[1] : m.start()].isspace():
+            if before is not None and text[before[1] : start].isspace():
                 chain.append((before[0], node))
-            before = (node, m.end())
-            key = "".join(_DIGITS.findall(token))
-            key = token.lower().strip(".,;:!?()[]<>\"'") if "@" in token else key if len(key) >= 7 else None
+            before = (node, end)
+            key = token.lower().strip(".,;:!?()[]<>\"'") if "@" in token else key
             if key:
                 if key in seen:
                     skip.append((seen[key], node))
@@ -206,10 +251,11 @@ def _labels(g: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
 
 def train(texts: list[str], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Field | None:
     """Pseudo-likelihood: each token given its features and its neighbours' labels."""
-    g = graph(texts)
+    spans = [base_spans(t) for t in texts]
+    g = graph(texts, spans)
     if not len(g.home):
         return None
-    y = _labels(g, [base_spans(t) for t in texts])
+    y = _labels(g, spans)
     n, k = len(y), 1 + len(KINDS)
     near = np.zeros((4, n, k))  # counts of labels: chain before, after, skip before, after
     for m, (edges, i, j) in enumerate(((g.chain, 0, 1), (g.chain, 1, 0), (g.skip, 0, 1), (g.skip, 1, 0))):
@@ -237,7 +283,7 @@ def all_spans(texts: list[str], field: Field | None) -> list[tuple[list[tuple[in
     """Base spans and added spans of each text."""
     base = [base_spans(t) for t in texts]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    g = graph(texts)
+    g = graph(texts, base)
     if field is not None and len(g.home):
         p = infer(g, field)
         for i in np.flatnonzero((p.argmax(1) > 0) & (p.max(1) >= SURE)):

@@ -119,3 +119,29 @@ def test_sweeps_settle_where_slow_messages_do():
     g = pii.graph([" ".join(rng.choice(["12345678", "x", "7777777", "a@b.c", "5", "999-9999"], 60)) for _ in range(3)])
     assert len(g.skip) > 50 and len(g.chain) > 50
     assert np.allclose(pii.infer(g, f), slow_messages(g, f), atol=1e-4)
+
+
+def linked(text):
+    g = pii.graph([text])
+    return [tuple(text[slice(*g.span[i])] for i in edge) for edge in g.skip]
+
+
+def test_every_repeated_candidate_is_linked():
+    assert linked("at 10.0.0.1 and [10.0.0.1] here") == [("10.0.0.1", "[10.0.0.1]")]
+    assert linked("pay 4111 1111 1111 1111 or 4111111111111111 x 7") == [("4111 1111 1111 1111", "4111111111111111")]
+    assert linked("+44 20 7946 0958 is 44 20 7946\n0958 too") == [("+44 20 7946 0958", "44 20 7946\n0958")]
+    # a neighbour spoils the pattern, not the link
+    assert linked("4111111111111111 then 4111 1111 1111 1111 5") == [("4111111111111111", "4111 1111 1111 1111")]
+    assert linked("20 7946 0958 or 20-7946-0958, 20 7946 0958") == [("20 7946 0958", "20-7946-0958,"), ("20-7946-0958,", "20 7946 0958")]
+    assert linked("x 20 7946 y 20 7946 z 1 2 3 4") == [("20 7946", "20 7946")]
+    assert linked("7 a 7") == [("7", "7")]
+    long = " ".join(str(i) for i in range(5000))
+    assert len(pii.graph([long]).home) > 2000 and pii.graph([""]).home.size == 0
+
+
+def test_grouped_forms_take_the_label():
+    texts = [f"call card 4111 1111 1111 1111 now {i} of {i + 3}" for i in range(200)] + [f"pay 4111111111111111 at shop {i}" for i in range(100)]
+    field = pii.train(texts)
+    text = "card 4111111111111111 and later 4111 1111\n1111 1111 then 12"
+    ((base, added),) = pii.all_spans([text], field)
+    assert base == [(2, 5, 21)] and [text[a:b] for _, a, b in added] == ["4111 1111\n1111 1111"]
