@@ -1,13 +1,17 @@
 """License scans (operator 6): exact set-similarity join of text blocks with license templates.
 
-Base: fixed phrases, by consecutive words. Method: a block (a line) meets a template when it holds at
-least `threshold` of the template's distinct words. All such pairs are found exactly: template words
+Base: fixed phrases, by consecutive words. Method: a block meets a template when it holds at least
+`threshold` of the template's distinct words. Blocks are the lines and, as notices are wrapped, in each
+paragraph (lines up to one without a word) every run of length / `threshold` words, length being that of
+the template with its repeated words. All such pairs are found exactly: template words
 are ordered by how many documents hold them, rarest first; a block that meets a template of t words
 must hold ceil(threshold * t) of them, hence at least one of its first t - ceil(threshold * t) + 1
 (prefix), must have that many distinct words itself (length), and, where its first shared word stands
 at place i of the template, t - i + 1 must reach the needed number (position). Candidates come from
-one join on prefix words; a pair is looked at only at its first shared word, so no pair comes twice,
-and is then confirmed on whole sets. DataFrame functions only; the templates are a parameter and must
+one join on prefix words of lines and paragraphs; a pair is looked at only at its first shared word, so no
+pair comes twice, and is then confirmed on whole sets, or for a paragraph that holds enough on its runs,
+of which those that begin with a template word are enough. The SQL forms lines only: it has equal results
+where no notice is wrapped. DataFrame functions only; the templates are a parameter and must
 have no more than MAX_TEMPLATE_WORDS words in all, which bounds what is broadcast and collected.
 
 Defined results: a null or empty text has no words, no labels and score 0; the score is the largest
@@ -97,18 +101,23 @@ def template_words(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     out = []
     for k, (label, s) in enumerate(sets):
         need = -int(-threshold * len(s) // 1)
-        out.append({"template": k, "label": label, "words": sorted(s, key=lambda w: (count.get(w, 0), w)), "need": need})
+        out.append({"template": k, "label": label, "words": sorted(s, key=lambda w: (count.get(w, 0), w)), "need": need, "span": run_length(templates[k][1], threshold)})
     return out
 
 
+def run_length(template: str, threshold: float = THRESHOLD) -> int:
+    """Words of a run in which a wrapped template is looked for."""
+    return -int(-len(_split(template)) / threshold // 1)
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(string_column(docs, "text"), F.lit("")).alias("text"))
     found = template_words(docs, templates, threshold)
-    heads = [(t["words"][i], t["template"], t["label"], i + 1, len(t["words"]), t["need"], t["words"]) for t in found for i in range(len(t["words"]) - t["need"] + 1)]
+    heads = [(t["words"][i], t["template"], t["label"], i + 1, len(t["words"]), t["need"], t["span"], t["words"]) for t in found for i in range(len(t["words"]) - t["need"] + 1)]
     prefix = F.array(*map(F.lit, sorted({h[0] for h in heads})))
-    heads = spark.createDataFrame(heads, "word string, template int, label string, place int, size int, need int, words array<string>")
+    heads = spark.createDataFrame(heads, "word string, template int, label string, place int, size int, need int, span int, words array<string>")
 
     base = F.when(_any_phrase(F.col("text")), _words(F.col("text")))
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.regexp_count("text", F.lit(f"{WORD}+")).cast("long").alias("n_words"), base.alias("base"), F.when(F.arrays_overlap(_loose(F.col("text")), prefix), F.col("text")).alias("text"))
@@ -119,13 +128,20 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     rows = rows.select("doc_id", "digest", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), "text")
     rows = written(rows, "licenses")
 
-    lines = rows.where("text is not null").select("doc_id", "digest", F.explode(F.split("text", "\n")).alias("line")).where(F.arrays_overlap(_loose(F.col("line")), prefix))
-    lines = lines.withColumn("held", F.array_distinct(_words(F.col("line"))))
-    pairs = lines.withColumn("word", F.explode("held")).join(F.broadcast(heads), "word")
+    block = lambda wrapped: lambda x: F.struct(x.alias("block"), F.lit(wrapped).alias("wrapped"))
+    lines = F.transform(F.split("text", "\n"), block(False))
+    paragraphs = F.transform(F.filter(F.split("text", f"\n{GAP}*\n"), lambda x: x.contains("\n")), block(True))
+    blocks = rows.where("text is not null").select("doc_id", "digest", F.inline(F.concat(lines, paragraphs))).where(F.arrays_overlap(_loose(F.col("block")), prefix))
+    blocks = blocks.select("doc_id", "digest", "wrapped", _words(F.col("block")).alias("said"))
+    blocks = blocks.withColumn("held", F.array_distinct("said")).withColumn("said", F.when(F.col("wrapped"), F.col("said")))
+    pairs = blocks.withColumn("word", F.explode(F.array_intersect("held", prefix))).join(F.broadcast(heads), "word")
     pairs = pairs.where((F.size("held") >= F.col("need")) & (F.col("size") - F.col("place") + 1 >= F.col("need")))
     pairs = pairs.where((F.col("place") == 1) | ~F.arrays_overlap("held", F.slice("words", F.lit(1), F.greatest(F.col("place") - 1, F.lit(1)))))
     shared = F.size(F.array_intersect("held", "words"))
     pairs = pairs.withColumn("shared", shared).where("shared >= need")
+    begins = F.filter(F.sequence(F.lit(1), F.size("said")), lambda i: F.array_contains("words", F.element_at("said", i)))
+    runs = F.transform(begins, lambda i: F.size(F.array_intersect(F.slice("said", i, F.col("span")), F.col("words"))))
+    pairs = pairs.withColumn("shared", F.when(F.col("wrapped"), F.array_max(runs)).otherwise(F.col("shared"))).where("shared >= need")
     met = pairs.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("label").alias("met"), F.max(F.col("shared") / F.col("size")).alias("score"))
     out = rows.drop("text").join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     everything = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("met", F.array().cast("array<string>")))))
