@@ -8,34 +8,12 @@ ledger in fixed places, so that every check has something to find.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ZERO = "0" * 64
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..session import settle, table
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session for tables between the rounds of a loop."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="chainloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/chainloom"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which ends its lineage there."""
-    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ZERO = "0" * 64
 
 
 def from_events(events: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators.replay import FIELDS, StreamState
+from ..session import workers
 
 OUTPUT = "source string, stream string, seq long, hash string, kind string, run string, step string, outcome string, code string"
 STATE = "data string"
@@ -59,6 +60,7 @@ def _apply(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
 def streaming_replay(events: DataFrame) -> DataFrame:
     """events: a stream with the columns of operators.replay.FIELDS. Appends each event once, with its
     code, as soon as all before it in its stream have arrived."""
+    workers(events.sparkSession)
     return events.select(*FIELDS).groupBy("source", "stream").applyInPandasWithState(_apply, OUTPUT, STATE, "append", "NoTimeout")
 
 
