@@ -34,7 +34,7 @@ BROADCAST_ROWS = 1_000_000
 
 def _rolled(h: np.ndarray, s: int) -> np.ndarray:
     """Karp-Rabin hash of every window of s values."""
-    up, down = kernel._powers(len(h) + 1)
+    up, down = kernel.powers(len(h) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
         return kernel.mix((total[s:] - total[:-s]) * down[: len(h) - s + 1])

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,12 +36,16 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse. Those of a block are kept; a longer text has its own."""
+    made = _POWERS
+    if not made or len(made[0]) < n:
         size = max(n, BLOCK + 1)
         with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate(([U(1)], np.full(size - 1, U(b))))) for b in (_BASE, _ROOT)]
-    return _POWERS[0], _POWERS[1]
+            made = [np.cumprod(np.concatenate(([U(1)], np.full(size - 1, U(b))))) for b in (_BASE, _ROOT)]
+        if size == BLOCK + 1:
+            _POWERS[:] = made
+    return made[0], made[1]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +97,7 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> Words:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[:n], out=total[1:])

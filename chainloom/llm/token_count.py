@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, edits: Column, path: str | None = None) -> Dat
             out.append((before, tree.n_tokens, tree.chars[1], tree.encoded))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(4))], ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"])
 
-    return map_batches(rows, run, "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long")
+    return map_batches(rows, run, "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long", f"encoder {path}")
 
 
 def sample_edits(n: int = EDITS) -> Column:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import string_column, table, workers, written
+from .runtime import held, let_go, string_column, table, workers, written
 
 MAGIC = b"BPS1"
 BLOCK_IDS = 1 << 16
@@ -107,14 +107,9 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    """This process's encoder, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """This process's encoder, kept from task to task of the operators that encode."""
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def pack(ids: np.ndarray, unit: int = 8, block_ids: int = BLOCK_IDS, level: int = 3) -> bytes:
@@ -161,6 +156,7 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, unit: int = 8, chun
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go(f"encoder {path}")
         part, encoder = TaskContext.get().partitionId(), encoder_of(path)
         ids, lengths, parts, start, chunk, size = [], [], [], 0, 0, 0
         tail = struct.pack("<I", end_id)
