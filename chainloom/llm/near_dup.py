@@ -15,11 +15,13 @@ coordinate. At every level
     coordinates that the node's path chooses.
 A pair of similarity s survives a branching with expectation s * BRANCHES > 1 above the threshold, and
 pairs well below it die out. Comparison is by signature; likely pairs are confirmed on full shingle
-sets, and confirmed links are merged into components, which prunes what follows. From level
-MAX_LEVELS on nodes are thinned by their pivots alone until they are small, so nothing is left out. A
+sets, and confirmed links are merged into components, which prunes what follows. Pivots are taken from
+the rarest labels, so a node that is all but one large component is done once its few others were
+pivots. From level LAST_LEVEL on nodes are thinned by their pivots alone until they are small, so nothing is left out. A
 pair at the threshold is missed by one tree with probability under 0.34, by all ten under 2e-5.
 
-Classes, links and components stay in tables; a lost executor repeats tasks of written inputs only.
+Classes, roots and what a level needs stand in written tables; a lost executor repeats tasks of written
+inputs only, and a level's tables are deleted when the next one has its own.
 
 Defined results: without words or text a document has an empty set, and is linked with nothing; a row
 with a null doc_id is not linked (component_id null, kept); rows with one doc_id each have their own
@@ -34,12 +36,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .runtime import map_batches, string_column, table, workers, written
+from .runtime import discard, map_batches, map_groups, string_column, table, workers
+from .runtime import written as settled
 
 WORDS = 5  # in a shingle
 NUMERATOR, DENOMINATOR = 75, 100
 TREES, COORDS, BYTES, BRANCHES = 10, 40, 96, 2
-SMALL, PIVOTS, MAX_LEVELS = 2000, 32, 6
+SMALL, PIVOTS = 2000, 32
+#: Nodes have PIVOTS pivots from MAX_LEVELS on, and are no more branched from LAST_LEVEL on.
+MAX_LEVELS, LAST_LEVEL = 6, 30
 #: Equal coordinates from which a pair is confirmed on full sets, of the COORDS and of all. A pair at the threshold has 30 and 102 in the mean, and fewer than these with probabilities of about 1e-6 and 3e-6.
 LOOSE, LIKELY = 16, 79
 #: Links that one task merges (32 bytes each); more are merged by joins, to the same result.
@@ -107,11 +112,11 @@ def _column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _split(data[at[0] : at[-1]])
 
 
-def _likely_pairs(members: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _likely_pairs(node: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers a < b of likely pairs with different labels, their equal coordinates, and the labels
-    as numbers. members: struct (class, label, sig, ...)."""
-    labels = np.unique(np.array(members.field("label").to_pylist(), "S16"), return_inverse=True)[1]
-    coords, low = _column(members.field("sig"))
+    as numbers. node: rows with label and sig."""
+    labels = np.unique(np.array(node.column("label").to_pylist(), "S16"), return_inverse=True)[1]
+    coords, low = _column(node.column("sig"))
     equal = np.zeros((len(labels), len(labels)), np.uint8)
     for c in range(COORDS):
         equal += coords[:, c, None] == coords[None, :, c]
@@ -124,21 +129,16 @@ def _likely_pairs(members: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.n
     return a[near], b[near], score[near], labels
 
 
-def _with_partner(nodes: DataFrame) -> DataFrame:
-    """node, class, label of the classes that have a likely partner with another label in their node."""
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """node, class, label of the classes that have a likely partner with another label in their node.
+    rows: node, class, label, sig."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, key, label = [], [], []
-        for row in range(batch.num_rows):
-            members = batch.column(1)[row].values
-            a, b, _, _ = _likely_pairs(members)
-            some = pa.array(np.union1d(a, b))
-            key += members.field("class").take(some).to_pylist()
-            label += members.field("label").take(some).to_pylist()
-            node += [batch.column(0)[row].as_py()] * len(some)
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(key, pa.binary()), pa.array(label, pa.binary())], ["node", "class", "label"])
+    def partners(node: pa.RecordBatch) -> tuple[list, list, list]:
+        a, b, _, _ = _likely_pairs(node)
+        some = node.take(pa.array(np.union1d(a, b)))
+        return tuple(some.column(c).to_pylist() for c in ("node", "class", "label"))
 
-    return map_batches(nodes, run, "node long, class binary, label binary")
+    return map_groups(rows, "node", partners, "node long, class binary, label binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -150,35 +150,39 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
-def _links_in_nodes(nodes: DataFrame) -> DataFrame:
+def _links_in_nodes(rows: DataFrame) -> DataFrame:
     """Confirmed links a < b that connect whatever is connected within each node, and no more of them
-    than it takes. nodes: members with items, the full sets."""
+    than it takes. rows: node, class, label, sig, items (the full sets)."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def links(node: pa.RecordBatch) -> tuple[list, list]:
         left, right = [], []
-        for row in range(batch.num_rows):
-            members = batch.column(0)[row].values
-            a, b, score, label = _likely_pairs(members)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.field("items")]
-            keys = members.field("class").to_pylist()
-            root = list(range(int(label.max(initial=0)) + 1))
-
-            def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for k in np.argsort(-score, kind="stable"):
-                x, y = int(a[k]), int(b[k])
-                p, q = find(label[x]), find(label[y])
-                if p != q and _similar(sets[x], sets[y]):
-                    root[p] = q
-                    left.append(min(keys[x], keys[y]))
-                    right.append(max(keys[x], keys[y]))
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-
-    return map_batches(nodes, run, "a binary, b binary")
+        a, b, score, label = _likely_pairs(node)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in node.column("items")]
+        keys = node.column("class").to_pylist()
+        find, root = _finder(int(label.max(initial=0)) + 1)
+        for k in np.argsort(-score, kind="stable"):
+            x, y = int(a[k]), int(b[k])
+            p, q = find(label[x]), find(label[y])
+            if p != q and _similar(sets[x], sets[y]):
+                root[p] = q
+                left.append(min(keys[x], keys[y]))
+                right.append(max(keys[x], keys[y]))
+        return left, right
+
+    return map_groups(rows, "node", links, "a binary, b binary")
+
+
+def _finder(n: int):
+    """find(i) over n single members, and the list of roots that it reads."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    return find, root
 
 
 def _likely(pairs: DataFrame) -> DataFrame:
@@ -194,7 +198,7 @@ def _likely(pairs: DataFrame) -> DataFrame:
 
 def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int = WORDS) -> DataFrame:
     """class, items: the full sets of the wanted classes, made anew from the text of one document each."""
-    wanted = written(classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "first_id"), "near-wanted")
+    wanted = settled(classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "first_id"), "near-wanted")
     few = wanted.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), string_column(docs, "text").alias("text"))
     rows = rows.join(F.broadcast(wanted) if few else wanted, "first_id").select("class", "text")
@@ -207,12 +211,13 @@ def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int = W
                 data.append(own.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["class", "items"])
 
-    return written(map_batches(rows, sets, "class binary, items binary").dropDuplicates(["class"]), "near-sets")
+    out = settled(map_batches(rows, sets, "class binary, items binary").dropDuplicates(["class"]), "near-sets")
+    discard(wanted)
+    return out
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = WORDS) -> DataFrame:
+def confirm(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
-    items = full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), docs, classes, k)
 
     def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3)]
@@ -233,14 +238,7 @@ def _components_of_few(edges: DataFrame) -> DataFrame:
         ends = [np.frombuffer(b"".join(t.column(c).to_pylist()), "V16") for c in (0, 1)]
         both = np.concatenate(ends).view(np.uint8).reshape(-1, 16)
         keys, number = np.unique(both, axis=0, return_inverse=True)  # in byte order
-        root = list(range(len(keys)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        find, root = _finder(len(keys))
         number = number.reshape(2, -1)
         for x, y in zip(number[0].tolist(), number[1].tolist(), strict=True):
             p, q = find(x), find(y)
@@ -256,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
     """class, root: the smallest class reachable, for the classes in some link. Up to TASK_EDGES links
     are merged in one task; of more, stars are alternately made large (neighbours of a class that stand
     above it move to its smallest) and small, until nothing moves."""
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "near-edges")
+    edges = settled(links.select("a", "b").where("a <> b").distinct(), "near-edges")
     if edges.count() <= TASK_EDGES:
         return _components_of_few(edges)
     while True:
@@ -265,7 +263,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
-        after = written(small.select(F.col("e.u").alias("b"), F.col("e.v").alias("a")).where("a <> b").distinct().select("a", "b"), "near-edges")
+        after = settled(small.select(F.col("e.u").alias("b"), F.col("e.v").alias("a")).where("a <> b").distinct().select("a", "b"), "near-edges")
         sides = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if sides(after) == sides(edges):
             roots = after.select(F.col("b").alias("class"), F.col("a").alias("root"))
@@ -278,82 +276,106 @@ def _coordinate(c: Column) -> Column:
 
 
 class _Links:
-    """Confirmed links so far, and the root of every linked class."""
+    """The root of every class that is linked so far."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
         self.docs, self.classes, self.k = docs, classes, k
-        self.links = self.roots = None
+        self.roots, self.empty = settled(docs.sparkSession.createDataFrame([], "class binary, root binary"), "near-roots"), True
 
     def add(self, likely: DataFrame) -> None:
         """Confirms likely pairs and merges the links."""
-        pairs = written(likely.distinct(), "near-pairs")
-        if self.roots is None or pairs.head(1):
-            self._merge(confirm(pairs, self.docs, self.classes, self.k))
+        pairs = settled(likely.distinct(), "near-pairs")
+        if pairs.head(1):
+            items = full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), self.docs, self.classes, self.k)
+            self._merge(confirm(pairs, items))
+            discard(items)
+        discard(pairs)
 
     def add_from_nodes(self, open_: DataFrame) -> None:
         """Merges the links within nodes of at most SMALL classes (node, class, label, sig)."""
-        members = F.collect_list(F.struct("class", "label", "sig")).alias("members")
-        some = written(_with_partner(open_.groupBy("node").agg(members)), "near-partners")
-        if not some.head(1):
-            return
-        items = full_sets(some, self.docs, self.classes, self.k)
-        rows = some.join(self.classes.select("class", "sig"), "class").join(items, "class")
-        size = rows.groupBy("node").agg(F.sum(F.octet_length("items")).alias("bytes"))
-        rows = rows.join(size, "node")
-        nodes = rows.where(F.col("bytes") <= NODE_BYTES).groupBy("node").agg(F.collect_list(F.struct("class", "label", "sig", "items")).alias("members"))
-        self._merge(_links_in_nodes(nodes.select("members")))
-        large = written(rows.where(F.col("bytes") > NODE_BYTES).select("node", "class", "label"), "near-large")
-        if large.head(1):  # sets too long to stand side by side: every class with every pivot, some pivots at a time
-            self._thin(large)
+        some = settled(_with_partner(open_.select("node", "class", "label", "sig")), "near-partners")
+        if some.head(1):
+            items = full_sets(some, self.docs, self.classes, self.k)
+            fits = F.sum(F.col("n_shingles") * 8).over(Window.partitionBy("node")) <= NODE_BYTES
+            rows = settled(some.join(self.classes.select("class", "sig", "n_shingles"), "class").withColumn("fits", fits), "near-sized")
+            self._merge(_links_in_nodes(rows.where("fits").join(items, "class").select("node", "class", "label", "sig", "items")))
+            self._thin(rows.where("not fits").select("node", "class", "label", "sig"))
+            discard(rows, items)
+        discard(some)
 
     def _thin(self, rows: DataFrame) -> None:
-        order = Window.partitionBy("node").orderBy(F.xxhash64("node", "class"))
-        signed = self.classes.select("class", "sig")
+        """Links within nodes whose sets are too long to stand side by side: every class with every pivot, some pivots at a time."""
         while rows.head(1):
-            ranked = written(rows.select("node", "class").withColumn("rank", F.row_number().over(order)), "near-large")
-            pivots = ranked.where(F.col("rank") <= PIVOTS).select("node", F.col("class").alias("pivot"), F.col("rank").alias("pivot_rank"))
-            star = ranked.join(pivots, "node").where("rank > pivot_rank").join(signed, "class").join(signed.select(F.col("class").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-            near = _likely(star.select("class", "pivot", "sig", "pivot_sig").toDF("a", "b", "x", "y"))
-            self.add(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            rows = written(self.label(ranked.where(F.col("rank") > PIVOTS).select("node", "class")).select("node", "class"), "near-large")
+            pivots = self.pivots(rows, PIVOTS)
+            self.add(self.stars(rows.select("node", "class", "sig"), pivots))
+            left = rows.select("node", "class", "sig").join(pivots.select("node", F.col("pivot").alias("class")), ["node", "class"], "left_anti")
+            before, rows = rows, settled(self.label(left).select("node", "class", "label", "sig"), "near-large")
+            discard(before, pivots)
+
+    def pivots(self, rows: DataFrame, n: int) -> DataFrame:
+        """node, pivot, pivot_sig: n classes of each node (node, class, label, sig), the first of its rarest labels before
+        others: when all classes but the pivots share one label, the node is done."""
+        one = F.struct(F.xxhash64("node", "class").alias("h"), F.col("class").alias("pivot"), F.col("sig").alias("pivot_sig"))
+        if n == 1 and self.empty:
+            some = rows.groupBy("node").agg(F.min(one).alias("p"))
+        elif n == 1:
+            own = rows.groupBy("node", "label").agg(F.count("*").alias("m"), F.min(one).alias("p"))
+            some = own.groupBy("node").agg(F.min(F.struct("m", "p")).alias("x")).select("node", "x.p")
+        else:
+            rare = rows.groupBy("node", "label").agg(F.count("*").alias("m"))
+            rank = F.row_number().over(Window.partitionBy("node").orderBy("m", F.xxhash64("node", "class"), "class"))
+            some = rows.join(rare, ["node", "label"]).withColumn("rank", rank).where(F.col("rank") <= n).select("node", one.alias("p"))
+        return settled(some.select("node", "p.pivot", "p.pivot_sig"), "near-pivots")
+
+    def stars(self, rows: DataFrame, pivots: DataFrame) -> DataFrame:
+        """The likely pairs (a < b) of the classes of nodes (node, class, sig) with their pivots."""
+        star = rows.select("node", "class", "sig").join(pivots, "node").where("class <> pivot")
+        lower = F.col("class") < F.col("pivot")
+        x, y = F.when(lower, F.col("sig")).otherwise(F.col("pivot_sig")), F.when(lower, F.col("pivot_sig")).otherwise(F.col("sig"))
+        return _likely(star.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"), x.alias("x"), y.alias("y")))
 
     def _merge(self, links: DataFrame) -> None:
-        found = written(links.distinct(), "near-links")
-        if self.roots is None or found.head(1):
-            self.links = found if self.links is None else self.links.union(found)
-            self.roots = written(components(self.links), "near-roots")
+        """New links are taken between the roots of their ends, so that what is merged already is not merged again."""
+        root_of = lambda c: self.roots.select(F.col("class").alias(c), F.col("root").alias(f"root_{c}"))
+        ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        ends = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y")
+        found = settled(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-links")
+        if found.head(1):
+            moved = settled(components(found), "near-moved")
+            to = moved.select(F.col("class").alias("root"), F.col("root").alias("to"))
+            old = self.roots.join(to, "root", "left").select("class", F.coalesce("to", "root").alias("root"))
+            new = moved.join(self.roots.select("class"), "class", "left_anti")
+            before, self.roots, self.empty = self.roots, settled(old.unionByName(new), "near-roots"), False
+            discard(before, moved)
+        discard(found)
 
     def label(self, rows: DataFrame) -> DataFrame:
         """rows with the root of their class as label, of nodes with more than one label; n: their size."""
-        if self.roots is None:
-            rows = rows.withColumn("label", F.col("class"))
-        else:
-            rows = rows.join(self.roots, "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
+        rows = rows.join(self.roots, "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
         size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node", "n")
         return rows.join(size, "node")
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, k: int = WORDS) -> DataFrame:
-    """class, root for the classes that are linked with another. classes: class, first_id, sig."""
-    known, level = _Links(docs, classes, k), 0
+    """class, root for the classes that are linked with another. classes: class, first_id, sig, n_shingles."""
+    known, level, rest = _Links(docs, classes, k), 0, None
     signed = classes.select("class", "sig")
     roots = [F.xxhash64(F.lit(t), _coordinate(F.lit(t))) for t in range(TREES)]
     nodes = classes.select("class", F.explode(F.array(*roots)).alias("node"))
     while True:
-        live = written(known.label(nodes).drop("n", "label").join(signed, "class"), "near-nodes")
-        pivots = live.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "class").alias("h"), "class", "sig")).alias("p"))
-        pivots = written(pivots.select("node", F.col("p.class").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "near-pivots")
-        star = live.join(pivots, "node").where("class <> pivot")
-        lower = F.col("class") < F.col("pivot")
-        known.add(_likely(star.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"), F.when(lower, F.col("sig")).otherwise(F.col("pivot_sig")).alias("x"), F.when(lower, F.col("pivot_sig")).otherwise(F.col("sig")).alias("y"))))
-        open_ = known.label(live)
+        live = settled(known.label(nodes).select("node", "class", "label").join(signed, "class"), "near-nodes")
+        discard(rest)
+        pivots = known.pivots(live, PIVOTS if level >= MAX_LEVELS else 1)
+        known.add(known.stars(live, pivots))
+        open_ = known.label(live.drop("label"))
         known.add_from_nodes(open_.where(F.col("n") <= SMALL))
-        rest = known.label(live).where(F.col("n") > SMALL).join(pivots.select("node", F.col("pivot").alias("class")), ["node", "class"], "left_anti")
-        rest = written(rest.select("node", "class", "sig"), "near-rest")
+        rest = known.label(live.drop("label")).where(F.col("n") > SMALL).join(pivots.select("node", F.col("pivot").alias("class")), ["node", "class"], "left_anti")
+        rest = settled(rest.select("node", "class", "sig"), "near-rest")
+        discard(live, pivots)
         if not rest.head(1):
             return known.roots
         level += 1
-        if level < MAX_LEVELS:
+        if level < LAST_LEVEL:
             at = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS - TREES)).cast("int") + TREES for j in range(BRANCHES)]
             child = F.array_distinct(F.array(*[F.xxhash64("node", c, _coordinate(c)) for c in at]))
             nodes = rest.select("class", F.explode(child).alias("node"))
@@ -363,9 +385,9 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int = WORDS) -> Data
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    signed = written(signatures(docs, k), "near-signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("sig").alias("sig"))
-    classes = written(classes, "near-classes")
+    signed = settled(signatures(docs, k), "near-signatures")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"))
+    classes = settled(classes, "near-classes")
     roots = similar_classes(docs, classes, k)
     ids = classes.select("class", "first_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = ids.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -398,9 +420,9 @@ def kept_rows(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one document of each component does.
     Decisions go by doc_id: an id goes when none of its rows is kept, and where a row occurs again
     with the same id and text, one of them stays. Rows with a null doc_id stay."""
-    told = written(near_duplicates(docs, k), "near-decisions")
+    told = settled(near_duplicates(docs, k), "near-decisions")
     ids = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = written(ids.where("not kept").select("_id"), "near-gone")
+    gone = settled(ids.where("not kept").select("_id"), "near-gone")
     few = gone.count() <= BROADCAST_IDS
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
     out = row.join(F.broadcast(gone) if few else gone, F.col("own_id") == F.col("_id"), "left_anti")
