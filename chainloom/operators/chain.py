@@ -57,7 +57,11 @@ def parent_check(ledger: DataFrame, parents: DataFrame, strict_source: bool = Fa
 def lamport_check(ledger: DataFrame, parents: DataFrame) -> DataFrame:
     """The ledger with prev_code, n_missing (bad parents) and lamport_code: OK, LAMPORT_INVALID,
     COUNTER_EXHAUSTED, or SKIPPED where the predecessor or a parent is unresolved."""
-    by_child = parent_check(ledger, parents).groupBy("child").agg(F.count_if(~F.col("ok")).alias("n_missing"), F.max(F.when(F.col("ok"), F.col("p_lamport"))).alias("p_lamport"))
+    return _clocked(ledger, parent_check(ledger, parents))
+
+
+def _clocked(ledger: DataFrame, refs: DataFrame) -> DataFrame:
+    by_child = refs.groupBy("child").agg(F.count_if(~F.col("ok")).alias("n_missing"), F.max(F.when(F.col("ok"), F.col("p_lamport"))).alias("p_lamport"))
     rows = prev_check(ledger).join(by_child.withColumnRenamed("child", "hash"), "hash", "left")
     known = F.col("prev_lamport").isNotNull() & (F.coalesce("n_missing", F.lit(0)) == 0)
     top = F.greatest(F.col("prev_lamport"), F.coalesce("p_lamport", F.lit(0)))
@@ -65,21 +69,33 @@ def lamport_check(ledger: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.select(*ledger.columns, "prev_code", F.coalesce("n_missing", F.lit(0)).alias("n_missing"), code.alias("lamport_code"))
 
 
-def ref(prefix: str = "") -> F.Column:
-    """A reference as text: source/stream/seq/hash."""
-    return F.concat_ws("/", *[F.col(f"{prefix}{c}") for c in (*KEY, "hash")])
+def unnamed_refs(data_refs: DataFrame, parents: DataFrame) -> DataFrame:
+    """The references in events' data (child, source, stream, seq, hash) that are not among the child's parents."""
+    return data_refs.join(parents.select("child", *KEY, "hash").distinct(), ["child", *KEY, "hash"], "left_anti")
 
 
-def chain_findings(ledger: DataFrame, parents: DataFrame) -> DataFrame:
-    """All findings, each once: code, subjects (references, sorted by text, joined by `;`)."""
-    forks = ledger.groupBy(*KEY).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(ref())).alias("refs")).where("n > 1")
-    checked = lamport_check(ledger, parents)
+def findings(ledger: DataFrame, parents: DataFrame, data_refs: DataFrame | None = None) -> DataFrame:
+    """code, subjects (arrays of references, sorted) of all findings, each once. data_refs: references in
+    events' data, which have to be among their parents."""
+    own = F.struct(*KEY, "hash")
+    forks = ledger.groupBy(*KEY).agg(F.array_sort(F.collect_set(own)).alias("subjects")).where(F.size("subjects") > 1)
+    refs = parent_check(ledger, parents)
+    checked = _clocked(ledger, refs)
     codes = F.array_compact(F.array(F.when(F.col("prev_code") != "OK", F.col("prev_code")), F.when(F.col("lamport_code").isin("LAMPORT_INVALID", "COUNTER_EXHAUSTED"), F.col("lamport_code"))))
-    single = checked.select(F.explode(codes).alias("code"), ref().alias("subjects"))
-    missing = parent_check(ledger, parents).where("not ok")
-    own = F.concat_ws("/", "c_source", "c_stream", "c_seq", "child")
-    missing = missing.select(F.lit("PARENT_MISSING").alias("code"), F.concat_ws(";", F.array_sort(F.array_distinct(F.array(own, ref())))).alias("subjects"))
-    return forks.select(F.lit("SOURCE_FORK").alias("code"), F.concat_ws(";", "refs").alias("subjects")).unionByName(single).unionByName(missing).distinct()
+    single = checked.select(F.explode(codes).alias("code"), F.array(own).alias("subjects"))
+    child = F.struct(F.col("c_source").alias("source"), F.col("c_stream").alias("stream"), F.col("c_seq").alias("seq"), F.col("child").alias("hash"))
+    missing = refs.where("not ok").select(child.alias("c"), own.alias("r"))
+    if data_refs is not None:
+        of = ledger.select(F.col("hash").alias("child"), F.col("source").alias("c_source"), F.col("stream").alias("c_stream"), F.col("seq").alias("c_seq"))
+        missing = missing.unionByName(unnamed_refs(data_refs, parents).join(of, "child").select(child.alias("c"), own.alias("r")))
+    missing = missing.select(F.lit("PARENT_MISSING").alias("code"), F.array_sort(F.array_distinct(F.array("c", "r"))).alias("subjects"))
+    return forks.select(F.lit("SOURCE_FORK").alias("code"), "subjects").unionByName(single).unionByName(missing).distinct()
+
+
+def chain_findings(ledger: DataFrame, parents: DataFrame, data_refs: DataFrame | None = None) -> DataFrame:
+    """findings() with the subjects as texts (source/stream/seq/hash), sorted as texts and joined by `;`."""
+    text = F.transform("subjects", lambda r: F.concat_ws("/", *[r[c] for c in (*KEY, "hash")]))
+    return findings(ledger, parents, data_refs).select("code", F.concat_ws(";", F.array_sort(text)).alias("subjects"))
 
 
 def first_violation(ledger: DataFrame, parents: DataFrame) -> DataFrame:

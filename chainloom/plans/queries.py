@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.canon import base64url, canonical, domain_hash, from_base64url, is_count, is_id, parse_column
+from ..functions.canon import base64url, canonical, domain_hash, from_base64url, is_count, is_id, parse_column, signing_message
 from ..operators import audit, chain, graph, inventory, replay, store, trust, validate
-from ..sources.ledger import ZERO, from_events, load, settle, table
+from ..session import settle, table, workers
+from ..sources import bundles, histories
+from ..sources.ledger import ZERO, from_events, load
 from . import verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,9 +95,14 @@ def prev_check(spark, d):
     return chain.prev_check(load(spark, d)[0]).select("hash", "prev_code", "prev_lamport")
 
 
-@query(f"WITH {LEDGER} SELECT hash, CASE WHEN seq = 1 THEN 'OK' ELSE 'OK' END AS prev_code FROM base")
+@query(
+    f"""WITH {LEDGER}, plain AS (SELECT * FROM ledger WHERE kind <> 'altered')
+SELECT l.hash, CASE WHEN l.seq = 1 THEN CASE WHEN l.prev = '{ZERO}' THEN 'OK' ELSE 'PREV_MISMATCH' END
+  WHEN p.hash IS NULL THEN 'PREFIX_MISSING' WHEN p.hash = l.prev THEN 'OK' ELSE 'PREV_MISMATCH' END AS prev_code
+FROM plain l LEFT JOIN plain p ON p.source = l.source AND p.stream = l.stream AND p.seq = l.seq - 1"""
+)
 def predecessor_lag(spark, d):
-    return chain.predecessor_lag(from_events(table(spark, d, "events"))).select("hash", "prev_code")
+    return chain.predecessor_lag(load(spark, d)[0].where("kind <> 'altered'")).select("hash", "prev_code")
 
 
 @query(f"WITH {LEDGER}, {CHECKED} SELECT child, source, stream, seq, hash FROM refs WHERE NOT ok")
@@ -189,52 +196,57 @@ def edge_list(spark, d):
     return graph.edges(ledger, parents, objects)
 
 
-def _actions(ledger: DataFrame) -> DataFrame:
-    return ledger.where("event_id % 503 = 7").select(F.col("hash").alias("node"))
-
-
 def _causal(ledger: DataFrame, parents: DataFrame) -> DataFrame:
     return graph.edges(ledger, parents).join(ledger.select(F.col("hash").alias("src")), "src", "left_semi")
 
 
 _CLOSURE = f"""WITH RECURSIVE {LEDGER}, {EDGES}, known AS (SELECT src, dst FROM links WHERE src IN (SELECT hash FROM ledger)),
-seen AS (SELECT hash AS node FROM ledger WHERE event_id % 503 = 7 UNION SELECT k.src FROM seen s JOIN known k ON k.dst = s.node)"""
-
-
-@query(f"{_CLOSURE} SELECT node FROM seen")
-def ancestor_closure(spark, d):
-    ledger, parents = load(spark, d)
-    return graph.ancestors(_causal(ledger, parents), _actions(ledger)).select("node")
-
-
-@query(f"{_CLOSURE} SELECT DISTINCT src, dst, kind FROM links WHERE src IN (SELECT node FROM seen) AND dst IN (SELECT node FROM seen)")
-def induced_edges(spark, d):
-    ledger, parents = load(spark, d)
-    nodes = graph.ancestors(_causal(ledger, parents), _actions(ledger))
-    return graph.induced(graph.edges(ledger, parents), nodes)
-
-
-_CLOSURE_ALL = f"""WITH RECURSIVE {LEDGER}, {EDGES}, known AS (SELECT src, dst FROM links WHERE src IN (SELECT hash FROM ledger)),
 tops AS (SELECT source, stream, max(seq) AS seq FROM ledger GROUP BY ALL),
 seen AS (SELECT hash AS node FROM ledger JOIN tops USING (source, stream, seq) UNION SELECT k.src FROM seen s JOIN known k ON k.dst = s.node)"""
 
 
-def _closure_all(ledger: DataFrame, parents: DataFrame) -> DataFrame:
+def _closure(ledger: DataFrame, parents: DataFrame) -> DataFrame:
     """Ancestors of every stream's last events."""
     tops = ledger.groupBy("source", "stream").agg(F.max("seq").alias("seq"))
     heads = ledger.join(tops, ["source", "stream", "seq"]).select(F.col("hash").alias("node"))
     return graph.ancestors(_causal(ledger, parents), heads, max_depth=2**31 - 1)
 
 
-@query(f"{_CLOSURE_ALL} SELECT node FROM seen")
-def ancestor_closure_all(spark, d):
-    return _closure_all(*load(spark, d)).select("node")
+@query(f"{_CLOSURE} SELECT node FROM seen")
+def ancestor_closure(spark, d):
+    return _closure(*load(spark, d)).select("node")
 
 
-@query(f"{_CLOSURE_ALL} SELECT DISTINCT src, dst, kind FROM links WHERE src IN (SELECT node FROM seen) AND dst IN (SELECT node FROM seen)")
-def induced_edges_all(spark, d):
+@query(f"{_CLOSURE} SELECT DISTINCT src, dst, kind FROM links WHERE src IN (SELECT node FROM seen) AND dst IN (SELECT node FROM seen)")
+def induced_edges(spark, d):
     ledger, parents = load(spark, d)
-    return graph.induced(graph.edges(ledger, parents), _closure_all(ledger, parents))
+    return graph.induced(graph.edges(ledger, parents), _closure(ledger, parents))
+
+
+def lineage_request(spark, d):
+    """Ledger, parents, objects and actions of one request: the last events of the stream that reaches furthest (the first
+    by name of several)."""
+    ledger, parents = load(spark, d)
+    last = ledger.orderBy(F.col("seq").desc(), "source", "stream").select("source", "stream", "seq").limit(1)
+    actions = ledger.join(F.broadcast(last), ["source", "stream", "seq"]).select(F.col("hash").alias("node"))
+    held = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("object"))
+    objects = ledger.join(held, F.col("event_id") % 997 == F.col("doc_id")).select(F.col("hash").alias("event"), "object", F.lit("input").alias("kind"))
+    return ledger, parents, objects, actions
+
+
+@query(
+    f"""WITH RECURSIVE {LEDGER}, {EDGES}, known AS (SELECT src, dst FROM links WHERE src IN (SELECT hash FROM ledger)),
+top AS (SELECT source, stream, seq FROM ledger ORDER BY seq DESC, source, stream LIMIT 1),
+seen AS (SELECT hash AS node FROM ledger JOIN top USING (source, stream, seq) UNION SELECT k.src FROM seen s JOIN known k ON k.dst = s.node)
+SELECT node, 'event' AS type FROM seen
+UNION SELECT sha256(o.text), 'object' FROM ledger l JOIN documents o ON o.doc_id = l.event_id % 997 WHERE l.hash IN (SELECT node FROM seen)"""
+)
+def lineage_read(spark, d):
+    """The nodes of one lineage request (their order and findings are tested on their own)."""
+    ledger, parents, objects, actions = lineage_request(spark, d)
+    nodes, _, _ = graph.lineage(ledger, parents, actions, objects)
+    event = ledger.select(F.col("hash").alias("node"), F.lit("event").alias("type")).distinct()
+    return nodes.join(event, "node", "left").select("node", F.coalesce("type", F.lit("object")).alias("type"))
 
 
 @query(
@@ -250,25 +262,22 @@ def gap_blocked(spark, d):
     return graph.gap_blocked(*load(spark, d))
 
 
-@query("WITH RECURSIVE links AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % 500 AS dst FROM lineitem WHERE l_partkey < 500 AND l_linenumber = 1), reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON l.src = r.dst), cyc AS (SELECT src AS node FROM reach WHERE src = dst) SELECT node FROM cyc UNION SELECT r.dst FROM reach r JOIN cyc c ON c.node = r.src JOIN reach t ON t.src = r.dst JOIN cyc e ON e.node = t.dst")
-def cycle_members(spark, d):
-    rows = table(spark, d, "lineitem").where("l_partkey < 500 and l_linenumber = 1")
-    return graph.cycle_members(rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("dst")))
-
-
 @query()
-def cycle_members_all(spark, d):
-    """cycle_members over every row of lineitem; the targets wrap at the number of parts, so any part can be one."""
+def cycle_members(spark, d):
+    """Every row of lineitem is a link; the targets wrap at the number of parts, so any part can be one. Without SQL,
+    as a recursive one makes all pairs of parts."""
     parts = table(spark, d, "part").agg((F.max("p_partkey") + 1).alias("n_parts"))
-    rows = table(spark, d, "lineitem").crossJoin(F.broadcast(parts))
+    rows = table(spark, d, "lineitem").crossJoin(F.broadcast(parts))  # one row
     return graph.cycle_members(rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n_parts")).alias("dst")))
 
 
 @query()
 def topo_order(spark, d):
+    """The causal order within the streams of every four neighbouring users."""
     ledger, parents = load(spark, d)
-    nodes = ledger.select(F.col("source").alias("component"), F.col("hash").alias("node"))
-    return graph.topological_order(nodes, graph.edges(ledger, parents), max_nodes=10**7)
+    group = F.concat(F.lit("g"), F.floor(F.substring("stream", 2, 30).cast("long") / 4))
+    nodes = ledger.select(group.alias("component"), F.col("hash").alias("node"))
+    return graph.topological_order(nodes, graph.edges(ledger, parents))
 
 
 # -- lifecycle ----------------------------------------------------------------------------------
@@ -335,29 +344,6 @@ def _offers(spark, d):
 
 
 def _accepts(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    li = li.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    scope = F.when(F.col("l_partkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus"))
-    return li.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("accept"), F.when(F.col("l_partkey") % 31 == 0, -1).otherwise(F.col("l_orderkey")).alias("offer"), F.concat(F.lit("d"), F.col("l_orderkey") % 50).alias("delegation"), scope.alias("scope"), F.col("o_custkey").cast("string").alias("child"))
-
-
-_MATCH = """WITH a AS (
-  SELECT DISTINCT l_orderkey || '-' || l_partkey || '-' || l_suppkey AS accept, CASE WHEN l_partkey % 31 = 0 THEN -1 ELSE l_orderkey END AS offer,
-    l_partkey % 10 = 0 OR l_partkey % 31 = 0 OR l_orderkey % 19 = 0 AS bad FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
-m AS (SELECT accept, offer, CASE WHEN bad THEN 'DELEGATION_MISMATCH' ELSE 'OK' END AS code FROM a)"""
-
-
-@query(f"{_MATCH} SELECT accept, offer, code FROM m")
-def delegation_match(spark, d):
-    return replay.delegation_match(_accepts(spark, d), _offers(spark, d))
-
-
-@query(f"{_MATCH} SELECT offer, count(*) AS n, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'DELEGATION_REUSED' END AS code, CASE WHEN count(*) = 1 THEN min(accept) END AS accept FROM m WHERE code = 'OK' GROUP BY offer")
-def delegation_reuse(spark, d):
-    return replay.delegation_edges(delegation_match(spark, d))
-
-
-def _accepts_all(spark, d):
     """Every row of lineitem as an accept. In orders with an even key all rows but the first name another scope, so that
     these offers have one good accept at most."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
@@ -368,7 +354,7 @@ def _accepts_all(spark, d):
     return li.select(F.concat_ws("-", "l_orderkey", "k").alias("accept"), F.when(F.col("l_partkey") % 31 == 0, -1).otherwise(F.col("l_orderkey")).alias("offer"), F.concat(F.lit("d"), F.col("l_orderkey") % 50).alias("delegation"), scope.alias("scope"), F.col("o_custkey").cast("string").alias("child"))
 
 
-_MATCH_ALL = """WITH k AS (
+_MATCH = """WITH k AS (
   SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem),
 a AS (
   SELECT l_orderkey || '-' || k AS accept, CASE WHEN l_partkey % 31 = 0 THEN -1 ELSE l_orderkey END AS offer,
@@ -376,14 +362,14 @@ a AS (
 m AS (SELECT accept, offer, CASE WHEN bad THEN 'DELEGATION_MISMATCH' ELSE 'OK' END AS code FROM a)"""
 
 
-@query(f"{_MATCH_ALL} SELECT accept, offer, code FROM m")
-def delegation_match_all(spark, d):
-    return replay.delegation_match(_accepts_all(spark, d), _offers(spark, d))
+@query(f"{_MATCH} SELECT accept, offer, code FROM m")
+def delegation_match(spark, d):
+    return replay.delegation_match(_accepts(spark, d), _offers(spark, d))
 
 
-@query(f"{_MATCH_ALL} SELECT offer, count(*) AS n, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'DELEGATION_REUSED' END AS code, CASE WHEN count(*) = 1 THEN min(accept) END AS accept FROM m WHERE code = 'OK' GROUP BY offer")
-def delegation_reuse_all(spark, d):
-    return replay.delegation_edges(delegation_match_all(spark, d))
+@query(f"{_MATCH} SELECT offer, count(*) AS n, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'DELEGATION_REUSED' END AS code, CASE WHEN count(*) = 1 THEN min(accept) END AS accept FROM m WHERE code = 'OK' GROUP BY offer")
+def delegation_reuse(spark, d):
+    return replay.delegation_edges(delegation_match(spark, d))
 
 
 # -- objects ------------------------------------------------------------------------------------
@@ -692,28 +678,8 @@ def batch_admission(spark, d):
     return store.admit(batch, keys, refs.select("digest"), refs, batch.where("source <> 'src2'").select("source"))
 
 
-@query()
-def signature_check(spark, d):
-    """Signs 24 events with a fixed seed, damages every third signature and verifies them all: a
-    fixture of fixed size, since each verification is integer arithmetic in Python."""
-    from ..functions import ed25519
-
-    seed = bytes(range(32))
-    key = ed25519.public_key(seed)
-    rows = []
-    for i in range(24):
-        message = b"event\0" + i.to_bytes(4, "big")
-        s = ed25519.sign(seed, message)
-        rows.append((i, key, message, s if i % 3 else s[:-1] + bytes([s[-1] ^ 1])))
-    df = spark.createDataFrame(rows, "id int, key binary, message binary, signature binary")
-    return ed25519.verified(df, "key", "message", "signature").select("id", "signature_ok")
-
-
-SQL["signature_check"] = "SELECT i::INT AS id, i % 3 <> 0 AS signature_ok FROM range(24) t(i)"
-
-
 @query(f"WITH {LEDGER} SELECT hash, event_id % 3 <> 0 AS signature_ok FROM ledger")
-def signature_check_all(spark, d):
+def signature_check(spark, d):
     """Every event of the ledger signed by the key of its user, every third signature damaged, and all verified. The
     tables hold no signatures, so they are made here, by executors."""
     import hashlib
@@ -726,25 +692,113 @@ def signature_check_all(spark, d):
         s = ed25519.sign(seed, bytes(message))
         return ed25519.public_key(seed), s[:-1] + bytes([s[-1] ^ 1]) if damaged else s
 
-    rows = _keyed(spark, d).select("hash", "key", F.concat(F.lit("event").cast("binary"), F.unhex(F.lit("00")), F.unhex("hash")).alias("message"), (F.col("event_id") % 3 == 0).alias("damaged"))
+    workers(spark)
+    message = signing_message("event", F.col("hash"))
+    rows = _keyed(spark, d).select("hash", "key", message.alias("message"), (F.col("event_id") % 3 == 0).alias("damaged"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = settle(rows.select("hash", "message", signed("key", "message", "damaged").alias("s")).select("hash", "message", "s.key", "s.signature"))
+    rows = settle(rows.select("hash", "message", signed("key", "message", "damaged").alias("s")).select("hash", "message", "s.key", "s.signature"), "signed")
     return ed25519.verified(rows, "key", "message", "signature").select("hash", "signature_ok")
 
 
-@query()
+#: What is planted in a bundle by its number (sources.histories), and what its report has to say: fault, reasons, and the
+#: grades that are not those of a good bundle. Faults of a second or fourth event need as many.
+_FAULTS = (
+    (0, 1, "HASH_MISMATCH", "INVALID"),
+    (1, 1, "SIGNATURE_INVALID", "INVALID"),
+    (2, 1, "KEY_MATERIAL_INVALID", "INVALID"),
+    (3, 1, "KEY_MATERIAL_INVALID", "INVALID"),
+    (4, 2, "SCOPE_MISMATCH", "INVALID"),
+    (5, 1, "SCOPE_MISMATCH", "INVALID"),
+    (6, 1, "INVENTORY_MISMATCH", "INVALID"),
+    (7, 1, "INVENTORY_MISMATCH", "INVALID"),
+    (8, 2, "PREV_MISMATCH", "INVALID"),
+    (9, 2, "LAMPORT_INVALID", "INVALID"),
+    (10, 3, "PREFIX_MISSING", "INCOMPLETE PARTIAL"),
+    (11, 1, "SOURCE_FORK", "CONFLICTED NONE o:CONFLICTED"),
+    (12, 1, "PREV_MISMATCH", "INVALID"),
+    (13, 1, "AUDIT_FORK", "INVALID CONFLICTED"),
+    (14, 1, "AUDIT_BINDING_MISMATCH", "INVALID"),
+    (15, 1, "PROJECTION_MISMATCH", "INVALID"),
+    (16, 2, "STATE_TRANSITION", "INVALID"),
+    (17, 1, "PIN_ABSENT", "a:SIGNED_UNANCHORED f:UNANCHORED"),
+    (18, 1, "KEY_UNPINNED", "o:UNTRUSTED"),
+    (19, 1, "KEY_COMPROMISED", "o:UNTRUSTED"),
+    (20, 2, "KEY_INTERVAL", "o:UNTRUSTED"),
+    (21, 1, "PIN_AHEAD", "o:INCOMPLETE f:BEHIND_REQUIRED_CUT"),
+    (22, 1, "PIN_MISMATCH", "o:CONFLICTED f:UNANCHORED"),
+    (23, 1, "OBJECT_WITHHELD", "PARTIAL"),
+    (24, 1, "ACTION_UNKNOWN", "INVALID"),
+    (25, 1, "TRUST_EXPIRED", "o:UNTRUSTED a:UNTRUSTED"),
+    (26, 1, "KEY_UNPINNED", "a:UNTRUSTED"),
+    (27, 1, "PIN_MISMATCH", "a:CONFLICTED"),
+    (28, 4, "PARENT_MISSING", "INCOMPLETE PARTIAL"),
+    (29, 1, "HASH_MISMATCH", "INVALID"),
+    (30, 1, "PIN_ABSENT", "o:SIGNED_UNANCHORED f:UNANCHORED"),
+    (31, 1, "PIN_AHEAD", "a:INCOMPLETE f:BEHIND_REQUIRED_CUT"),
+    (32, 1, "HASH_MISMATCH", "INVALID"),
+)
+
+
+def _report_row(fault: int, least: int, reasons: str, grades: str) -> str:
+    words = grades.split()
+    bad = "INVALID" in words
+    told = {w[0]: w[2:] for w in words if w[1:2] == ":"}
+    lineage = "CONFLICTED" if "CONFLICTED" in words else "INCOMPLETE" if bad or "INCOMPLETE" in words else "COMPLETE_RELATIVE"
+    whole = "NONE" if bad or "NONE" in words else "PARTIAL" if "PARTIAL" in words else "FULL_RECONSTRUCTION"
+    sides = ("UNTRUSTED", "UNTRUSTED", "UNANCHORED") if bad else (told.get("o", "PINNED"), told.get("a", "PINNED"), told.get("f", "AT_REQUIRED_CUT"))
+    return f"({fault}, {least}, '{'INVALID' if bad else 'VALID'}', '{lineage}', '{whole}', '{sides[0]}', '{sides[1]}', '{sides[2]}', '{reasons}')"
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events),
+b AS (SELECT user_id, place // {histories.EVENTS} AS part, count(*) AS n FROM e GROUP BY ALL),
+f (fault, least, integrity, lineage, reconstruction, origin, audit, freshness, reasons) AS (VALUES {", ".join(_report_row(*x) for x in _FAULTS)})
+SELECT 'b' || user_id || 'x' || part AS bundle, coalesce(integrity, 'VALID') AS integrity, coalesce(lineage, 'COMPLETE_RELATIVE') AS lineage,
+  coalesce(reconstruction, 'FULL_RECONSTRUCTION') AS reconstruction, coalesce(origin, 'PINNED') AS origin, coalesce(audit, 'PINNED') AS audit,
+  coalesce(freshness, 'AT_REQUIRED_CUT') AS freshness, coalesce(reasons, '') AS reasons, f.fault IS NULL AS accepted
+FROM b LEFT JOIN f ON f.fault = (user_id + 5 * part) % {histories.FAULTS} AND n >= least"""
+)
 def verify_report(spark, d):
-    """The report over a whole clean history with its own pins: one row."""
-    clean = from_events(table(spark, d, "events")).drop("user_id").withColumn("key", F.lit("k"))
-    parents = clean.where("seq > 2 and event_id % 5 = 0").select(F.col("hash").alias("child"), "source", "stream", (F.col("seq") - 1).alias("seq"), F.col("prev").alias("hash"))
-    cuts = chain.cuts(clean)
-    pins = cuts.select(F.lit("origin").alias("role"), "source", "stream", F.concat(F.lit("k"), F.lit("")).alias("key"), F.lit(1).alias("first"), F.lit(10**9).alias("last"), F.lit("ACTIVE").alias("status"))
-    heads = cuts.select(F.lit("origin").alias("role"), "source", "stream", F.col("through").alias("seq"), F.col("head").alias("hash"))
-    runs = replay.replay(run_events(spark, d)).where("code = 'OK'")
-    refs = inventory.distinct_refs(_refs(spark, d)).withColumn("kind", F.lit("object"))
-    declared = refs.withColumn("availability", F.lit("INCLUDED")).withColumn("has_body", F.lit(True))
-    none = spark.createDataFrame([], "code string")
-    return verify.verify(clean, parents, runs, declared, refs, declared, pins, heads, none)
-
-
-SQL["verify_report"] = "SELECT 'VALID' AS integrity, 'PINNED' AS origin, 'PINNED' AS audit, 'AT_REQUIRED_CUT' AS freshness, 'COMPLETE_RELATIVE' AS lineage, 'FULL_RECONSTRUCTION' AS reconstruction, true AS accepted, '' AS reasons"
+    """The reports of bundles that hold every event of the table, most with a fault planted."""
+    return verify.verify(histories.bundles_of(table(spark, d, "events")))
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, event_id % 12 AS f FROM events)
+SELECT 'e' || event_id AS bundle, CASE f WHEN 0 THEN 'fields' WHEN 1 THEN 'version' WHEN 2 THEN 'seq' WHEN 3 THEN 'data fields' WHEN 4 THEN 'parents' WHEN 5 THEN 'outcome'
+  WHEN 6 THEN 'kind' WHEN 7 THEN 'signature' WHEN 8 THEN 'JSON_INVALID' WHEN 9 THEN 'SCHEMA_INVALID' END AS rule FROM e WHERE f < 10"""
+)
+def bundle_schema(spark, d):
+    """Every event of the table as a bundle's JSON text, each with one fault of form or none; read, typed and held against the rules."""
+    n = F.col("event_id") % 12
+    h = F.sha2(F.col("event_id").cast("string"), 256)
+    when = lambda k, bad, good: F.when(n == k, bad).otherwise(good)
+    ref = F.concat(F.lit('{"hash":"'), h, F.lit('","seq":"1","source":"s","stream":"m"}'))
+    later = F.concat(F.lit('{"hash":"'), h, F.lit('","seq":"2","source":"s","stream":"m"}'))
+    data = F.concat(
+        F.lit('{"kind":"'), when(6, F.lit("StepLost"), F.lit("StepClosed")), F.lit('","outcome":"'), when(5, F.lit("UNKNOWN"), F.lit("SUCCEEDED")), F.lit('","observation":'), ref, F.lit(',"run":"r"'),
+        when(3, F.lit(""), F.lit(',"step":"s1"')), F.lit("}"),
+    )
+    body = F.concat(
+        F.lit('{"v":'), when(1, F.lit("2"), F.lit("1")), F.lit(',"workspace":"w","source":"s","stream":"m","seq":"'), when(2, F.lit("03"), F.lit("3")), F.lit('","prev":"'), h, F.lit('","lamport":"3","key":"'), h,
+        F.lit('","parents":['), when(4, F.concat_ws(",", later, ref), F.concat_ws(",", ref, later)), F.lit('],"data":'), data, when(0, F.lit(',"more":null}'), F.lit("}")),
+    )
+    signature = F.concat(F.repeat(F.lit("A"), when(7, F.lit(85), F.lit(86))))
+    event = F.concat(F.lit('{"body":'), body, F.lit(',"hash":"'), h, F.lit('","signature":"'), signature, F.lit('"}'))
+    hash_ = when(8, F.concat(h, F.lit('","hash":"')), h)
+    text = F.concat(F.lit('{"body":{},"keys":[],"audit":[],'), when(9, F.lit('"other":[],'), F.lit('"objects":[],')), F.lit('"hash":"'), hash_, F.lit('","events":['), event, F.lit("]}"))
+    rows = settle(bundles.members(table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("bundle"), text.alias("text"))), "members")
+    broken = validate.violations(bundles.typed_events(rows), validate.event_rules(), "bundle")
+    return rows.where("code <> 'OK'").select("bundle", F.col("code").alias("rule")).unionByName(broken)
+
+
+@query("SELECT event_id, 'PT' || event_id AS path, CASE event_id % 5 WHEN 0 THEN 'scope' WHEN 1 THEN 'interval' WHEN 2 THEN 'zero head' WHEN 3 THEN 'availability' END AS rule FROM events WHERE event_id % 5 < 4")
+def pin_rules(spark, d):
+    """Key pins, head pins and inventory items with one broken rule each, a row for every event of the table."""
+    n, h = F.col("event_id") % 5, F.sha2(F.col("event_id").cast("string"), 256)
+    rows = table(spark, d, "events").select(
+        "event_id", F.concat(F.lit("PT"), "event_id").alias("path"), F.when(n == 0, "audit").otherwise("origin").alias("role"), F.lit("s").alias("source"), F.lit("m").alias("stream"), h.alias("key"),
+        F.lit(5).cast("long").alias("first"), F.when(n == 1, 4).otherwise(9).cast("long").alias("last"), F.lit("ACTIVE").alias("status"),
+        F.when(n == 2, 0).otherwise(7).cast("long").alias("seq"), h.alias("hash"), F.when(n == 3, "key").otherwise("object").alias("kind"), F.lit("WITHHELD").alias("availability"), F.lit(1).cast("long").alias("bytes"), h.alias("digest"),
+    )
+    return validate.violations(rows, validate.pin_rules() | validate.head_rules() | validate.inventory_rules(), "event_id", "path").dropDuplicates(["event_id", "rule"])

@@ -71,8 +71,10 @@ def test_trust(spark):
 
 
 def test_validation(spark):
-    df = frame(spark, [("RunOpened", ["run", "intent"], [1, 2]), ("StepOpened", ["run", "step"], [2, 1]), ("Other", ["run"], [1, 1])], "kind string, present array<string>, items array<int>")
-    out = validate.violations(df, {"fields": validate.closed_fields(F.col("kind"), F.col("present")), "order": validate.sorted_unique(F.col("items"))}, "kind")
+    rows = [("RunClosed", {"kind": "string", "run": "string", "outcome": "string"}, [1, 2]), ("StepOpened", {"kind": "string", "run": "string", "step": "string"}, [2, 1]), ("Other", {"kind": "string"}, [1, 1])]
+    df = frame(spark, rows, "kind string, fields map<string,string>, items array<int>")
+    fields = validate._by_kind(F.col("kind"), F.col("fields"), validate.EVENT_DATA)
+    out = validate.violations(df, {"fields": fields, "order": validate.sorted_unique(F.col("items"))}, "kind")
     assert {(r.kind, r.rule) for r in out.collect()} == {("StepOpened", "fields"), ("StepOpened", "order"), ("Other", "fields"), ("Other", "order")}
     paths = frame(spark, [("a/b",), ("/a",), ("a/../b",), ("a\\b",), ("a//b",), ("é",)], "p string")
     assert [r[0] for r in paths.select(validate.backup_path_rule(F.col("p"))).collect()] == [True, False, False, False, False, False]
