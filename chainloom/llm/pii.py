@@ -10,15 +10,19 @@ the document, however far away; loopy sum-product message passing makes labels o
 A sweep takes the chains and then the skips from the first token to the last and back, so that evidence
 crosses any number of repeats at once; a text is swept until no message moves by TOLERANCE. (Loops need not
 settle: steps shrink after SETTLING sweeps, and a text that still moves after MAX_SWEEPS is warned of.)
-So a number that is plainly a card in one place is found where its other form fails the pattern. A
-token that the field is sure of and that meets no base span gives an added span.
-
-Weights are trained by pseudo-likelihood on a bounded sample of texts (`sample_rows` of at most
-SAMPLE_CHARS characters, by smallest seeded hash), with the base spans as labels. Every whole text is
+A candidate that the field is sure of and that meets no base span gives an added span: forms that the
+patterns miss (a card with a wrong digit, an address without its dots, a telephone number without its plus
+sign), other forms of what stands plainly elsewhere, and secrets (keys and tokens), a kind of the method's own.
+
+Weights are learned by pseudo-likelihood from lessons. A lesson is a snippet of a sampled text (`sample_rows` rows by
+smallest seeded hash, SNIPPET characters each, which bounds what reaches the driver) with its base spans
+and named secrets as labels, of which half are disturbed so that no pattern fits them, some are said again in another form, and plain
+numbers and made-up secrets are put between its words. One half of the lessons teaches, and the other sets the probability
+from which the field counts as sure: the least at which PRECISION of what it adds there is right. Every whole text is
 labelled; work grows with the text, for every candidate has at most one chain and one skip edge back.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans;
-repeated rows get equal results; an empty table gives an empty result; with no candidates to learn
+repeated rows get equal results; an empty table gives an empty result; without any text to learn
 from the field adds nothing; only doc_id and text are read.
 """
 
@@ -38,10 +42,14 @@ from pyspark.sql import functions as F
 
 from .runtime import map_batches, smallest, string_column, table
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = 4  # the first of them have patterns
+N_LABELS = 1 + len(KINDS)
+#: Without lessons to set it: from which probability on the field is sure.
 SURE = 0.95
+PRECISION = 0.995
 TOLERANCE, SETTLING, MAX_SWEEPS = 1e-6, 20, 1000
-SAMPLE_CHARS = 20_000
+SNIPPET = 400
 GROUP_DIGITS = 19
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,7 +58,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+# Entered at the start of a token only and never given back, so that work is linear in any text.
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+_NAMED = re.compile(r"(?i)(?:token|secret|password|passwd|credential|(?:api|access|private)[ _-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9+/_-]{12,128})")
+_BEFORE = re.compile(r"([A-Za-z_-]{1,24})?[\"']?\s{0,4}([:=])?\s{0,4}[\"'(\[]?$")
+_INSIDE = re.compile(r"[:=][\"']?([A-Za-z0-9+/_-]+)")
+_SECRET_WORD = re.compile(r"(?i)token|secret|passw|credential|key$")
+_HEX = frozenset("0123456789abcdefABCDEF")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -86,10 +100,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _features(token: str) -> list[int]:
+def _bucket(n: int, *steps: int) -> int:
+    return bisect_right(steps, n)
+
+
+def _features(text: str, start: int, end: int) -> list[int]:
+    """Numbers of the features that a candidate has, one of each group."""
+    token = text[start:end]
     digits = len(_DIGITS.findall(token))
     letters = sum(c.isalpha() for c in token)
     at, dot, dash, plus = token.count("@"), token.count("."), token.count("-"), token.startswith("+")
+    inside = _INSIDE.search(token)
+    core = inside[1] if inside else token.strip(".,;:!?()[]<>\"'#$%&*")
+    head = core[:256]
+    turns = sum(x.isdigit() != y.isdigit() for x, y in zip(head, head[1:], strict=False))
+    mixed = bool(digits and letters and core.isascii() and all(c.isalnum() or c in "+/_-" for c in head))
+    before = _BEFORE.search(text[max(0, start - 40) : start + (inside.start() + 1 if inside else 0)])
+    word, mark = (before[1] or "", before[2] or "") if before else ("", "")
+    parts = token.strip(".,;:!?()[]").split(".")
+    octets = len(parts) == 4 and all(x.isdigit() and len(x) <= 3 for x in parts)
     return [
         0,
         1 + min(digits, 20),
@@ -102,10 +131,18 @@ def _features(token: str) -> list[int]:
         49 + (dot == 3 and letters == 0),
         51 + (digits > 0 and letters == 0 and 13 <= digits <= 19),
         53 + ("(" in token or ")" in token),
+        55 + (mixed and set(head) <= _HEX),
+        57 + _bucket(len(core), 8, 12, 16, 24, 40, 64),
+        64 + mixed,
+        66 + ("", ":", "=").index(mark),
+        69 + bool(mark and _SECRET_WORD.search(word)),
+        71 + octets,
+        73 + _bucket(turns, 1, 3, 6),
+        77 + (letters == 0 and 9 <= digits <= 15 and (plus or token.startswith("00") or "(" in token or dash > 1)),
     ]
 
 
-N_FEATURES = 55
+N_FEATURES = 79
 
 
 @dataclass
@@ -169,7 +206,7 @@ def graph(texts: list[str], spans: list[list[tuple[int, int, int]]] | None = Non
             node, token = len(home), text[start:end]
             home.append(t)
             span.append((start, end))
-            feats.append(_features(token))
+            feats.append(_features(text, start, end))
             if before is not None and text[before[1] : start].isspace():
                 chain.append((before[0], node))
             before = (node, end)
@@ -179,7 +216,7 @@ def graph(texts: list[str], spans: list[list[tuple[int, int, int]]] | None = Non
                     skip.append((seen[key], node))
                 seen[key] = node
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Graph(np.array(home, np.int64), pairs(span), np.array(feats, np.int64).reshape(-1, 11), pairs(chain), pairs(skip))
+    return Graph(np.array(home, np.int64), pairs(span), np.array(feats, np.int64).reshape(-1, 19), pairs(chain), pairs(skip))
 
 
 @dataclass
@@ -187,6 +224,7 @@ class Field:
     unary: np.ndarray  # (features, labels), label 0 is none
     chain: np.ndarray  # (labels, labels)
     skip: np.ndarray
+    sure: float = SURE
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -249,28 +287,142 @@ def _labels(g: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Field | None:
-    """Pseudo-likelihood: each token given its features and its neighbours' labels."""
-    spans = [base_spans(t) for t in texts]
-    g = graph(texts, spans)
+def _fails(kind: int, form: str) -> bool:
+    return not any(k == kind for k, _, _ in base_spans(form))
+
+
+def _disturbed(rng: np.random.Generator, kind: int, form: str) -> str:
+    """Another form of an entity, which its pattern does not match (or the form itself, if none is found)."""
+    digit = lambda: str(rng.integers(10))
+    for _ in range(8):
+        if kind == 0:
+            name, host = form.split("@", 1)
+            new = name + "@" + host.replace(".", "" if rng.random() < 0.5 else "_")
+        elif kind == 1:
+            parts = form.split(".")
+            parts[rng.integers(4)] = str(rng.integers(256, 1000))
+            new = ".".join(parts)
+        elif kind == 2:
+            i = int(rng.choice([i for i, c in enumerate(form) if c.isdigit()]))
+            new = form[:i] + digit() + form[i + 1 :]
+            if rng.random() < 0.3:
+                d = re.sub("[^0-9]", "", form)
+                new = rng.choice([".", "/", "_"]).join(d[k : k + 4] for k in range(0, len(d), 4))
+        elif kind == 3:
+            new = ("00" if rng.random() < 0.5 else "") + form[1:]
+        else:
+            new = _made_secret(rng)
+        if _fails(kind, new):
+            return new
+    return form
+
+
+def _made_secret(rng: np.random.Generator) -> str:
+    letters = "0123456789abcdef" if rng.random() < 0.6 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+    return "".join(rng.choice(list(letters), int(rng.choice([20, 24, 32, 40, 40, 64]))))
+
+
+def _plain(rng: np.random.Generator) -> str:
+    """A number, or a word with digits, that is nobody's."""
+    n = lambda a, b: str(rng.integers(a, b))
+    return str(
+        rng.choice([
+            n(0, 10), n(10, 100), n(1900, 2100), n(1000, 10**8), n(10**8, 10**10), f"{n(0, 100)}.{n(0, 100)}", f"{n(0, 10)}.{n(0, 20)}.{n(0, 50)}", f"v{n(0, 10)}.{n(0, 20)}", f"{n(1990, 2030)}-{n(10, 13)}-{n(10, 29)}",
+            f"{n(10, 24)}:{n(10, 60)}", f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}", f"{n(1, 100)}%", f"${n(1, 10**4)}.{n(10, 100)}", f"#{n(1, 10**5)}", f"{n(2, 99)}th", f"x{n(1, 100)}", f"@{'abcdefghij'[: int(n(3, 9))]}", f"{n(1, 10)},{n(100, 1000)}",
+            f"{n(1, 100)}-{n(1, 100)}", f"0x{n(1000, 10**6)}", f"ISO-{n(1000, 9999)}", f"{n(1, 30)}/{n(1, 13)}/{n(1990, 2030)}", f"mp{n(3, 5)}", f"{n(100, 1000)}-{n(1000, 10**4)}",
+        ])
+    )
+
+
+def _doubtful(token: str) -> bool:
+    """Whether a token that no pattern meets may be personal all the same, so that nothing is learned from it."""
+    digits = len(_DIGITS.findall(token))
+    return digits >= 9 or "@" in token or token.count(".") >= 3 or (digits > 2 and len(token) >= 16)
+
+
+def lesson(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text made of a snippet, and all its spans (kind, start, end)."""
+    known = [*base_spans(text), *((4, *m.span(1)) for m in _NAMED.finditer(text))]
+    out, spans, at, end = [], [], 0, 0
+
+    def put(part: str, kind: int | None = None) -> None:
+        nonlocal at
+        if kind is not None:
+            spans.append((kind, at, at + len(part)))
+        out.append(part)
+        at += len(part)
+
+    def between(part: str) -> None:
+        put(_TOKEN.sub(lambda m: "x" if _doubtful(m[0]) else m[0], part))
+        for _ in range(int(rng.integers(3))):
+            put(" ")
+            if rng.random() < 0.2:
+                put(str(rng.choice(["token = ", "key: ", "secret=", "password: ", "", "", "id "])))
+                quote = str(rng.choice(["", '"', "'"]))
+                put(quote)
+                put(_made_secret(rng), 4)
+                put(quote)
+            else:
+                put(_plain(rng))
+            put(" ")
+
+    for kind, a, b in sorted(known, key=lambda x: x[1]):
+        if a < end:
+            continue
+        between(text[end:a])
+        put(_disturbed(rng, kind, text[a:b]) if rng.random() < 0.5 else text[a:b], kind)
+        if rng.random() < 0.3:
+            put(" or ")
+            put(_disturbed(rng, kind, text[a:b]), kind)
+        end = b
+    between(text[end:])
+    return "".join(out), spans
+
+
+def train(texts: list[str], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3, seed: int = 3) -> Field | None:
+    """A field from lessons that snippets give: even ones teach, odd ones set what counts as sure."""
+    rng = np.random.default_rng(seed)
+    lessons = [lesson(t, rng) for t in texts]
+    field = _learn(lessons[::2], rounds, rate, decay)
+    if field is not None:
+        field.sure = _calibrated(field, lessons[1::2])
+    return field
+
+
+def _calibrated(field: Field, lessons: list[tuple[str, list[tuple[int, int, int]]]]) -> float:
+    base = [base_spans(t) for t, _ in lessons]
+    g = graph([t for t, _ in lessons], base)
+    if not len(g.home):
+        return SURE
+    p, y = infer(g, field), _labels(g, [s for _, s in lessons])
+    new = (_labels(g, base) == 0) & (p.argmax(1) > 0)
+    best, right = p.max(1)[new], (p.argmax(1) == y)[new]
+    order = np.argsort(-best)
+    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    fit = np.flatnonzero(share >= PRECISION)
+    return float(min(max(best[order][fit[-1]], 0.5), 0.999)) if len(fit) else 0.999
+
+
+def _learn(lessons: list[tuple[str, list[tuple[int, int, int]]]], rounds: int, rate: float, decay: float) -> Field | None:
+    """Pseudo-likelihood: each candidate given its features and its neighbours' labels."""
+    g = graph([t for t, _ in lessons])
     if not len(g.home):
         return None
-    y = _labels(g, spans)
-    n, k = len(y), 1 + len(KINDS)
+    y = _labels(g, [s for _, s in lessons])
+    n, k = len(y), N_LABELS
     near = np.zeros((4, n, k))  # counts of labels: chain before, after, skip before, after
     for m, (edges, i, j) in enumerate(((g.chain, 0, 1), (g.chain, 1, 0), (g.skip, 0, 1), (g.skip, 1, 0))):
         np.add.at(near[m], (edges[:, j], y[edges[:, i]]), 1)
     f = Field(np.zeros((N_FEATURES, k)), np.zeros((k, k)), np.eye(k))
     one = np.eye(k)[y]
+    has = np.zeros((n, N_FEATURES))
+    has[np.arange(n)[:, None], g.features] = 1
     weights = [f.unary, f.chain, f.skip]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, rounds + 1):
-        p = _softmax(f.unary[g.features].sum(1) + near[0] @ f.chain + near[1] @ f.chain.T + near[2] @ f.skip + near[3] @ f.skip.T)
+        p = _softmax(has @ f.unary + near[0] @ f.chain + near[1] @ f.chain.T + near[2] @ f.skip + near[3] @ f.skip.T)
         d = (p - one) / n
-        d_unary = np.zeros_like(f.unary)
-        for c in range(g.features.shape[1]):
-            np.add.at(d_unary, g.features[:, c], d)
-        grads = [d_unary, near[0].T @ d + (near[1].T @ d).T, near[2].T @ d + (near[3].T @ d).T]
+        grads = [has.T @ d, near[0].T @ d + (near[1].T @ d).T, near[2].T @ d + (near[3].T @ d).T]
         for w, q, a, b in zip(weights, grads, m, v, strict=True):
             q = q + decay * w / n
             a += 0.1 * (q - a)
@@ -286,8 +438,10 @@ def all_spans(texts: list[str], field: Field | None) -> list[tuple[list[tuple[in
     g = graph(texts, base)
     if field is not None and len(g.home):
         p = infer(g, field)
-        for i in np.flatnonzero((p.argmax(1) > 0) & (p.max(1) >= SURE)):
+        for i in np.flatnonzero((p.argmax(1) > 0) & (p.max(1) >= field.sure)):
             t, (a, b), kind = g.home[i], g.span[i].tolist(), int(p[i].argmax()) - 1
+            if kind == 4 and (inside := _INSIDE.search(texts[t], a, b)):
+                a, b = inside.span(1)
             while a < b and not (texts[t][a].isalnum() or texts[t][a] == "+"):
                 a += 1
             while a < b and not texts[t][b - 1].isalnum():
@@ -302,14 +456,14 @@ def _told(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, sample_rows: int = 3000, seed: int = 3) -> Field | None:
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), string_column(docs, "text").alias("text"))
-    rows = rows.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= SAMPLE_CHARS))
-    rows = smallest(rows.withColumn("h", F.xxhash64("id", "text", F.lit(seed))), "h", sample_rows, "id", "text")
-    return train([r.text for r in rows.collect()])
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), string_column(docs, "text").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    start = F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - SNIPPET // 4, F.lit(1))
+    rows = rows.select("id", F.xxhash64("id", "text", F.lit(seed)).alias("h"), F.col("text").substr(start, F.lit(SNIPPET)).alias("snippet"))
+    return train([r.snippet for r in smallest(rows, "h", sample_rows, "id", "snippet").collect()], seed=seed)
 
 
 def find_personal_data(docs: DataFrame, sample_rows: int = 3000) -> DataFrame:
-    """doc_id, base counts by kind, base_sha256, spans (base and added), n_added."""
+    """doc_id, base counts by kind, base_sha256, spans (base and added), n_added, personal (whether there is any span)."""
     field = fit(docs, sample_rows)
     text = string_column(docs, "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike("[0-9@]"), text).alias("text"))
@@ -317,7 +471,7 @@ def find_personal_data(docs: DataFrame, sample_rows: int = 3000) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        counts, sha, told, more = np.zeros((4, n), np.int64), [empty] * n, [""] * n, np.zeros(n, np.int64)
+        counts, sha, told, more = np.zeros((BASE_KINDS, n), np.int64), [empty] * n, [""] * n, np.zeros(n, np.int64)
         some = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
         for at in range(0, len(some), 256):
             block = some[at : at + 256]
@@ -327,10 +481,13 @@ def find_personal_data(docs: DataFrame, sample_rows: int = 3000) -> DataFrame:
                 if base:
                     sha[i] = hashlib.sha256(_told(base).encode()).hexdigest()
                 told[i], more[i] = _told(base + added), len(added)
-        columns = [batch.column(0), *map(pa.array, counts), pa.array(sha, pa.string()), pa.array(told, pa.string()), pa.array(more)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+        columns = [batch.column(0), *map(pa.array, counts), pa.array(sha, pa.string()), pa.array(told, pa.string()), pa.array(more), pa.array([x != "" for x in told], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
+
+    return map_batches(rows, run, FOUND)
+
 
-    return map_batches(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, personal boolean"
 
 
 def op3_personal_data(spark, sf_dir: str) -> DataFrame:

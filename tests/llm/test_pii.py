@@ -44,7 +44,7 @@ def test_messages_match_exact_marginals_on_a_tree():
     rng = np.random.default_rng(0)
     g = pii.graph(["1a 2b x 3c", "7777777x y 7777777z"])
     assert len(g.chain) == 1 and len(g.skip) == 1
-    f = pii.Field(rng.normal(size=(pii.N_FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    f = pii.Field(rng.normal(size=(pii.N_FEATURES, 6)), rng.normal(size=(6, 6)), rng.normal(size=(6, 6)))
     got = pii.infer(g, f, rounds=60)
     u = f.unary[g.features].sum(1)
     for edges, pot in ((g.chain, f.chain), (g.skip, f.skip)):
@@ -53,15 +53,82 @@ def test_messages_match_exact_marginals_on_a_tree():
             assert np.allclose(got[a], joint.sum(1) / joint.sum(), atol=1e-6) and np.allclose(got[b], joint.sum(0) / joint.sum(), atol=1e-6)
 
 
-def test_skip_edges_carry_a_label():
-    texts = [f"call card 4111 1111 1111 1111 now {i} of {i + 3}" for i in range(200)] + [f"pay 4111111111111111 at shop {i}" for i in range(100)]
-    field = pii.train(texts)
-    (base, added), = pii.all_spans(["card 4111111111111111 and later 4111.1111.1111.1111 then 12"], field)
+SAMPLE = [f"call card 4111 1111 1111 1111 now {i} of {i + 3}" for i in range(200)] + [f"pay 4111111111111111 at shop {i}" for i in range(100)]
+
+
+def test_other_forms_of_a_card_are_added():
+    field = pii.train(SAMPLE)
+    ((base, added),) = pii.all_spans(["card 4111111111111111 and later 4111.1111.1111.1111 then 12"], field)
     assert base == [(2, 5, 21)]
     assert added == [(2, 32, 51)]
     assert not pii.all_spans(["only 12 and 7 or x9"], field)[0][1]
 
 
+def snippets(data):
+    texts = [r["text"] or "" for r in pq.read_table(f"{data}/documents.parquet").to_pylist()]
+    return [t[max(0, m.start() - 100) :][:400] for t in texts if (m := re.search("[0-9@]", t))]
+
+
+def test_recall_of_what_the_patterns_miss(data):
+    """Disturbed spans and made-up secrets of lessons that the field has not seen: nine in ten are added with their kind."""
+    own = snippets("/root/testdata/sf0.1")
+    field = pii.train(own[::2])
+    rng = np.random.default_rng(7)
+    found, all_, false, said = 0, 0, 0, 0
+    for text, spans in [pii.lesson(t, rng) for t in own[1::2]]:
+        ((base, added),) = pii.all_spans([text], field)
+        missed = [(k, a, b) for k, a, b in spans if not any(s < b and a < e for _, s, e in base)]
+        all_ += len(missed)
+        found += sum(any(k == j and s < b and a < e for j, s, e in added) for k, a, b in missed)
+        said += len(added)
+        false += sum(not any(s < b and a < e for _, s, e in spans) for _, a, b in added)
+    assert all_ > 200 and found >= 0.9 * all_ and false <= 0.02 * said
+
+
+def test_planted_numbers_and_secrets_are_found_and_clean_texts_left_alone(spark, data):
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}
+    rows = {r.doc_id: r for r in pii.op3_personal_data(spark, "/root/testdata/sf0.01").collect()}
+    planted = re.compile(r'[0-9]{16}|(?i:token) = "[0-9a-fA-F]{40}"|@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]')
+    want = {d for d, t in docs.items() if planted.search(t)}
+    assert len(want) > 40 and {d for d, r in rows.items() if r.personal} == want
+    assert sum(r.n_added for r in rows.values()) > 5
+
+
+def test_work_is_linear_in_a_text():
+    import time
+
+    field = pii.train(SAMPLE)
+    began = time.perf_counter()
+    pii.all_spans(["a" * 1_000_000, "a" * 999_999 + "1", "@" * 1_000_000, "+" * 500_000 + "1 " * 3], field)
+    assert time.perf_counter() - began < 4
+
+
+def test_query_equals_slow_inference(spark, data):
+    """Added spans of the registered query against messages that are all passed at once, edge by edge."""
+    from chainloom.llm.runtime import table
+
+    field = pii.fit(table(spark, data, "documents"))
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{data}/documents.parquet").to_pylist()}
+    some = 0
+    for r in pii.op3_personal_data(spark, data).collect():
+        text = docs[r.doc_id]
+        base = brute(text)
+        g = pii.graph([text], [pii.base_spans(text)])
+        want = set(base)
+        if len(g.home):
+            p = slow_messages(g, field, 200)
+            for i in np.flatnonzero((p.argmax(1) > 0) & (p.max(1) >= field.sure)):
+                a, b = g.span[i]
+                if not any(s < b and a < e for _, s, e in base):
+                    kind = int(p[i].argmax()) - 1
+                    core = re.search(r"[:=][\"']?([A-Za-z0-9+/_-]+)" if kind == 4 and re.search("[:=][\"']?[A-Za-z0-9+/_-]", text[a:b]) else r"(\+?[^\W_].*[^\W_]|[^\W_])", text[a:b], re.S)
+                    want.add((kind, a + core.start(1), a + core.end(1)))
+        got = {(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)}
+        assert got == want
+        some += len(want) > len(base)
+    assert some > 0
+
+
 def test_query_and_edges(spark, odd_docs, data):
     docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{data}/documents.parquet").to_pylist()}
     rows = pii.op3_personal_data(spark, data).collect()
@@ -79,13 +146,13 @@ def test_query_and_edges(spark, odd_docs, data):
 
 
 def test_evidence_crosses_dozens_of_repeats():
-    f = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), 10 * np.eye(5))
+    f = pii.Field(np.zeros((pii.N_FEATURES, 6)), np.zeros((6, 6)), 10 * np.eye(6))
     f.unary[45 + 1, 3] = 60  # a plus sign is evidence of a card here, nothing else is
     g = pii.graph(["+7777777 " + "x 7777777 " * 60, "7777777", "x 7777777 " * 60 + "+7777777"])
     p = pii.infer(g, f)
     first, alone, last = (p[g.home == t] for t in range(3))
     assert len(first) == 61 and (first.argmax(1) == 3).all() and first[-1, 3] > pii.SURE
-    assert np.allclose(alone, 0.2) and np.allclose(first, last[::-1], atol=1e-6)
+    assert np.allclose(alone, 1 / 6) and np.allclose(first, last[::-1], atol=1e-6)
     # exact marginals of the path, far end
     t = np.exp(f.skip)
     t /= t.sum(1, keepdims=True)
@@ -98,7 +165,7 @@ def slow_messages(g, f, rounds=400):
     told = {}
     for edges, pot in ((g.chain, f.chain), (g.skip, f.skip)):
         for k, (a, b) in enumerate(edges.tolist()):
-            told |= {(id(pot), k, a, b): (np.zeros(5), pot), (id(pot), k, b, a): (np.zeros(5), pot.T)}
+            told |= {(id(pot), k, a, b): (np.zeros(6), pot), (id(pot), k, b, a): (np.zeros(6), pot.T)}
     for _ in range(rounds):
         total = u.copy()
         for (_, _, _, b), (m, _) in told.items():
@@ -115,7 +182,7 @@ def slow_messages(g, f, rounds=400):
 
 def test_sweeps_settle_where_slow_messages_do():
     rng = np.random.default_rng(1)
-    f = pii.Field(rng.normal(size=(pii.N_FEATURES, 5)), rng.normal(size=(5, 5)) / 3, np.eye(5))
+    f = pii.Field(rng.normal(size=(pii.N_FEATURES, 6)), rng.normal(size=(6, 6)) / 3, np.eye(6))
     g = pii.graph([" ".join(rng.choice(["12345678", "x", "7777777", "a@b.c", "5", "999-9999"], 60)) for _ in range(3)])
     assert len(g.skip) > 50 and len(g.chain) > 50
     assert np.allclose(pii.infer(g, f), slow_messages(g, f), atol=1e-4)
@@ -140,8 +207,7 @@ def test_every_repeated_candidate_is_linked():
 
 
 def test_grouped_forms_take_the_label():
-    texts = [f"call card 4111 1111 1111 1111 now {i} of {i + 3}" for i in range(200)] + [f"pay 4111111111111111 at shop {i}" for i in range(100)]
-    field = pii.train(texts)
+    field = pii.train(SAMPLE)
     text = "card 4111111111111111 and later 4111 1111\n1111 1111 then 12"
     ((base, added),) = pii.all_spans([text], field)
     assert base == [(2, 5, 21)] and [text[a:b] for _, a, b in added] == ["4111 1111\n1111 1111"]
