@@ -6,6 +6,10 @@ are marked first and never overlap, and the search length falls until it is `min
 coverage is the share of its words in tiles, wherever in the document these stand, so a passage whose
 sentences were reordered is found. A document is contaminated when it covers `threshold` of an item.
 
+Only items whose shared seeds lie over `threshold` of their words, or over more than the largest coverage
+found so far, are tiled, which changes no result: a sentence that all items share is tiled once a document.
+A document has one row of result for a block, however many items it meets.
+
 The benchmark is a query set: it is worked in blocks of about BLOCK_CHARS characters, each broadcast
 on its own, against all documents. Documents are never shuffled; of them only ids and digests are.
 
@@ -17,6 +21,8 @@ their own text's result; empty tables give an empty or a clean result; other col
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +35,8 @@ MIN_MATCH = 5
 THRESHOLD = 0.5
 FIRST_LENGTH = 20
 BLOCK_CHARS = 32_000_000
-BROADCAST_ROWS = 1_000_000
+#: Up to so many flags and item ids (some 60 bytes each) are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _rolled(h: np.ndarray, s: int) -> np.ndarray:
@@ -67,21 +74,25 @@ def tiles(text: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> lis
             first = np.concatenate(([True], (np.diff(x) != 1) | (np.diff(x - y) != 0))) if len(x) else np.zeros(0, bool)
             starts = np.flatnonzero(first)
             runs = np.diff(np.append(starts, len(x))) + s - 1
-            matches = sorted(zip((-runs).tolist(), x[starts].tolist(), y[starts].tolist(), strict=True))
-        if matches and -matches[0][0] > 2 * s:
-            s = -matches[0][0]
+            matches = list(zip((-runs).tolist(), x[starts].tolist(), y[starts].tolist(), strict=True))
+        longest = -min(matches, default=(0,))[0]
+        if longest > 2 * s:
+            s = longest
             continue
-        again = False
-        for n, i, j in matches:
+        heapify(matches)
+        while matches:
+            n, i, j = heappop(matches)
             n = -n
-            taken = np.flatnonzero(marks[0][i : i + n] | marks[1][j : j + n])
-            if len(taken):
-                again |= True  # what is left of a run is found by the next scan
+            taken = marks[0][i : i + n] | marks[1][j : j + n]
+            if not taken.any():
+                marks[0][i : i + n] = marks[1][j : j + n] = True
+                found.append((n, i, j))
                 continue
-            marks[0][i : i + n] = marks[1][j : j + n] = True
-            found.append((n, i, j))
-        if again:
-            continue
+            # what is left of the run takes its turn among the others; pieces below s wait for a shorter search
+            edge = np.flatnonzero(np.diff(np.concatenate(([1], taken.astype(np.int8), [1]))))
+            for a, b in edge.reshape(-1, 2).tolist():
+                if b - a >= s:
+                    heappush(matches, (a - b, i + a, j + a))
         if s == min_match:
             break
         s = max(min_match, s // 2)
@@ -89,25 +100,53 @@ def tiles(text: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> lis
 
 
 class Items:
-    """Word hashes of a block of items and the seeds that lead to them."""
+    """Word hashes of a block of items, and their seeds by place: seed, item, place in the item."""
 
     def __init__(self, rows: list[tuple[int | None, str]], min_match: int):
-        self.ids, self.words, seeds, home = [], [], [], []
+        self.ids, self.words, seeds, home, place = [], [], [], [], []
         for item_id, text in rows:
             h = kernel.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])).hash
             if len(h) >= min_match:
-                g = np.unique(kernel.grams(h, min_match))
+                g = kernel.grams(h, min_match)
                 seeds.append(g)
                 home.append(np.full(len(g), len(self.ids)))
+                place.append(np.arange(len(g)))
                 self.ids.append(item_id)
                 self.words.append(h)
-        seeds, home = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((seeds, np.uint64), (home, np.int64)))
+        seeds, home, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((seeds, np.uint64), (home, np.int64), (place, np.int64)))
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.home = seeds[order], home[order]
-
-
-def coverages(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
-    """doc_id, digest, item_id, coverage for documents and items that share a seed and have a tile."""
+        self.seeds, self.home, self.place = seeds[order], home[order], place[order]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+
+    def judged(self, text: np.ndarray, seeds: np.ndarray, min_match: int, threshold: float) -> tuple[float, list[int | None]]:
+        """The largest coverage of an item by a text with these seeds, and the ids of the items at the threshold. Tiles lie
+        where seeds do, so the words under an item's shared seeds bound its coverage; an item whose bound
+        is below the threshold and not above the largest coverage so far is not tiled."""
+        left, right = np.searchsorted(self.seeds, seeds, "left"), np.searchsorted(self.seeds, seeds, "right")
+        count = right - left
+        at = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
+        home, place = self.home[at], self.place[at]
+        order = np.lexsort((place, home))
+        home, place = home[order], place[order]
+        begin = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
+        items = home[begin]
+        step = np.minimum(np.diff(place, append=0), min_match)
+        step[np.append(begin[1:], len(home)) - 1] = min_match  # the last seed of an item covers all its words
+        bound = np.add.reduceat(step, begin) / self.size[items]
+        best, hits = 0.0, []
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] < threshold and bound[k] <= best:
+                break
+            n = sum(x[0] for x in tiles(text, self.words[items[k]], min_match))
+            best = max(best, n / int(self.size[items[k]]))
+            if n >= threshold * int(self.size[items[k]]):
+                hits.append(self.ids[items[k]])
+        return best, hits
+
+
+def coverages(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, digest, coverage (the largest of any item), hit, items (ids at the threshold), one row for each block of items and
+    each document that shares a seed with one of them."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), string_column(docs, "text").alias("text")).where("text is not null")
     rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
@@ -120,24 +159,26 @@ def coverages(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH)
         held = spark.sparkContext.broadcast(Items([tuple(r) for r in own.collect()], min_match))  # about BLOCK_CHARS characters
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            items, got = held.value, []
+            items, at, best, hits = held.value, [], [], []
             for i, _, w in kernel.text_words(batch.column(1)):
-                h, at = kernel.grams(w.hash, min_match), w.text
+                h, home = kernel.grams(w.hash, min_match), w.text
                 if not len(h) or not len(items.seeds):
                     continue
                 place = np.minimum(np.searchsorted(items.seeds, h), len(items.seeds) - 1)
-                hit = np.flatnonzero((items.seeds[place] == h) & (at[: len(h)] == at[min_match - 1 :]))
+                hit = np.flatnonzero((items.seeds[place] == h) & (home[: len(h)] == home[min_match - 1 :]))
                 bounds = w.bounds()
-                for t in np.unique(at[hit]):
-                    seeds = np.unique(h[hit[at[hit] == t]])
-                    left, right = np.searchsorted(items.seeds, seeds, "left"), np.searchsorted(items.seeds, seeds, "right")
-                    for k in np.unique(np.concatenate([items.home[a:b] for a, b in zip(left, right, strict=True)])):
-                        n = sum(x[0] for x in tiles(w.hash[bounds[t] : bounds[t + 1]], items.words[k], min_match))
-                        got.append((i + int(t), items.ids[k], n / len(items.words[k])))
-            at = pa.array([g[0] for g in got], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "digest", "item_id", "coverage"])
-
-        part = map_batches(rows, run, "doc_id long, digest string, item_id long, coverage double")
+                cut = np.searchsorted(home[hit], np.arange(len(bounds)))
+                for t in np.unique(home[hit]):
+                    one = items.judged(w.hash[bounds[t] : bounds[t + 1]], np.unique(h[hit[cut[t] : cut[t + 1]]]), min_match, threshold)
+                    at.append(i + int(t))
+                    best.append(one[0])
+                    hits.append(one[1])
+            at = pa.array(at, pa.int64())
+            ids = [[k for k in x if k is not None] for x in hits]
+            columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(best, pa.float64()), pa.array([bool(x) for x in hits], pa.bool_()), pa.array(ids, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "coverage", "hit", "items"])
+
+        part = map_batches(rows, run, "doc_id long, digest string, coverage double, hit boolean, items array<long>")
         part = written(part, "coverages")
         held.destroy()
         out = part if out is None else out.unionByName(part)
@@ -145,11 +186,13 @@ def coverages(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH)
 
 
 def _flags(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: float) -> DataFrame:
-    found = coverages(docs, benchmark, min_match)
-    hit = F.col("coverage") >= threshold
-    flags = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("coverage").alias("coverage"), F.array_sort(F.collect_set(F.when(hit, F.col("item_id")))).alias("items"), F.max(hit).alias("hit"))
+    """One row for each text that shares a seed: equal texts of an id are one. Flags are broadcast up to a bound of their rows and of all their item ids."""
+    found = coverages(docs, benchmark, min_match, threshold)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    flags = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("coverage").alias("coverage"), ids.alias("items"), F.max("hit").alias("hit"))
     flags = written(flags, "flags")
-    return F.broadcast(flags) if flags.count() <= BROADCAST_ROWS else flags
+    size = flags.agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("ids")).first()
+    return F.broadcast(flags) if size.n + (size.ids or 0) <= BROADCAST_ROWS else flags
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
