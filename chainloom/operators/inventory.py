@@ -66,13 +66,27 @@ def evidence_root(parts: DataFrame, tag: str = "evidence") -> DataFrame:
     return parts.agg(domain_hash(tag, lines).alias("evidence"))
 
 
+#: Digests that one leaf of evidence_tree() holds in the mean at most.
+LEAF_DIGESTS = 4096
+
+
 def evidence_tree(parts: DataFrame, tag: str = "evidence-tree") -> DataFrame:
-    """evidence: hashes of the sets with each two-character digest prefix, then one hash over these."""
+    """evidence: hashes of the sets with each digest prefix, then of these by shorter prefixes, two characters at a time, up to one. The
+    first prefix grows with the number of digests, so no leaf and no node grows with the data."""
     from ..functions.canon import domain_hash
 
-    leaf = parts.distinct().groupBy(F.substring("digest", 1, 2).alias("prefix")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "digest"))), ",").alias("x"))
-    leaf = leaf.select("prefix", domain_hash(tag, F.col("x")).alias("h"))
-    return leaf.agg(domain_hash(tag, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "h"))), lambda x: x["h"]), ",")).alias("evidence"))
+    rows, depth = parts.select("kind", "digest").distinct(), 2
+    n = rows.count()
+    while n > LEAF_DIGESTS * 16**depth:
+        depth += 2
+    leaf = rows.groupBy(F.substring("digest", 1, depth).alias("prefix")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "digest"))), ",").alias("x"))
+    node = leaf.select("prefix", domain_hash(tag, F.col("x")).alias("h"))
+    while depth:
+        depth -= 2
+        hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "h"))), lambda x: x["h"]), ",")
+        up = node.groupBy(F.substring("prefix", 1, depth).alias("up")) if depth else node.groupBy()
+        node = up.agg(domain_hash(tag, hashes).alias("h")).select(*([F.col("up").alias("prefix")] if depth else []), "h")
+    return node.select(F.col("h").alias("evidence"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -87,6 +101,55 @@ def manifest_check(manifest_rows: DataFrame, files: DataFrame) -> DataFrame:
     return manifest_rows.select("path", "digest").join(now, "path", "full").select("path", code.alias("code")).where("code is not null")
 
 
+def _files_under(spark, path: str) -> DataFrame:
+    """path (relative), content of all files under a folder."""
+    from urllib.parse import unquote, urlparse
+
+    root = unquote(urlparse(path).path).rstrip("/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*").load(path)
+    return rows.select(F.substring_index("path", f"{root}/", -1).alias("path"), "content")
+
+
+def _copied(rows: DataFrame, to: str) -> DataFrame:
+    """Writes files (path, content) under a folder, each by the task that holds it; path, bytes, digest of what was written."""
+    from ..session import workers
+
+    def write(batches):
+        import hashlib
+        import os
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                place = f"{to}/{path}"
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "xb") as f:
+                    f.write(content)
+                out.append((path, len(content), hashlib.sha256(content).hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "bytes", "digest"])
+
+    workers(rows.sparkSession)
+    return rows.mapInPandas(write, "path string, bytes long, digest string")
+
+
+def backup(spark, root: str, to: str) -> None:
+    """Copies a store's files to `to`/files and their manifest to `to`/manifest, on folders that all executors mount."""
+    _copied(_files_under(spark, root), f"{to}/files").write.mode("errorifexists").parquet(f"{to}/manifest")
+
+
+def restore(spark, backup_path: str, to: str) -> int:
+    """Copies a backup's files back when every one is as its manifest says, and returns their number; else raises."""
+    from ..sources.tables import ObjectConflict
+    from .validate import backup_path_rule
+
+    rows, told = _files_under(spark, f"{backup_path}/files"), spark.read.parquet(f"{backup_path}/manifest")
+    if manifest_check(told, rows).head(1) or told.where(~backup_path_rule(F.col("path"))).head(1):
+        raise ObjectConflict("BACKUP_INVALID")
+    return _copied(rows, to).count()
+
+
 def dependencies(required: DataFrame, available: DataFrame) -> DataFrame:
     """owner, n_missing: required (owner, digest) that are not among the available digests."""
     have = available.select("digest").distinct().withColumn("_have", F.lit(1))

@@ -1,7 +1,7 @@
 """Publishing: batches, revisions, idempotent requests and stages over Parquet tables.
 
-Tables only grow; a revision is a row of `revisions`, and membership is one number on an event, the
-first revision that holds it, instead of a copy of all members with every revision.
+Tables only grow; a revision publishes what is new in it (sources.tables), and membership is one number on an
+event, the first revision that holds it, instead of a copy of all members with every revision.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ledger import ZERO
 from .chain import KEY
 
 
@@ -78,12 +79,71 @@ def admit(batch: DataFrame, keys: DataFrame, objects: DataFrame, refs: DataFrame
     return out.where("n > 0")
 
 
-def publish(root: str, events: DataFrame, revision: int, expected: int) -> None:
-    """Appends a revision's new events under root; the revision must follow the expected one."""
-    from ..sources.tables import RevisionConflict, latest_revision
-
-    spark = events.sparkSession
-    if latest_revision(spark, root) != expected:
-        raise RevisionConflict("REVISION_CONFLICT")
-    events.write.mode("errorifexists").parquet(f"{root}/events/first_revision={revision}")
-    spark.createDataFrame([(revision,)], "revision long").write.mode("append").parquet(f"{root}/revisions")
+def audit_head(entries: DataFrame) -> DataFrame:
+    """workspace, seq, hash of each workspace's last entry."""
+    return entries.groupBy("workspace").agg(F.max(F.struct("seq", "hash")).alias("h")).select("workspace", "h.seq", "h.hash")
+
+
+def audit_prefix(entries: DataFrame, through: int) -> DataFrame:
+    """The entries up to a number, which the scan prunes by."""
+    return entries.where(F.col("seq") <= through)
+
+
+def lookup(rows: DataFrame, **keys) -> DataFrame:
+    """The rows with these values in these columns; nulls are values."""
+    for column, value in keys.items():
+        rows = rows.where(F.col(column).eqNullSafe(F.lit(value)))
+    return rows
+
+
+def exploded(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bridges of new typed events: event_parents (child and the parent's reference) and event_objects (hash, digest, bytes, media)."""
+    events = events.dropDuplicates(["hash"])
+    parents = events.select(F.col("hash").alias("child"), F.explode("parents").alias("p")).select("child", "p.source", "p.stream", F.col("p.seq").cast("long").alias("seq"), "p.hash")
+    objects = events.select("hash", F.explode("objects").alias("o")).select("hash", "o.digest", F.col("o.bytes").cast("long").alias("bytes"), "o.media")
+    return parents, objects
+
+
+def object_read(spark, path: str, events: DataFrame, digest: str) -> DataFrame:
+    """digest, content, intact of an object that some of these events refer to; no row where none does."""
+    from ..sources.tables import read_objects
+
+    held = lookup(read_objects(spark, path), digest=digest)
+    return held.join(exploded(events)[1].select("digest").distinct(), "digest", "left_semi")
+
+
+def commit_batch(spark, root: str, workspace: str, batch: DataFrame, keys: DataFrame, sources: DataFrame, expected: int, signer: str, stage: str = "stage", request: str = "request") -> tuple[int, dict[str, int]]:
+    """Commits a batch of typed events (see sources.bundles) as the revision after `expected`: the new events, the revision's row
+    (evidence root and projection digest over all events, number of events) and a signed audit entry that
+    binds them, published together. Gives the revision and its tallies. keys: id, public; sources: id, namespace,
+    profile; signer: name of the audit key (sources.histories). What stays out when this fails is invisible, and a retry may follow."""
+    from ..functions.canon import canonical
+    from ..functions.digests import digest
+    from ..plans import verify as plan
+    from ..session import settle
+    from ..sources import histories, tables
+    from . import evidence
+
+    held = tables.published(spark, root, "events")
+    own = batch.withColumn("bundle", F.lit(workspace))
+    known = own.limit(0) if held is None else held
+    tallies = commit_tallies(known, own).first().asDict()
+    new = settle(own.dropDuplicates(["hash"]).join(known.select("hash"), "hash", "left_anti").select(own.columns), "new-events")
+    every = new if held is None else held.unionByName(new)
+    one = spark.createDataFrame([(workspace,)], "bundle string")
+    named = lambda df: df.withColumn("bundle", F.lit(workspace))
+    root_hash = evidence.evidence_roots(one, named(sources), every, named(keys), evidence.object_refs(every)).first().evidence
+    projected = plan.declared_projections(one, every, settle(plan.qualified(every), "ledger")).first().projection
+    log = tables.published(spark, root, "audit")
+    last = audit_head(log.withColumn("workspace", F.lit(workspace))).first() if log is not None else None
+    seq, prev, revision = (last.seq + 1, last.hash, expected + 1) if last else (1, ZERO, expected + 1)
+    content = own.groupBy().agg(F.array_join(F.array_sort(F.collect_set("hash")), ",").alias("text"))  # a batch is bounded as a bundle is
+    batch_hash = content.select(digest("batch", F.col("text"))).first()[0]
+    data = {"kind": "ImportCommitted", "stage": stage, "batch": batch_hash, "revision": str(revision), "evidence": root_hash}
+    key = histories.key_material(spark, [signer]).first()
+    text = canonical({"kind": F.lit(data["kind"]), "stage": F.lit(stage), "batch": F.lit(batch_hash), "revision": F.lit(str(revision)), "evidence": F.lit(root_hash)})
+    body = F.concat(F.lit('{"data":'), text, F.lit(f',"key":"{key.id}","prev":"{prev}","principal":"committer","request":"{request}","seq":"{seq}","v":1,"workspace":"{workspace}"}}'))
+    template = spark.range(1).select(F.lit(workspace).alias("bundle"), F.lit(seq).cast("long").alias("place"), body.alias("template"), F.lit(signer).alias("signer"), F.lit(False).alias("alters"))
+    entry = histories._typed(histories.sealed(template, "audit"), "audit")
+    row = spark.createDataFrame([(revision, root_hash, projected, every.count(), seq)], "revision long, evidence string, projection string, n_events long, audit_seq long")
+    return tables.publish(spark, root, expected, events=new, audit=entry, revisions=row), tallies

@@ -15,7 +15,7 @@ from ..functions.canon import base64url, canonical, domain_hash, from_base64url,
 from ..operators import audit, chain, graph, inventory, replay, store, trust, validate
 from ..session import settle, table, workers
 from ..sources import bundles, histories
-from ..sources.ledger import ZERO, from_events, load
+from ..sources.ledger import ZERO, from_events, load, settled
 from . import verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,12 +87,12 @@ def slot_forks(spark, d):
 
 @query(f"WITH {LEDGER}, t AS (SELECT source, stream, max(seq) AS through FROM ledger GROUP BY ALL) SELECT source, stream, through, CASE WHEN count(*) = 1 THEN any_value(hash) ELSE '{ZERO}' END AS head FROM t JOIN ledger l USING (source, stream) WHERE l.seq = through GROUP BY source, stream, through")
 def stream_cuts(spark, d):
-    return chain.cuts(load(spark, d)[0])
+    return chain.cuts(settled(spark, d)[0])
 
 
 @query(f"WITH {LEDGER}, {CHECKED} SELECT hash, prev_code, prev_lamport::BIGINT AS prev_lamport FROM prevs")
 def prev_check(spark, d):
-    return chain.prev_check(load(spark, d)[0]).select("hash", "prev_code", "prev_lamport")
+    return chain.prev_check(settled(spark, d)[0]).select("hash", "prev_code", "prev_lamport")
 
 
 @query(
@@ -107,12 +107,12 @@ def predecessor_lag(spark, d):
 
 @query(f"WITH {LEDGER}, {CHECKED} SELECT child, source, stream, seq, hash FROM refs WHERE NOT ok")
 def parent_missing(spark, d):
-    return chain.parent_check(*load(spark, d)).where("not ok").select("child", "source", "stream", "seq", "hash")
+    return chain.parent_check(*settled(spark, d)[:2]).where("not ok").select("child", "source", "stream", "seq", "hash")
 
 
 @query(f"WITH {LEDGER}, {CHECKED} SELECT hash, lamport::BIGINT AS lamport, n_missing, lamport_code FROM checked")
 def lamport_check(spark, d):
-    return chain.lamport_check(*load(spark, d)).select("hash", "lamport", "n_missing", "lamport_code")
+    return chain.lamport_check(*settled(spark, d)[:2]).select("hash", "lamport", "n_missing", "lamport_code")
 
 
 _REF = "source || '/' || stream || '/' || seq || '/' || hash"
@@ -128,7 +128,7 @@ found AS (
 SELECT code, subjects FROM found"""
 )
 def chain_findings(spark, d):
-    return chain.chain_findings(*load(spark, d))
+    return chain.chain_findings(*settled(spark, d)[:2])
 
 
 @query(
@@ -137,7 +137,7 @@ def chain_findings(spark, d):
 SELECT source, stream, min(seq) AS seq, arg_min(code, (seq, code)) AS code FROM bad WHERE code IS NOT NULL GROUP BY source, stream"""
 )
 def first_violation(spark, d):
-    return chain.first_violation(*load(spark, d))
+    return chain.first_violation(*settled(spark, d)[:2])
 
 
 @query(
@@ -214,19 +214,19 @@ def _closure(ledger: DataFrame, parents: DataFrame) -> DataFrame:
 
 @query(f"{_CLOSURE} SELECT node FROM seen")
 def ancestor_closure(spark, d):
-    return _closure(*load(spark, d)).select("node")
+    return _closure(*settled(spark, d)[:2]).select("node")
 
 
 @query(f"{_CLOSURE} SELECT DISTINCT src, dst, kind FROM links WHERE src IN (SELECT node FROM seen) AND dst IN (SELECT node FROM seen)")
 def induced_edges(spark, d):
-    ledger, parents = load(spark, d)
+    ledger, parents, _ = settled(spark, d)
     return graph.induced(graph.edges(ledger, parents), _closure(ledger, parents))
 
 
 def lineage_request(spark, d):
     """Ledger, parents, objects and actions of one request: the last events of the stream that reaches furthest (the first
     by name of several)."""
-    ledger, parents = load(spark, d)
+    ledger, parents, _ = settled(spark, d)
     last = ledger.orderBy(F.col("seq").desc(), "source", "stream").select("source", "stream", "seq").limit(1)
     actions = ledger.join(F.broadcast(last), ["source", "stream", "seq"]).select(F.col("hash").alias("node"))
     held = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("object"))
@@ -259,7 +259,7 @@ blocked AS (
 SELECT hash FROM blocked"""
 )
 def gap_blocked(spark, d):
-    return graph.gap_blocked(*load(spark, d))
+    return graph.gap_blocked(*settled(spark, d)[:2])
 
 
 @query()
@@ -274,7 +274,7 @@ def cycle_members(spark, d):
 @query()
 def topo_order(spark, d):
     """The causal order within the streams of every four neighbouring users."""
-    ledger, parents = load(spark, d)
+    ledger, parents, _ = settled(spark, d)
     group = F.concat(F.lit("g"), F.floor(F.substring("stream", 2, 30).cast("long") / 4))
     nodes = ledger.select(group.alias("component"), F.col("hash").alias("node"))
     return graph.topological_order(nodes, graph.edges(ledger, parents))
@@ -468,23 +468,21 @@ def dependency_check(spark, d):
 # -- trust --------------------------------------------------------------------------------------
 
 
-def _pins(spark, d):
-    ledger, _ = load(spark, d)
+def _pins(ledger: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame]:
     user = F.substring("stream", 2, 30).cast("long")
     streams = ledger.groupBy("source", "stream").agg(F.max("seq").alias("top")).withColumn("user", user)
     held = streams.where("user % 13 <> 0")
     u = F.col("user")
     one = held.select(F.lit("origin").alias("role"), "source", "stream", F.concat(F.lit("k"), u % 7).alias("key"), F.lit(1).alias("first"), F.when(u % 5 == 0, 20).otherwise(1000000).alias("last"), F.when(u % 11 == 0, "COMPROMISED").otherwise("ACTIVE").alias("status"))
     two = held.select(F.lit("origin").alias("role"), "source", "stream", F.concat(F.lit("k"), u % 7 + 1).alias("key"), F.when(u % 10 == 0, 15).otherwise(1000001).alias("first"), F.lit(2000000).alias("last"), F.lit("ACTIVE").alias("status"))
-    base = from_events(table(spark, d, "events")).select("stream", F.col("seq").alias("top"), "hash")
+    base = clean.select("stream", F.col("seq").alias("top"), "hash")
     at = streams.join(base, ["stream", "top"], "left")
     seq = F.when(u % 6 == 0, 0).when(u % 6 == 1, F.col("top") + 5).otherwise(F.col("top"))
     hash_ = F.when(u % 6 == 0, ZERO).when(u % 6 == 2, F.sha2(F.coalesce("hash", F.lit("")), 256)).otherwise(F.coalesce("hash", F.lit(ZERO)))
     return one.unionByName(two), at.select("source", "stream", seq.cast("long").alias("seq"), hash_.alias("hash"))
 
 
-def _keyed(spark, d):
-    ledger, _ = load(spark, d)
+def _keyed(ledger: DataFrame) -> DataFrame:
     user = F.substring("stream", 2, 30).cast("long")
     return ledger.withColumn("key", F.concat(F.lit("k"), user % 7 + (F.col("event_id") % 29 == 0).cast("int")))
 
@@ -498,12 +496,14 @@ coded AS (SELECT k.*, CASE WHEN pin IS NULL THEN 'KEY_UNPINNED' WHEN seq NOT BET
 
 @query(f"WITH {_KEYED} SELECT hash, key, key_code FROM coded")
 def pin_range_join(spark, d):
-    return trust.key_check(_keyed(spark, d), _pins(spark, d)[0]).select("hash", "key", "key_code")
+    ledger, _, clean = settled(spark, d)
+    return trust.key_check(_keyed(ledger), _pins(ledger, clean)[0]).select("hash", "key", "key_code")
 
 
 @query(f"WITH {LEDGER}, {PINS}, o AS (SELECT *, lag(last) OVER (PARTITION BY role, source, stream ORDER BY first, last, key) AS before FROM pins) SELECT role, source, stream, key, first, last FROM o WHERE first <= before")
 def pin_overlap(spark, d):
-    return trust.pin_overlap(_pins(spark, d)[0])
+    ledger, _, clean = settled(spark, d)
+    return trust.pin_overlap(_pins(ledger, clean)[0])
 
 
 _HEADS = """tops AS (SELECT source, stream, max(seq) AS through FROM ledger GROUP BY ALL),
@@ -515,7 +515,8 @@ head_codes AS (SELECT h.*, CASE WHEN h.seq = 0 THEN CASE WHEN h.hash = '""" + ZE
 
 @query(f"WITH {LEDGER}, {PINS}, {_HEADS} SELECT source, stream, seq, hash, head_code FROM head_codes")
 def head_pin_status(spark, d):
-    return trust.head_check(_pins(spark, d)[1], load(spark, d)[0])
+    ledger, _, clean = settled(spark, d)
+    return trust.head_check(_pins(ledger, clean)[1], ledger)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 8 <> 0 AND o_custkey * 10 >= o_orderkey THEN 'TRUST_EXPIRED' ELSE 'OK' END AS code, NOT (o_orderkey % 3 = 0 AND o_custkey % 2 = 0) AS anchor FROM orders")
@@ -527,7 +528,8 @@ def trust_expiry(spark, d):
 
 @query(f"WITH {_KEYED} SELECT source, stream, seq, count(*) AS n, bool_and(key_code = 'OK') AS attributable FROM coded GROUP BY source, stream, seq HAVING count(*) > 1")
 def fork_attribution(spark, d):
-    return trust.fork_attribution(trust.key_check(_keyed(spark, d), _pins(spark, d)[0]))
+    ledger, _, clean = settled(spark, d)
+    return trust.fork_attribution(trust.key_check(_keyed(ledger), _pins(ledger, clean)[0]))
 
 
 @query(
@@ -544,8 +546,8 @@ SELECT source, stream, n_events, CASE WHEN invalid THEN 'INVALID' ELSE 'VALID' E
 FROM s JOIN f USING (source, stream) JOIN k USING (source, stream) LEFT JOIN a USING (source, stream) LEFT JOIN p USING (source, stream)"""
 )
 def grade_summary(spark, d):
-    _, parents = load(spark, d)
-    return verify.stream_grades(_keyed(spark, d), parents, *_pins(spark, d))
+    ledger, parents, clean = settled(spark, d)
+    return verify.stream_grades(_keyed(ledger), parents, *_pins(ledger, clean))
 
 
 # -- audit and store ----------------------------------------------------------------------------
@@ -668,14 +670,23 @@ def revision_members(spark, d):
 
 
 @query(
-    f"""WITH {_KEYED}, k AS (SELECT DISTINCT key FROM keyed WHERE key <> 'k3' UNION ALL SELECT 'k99')
-SELECT 'key missing' AS rule, count(*) AS n FROM keyed WHERE key = 'k3' HAVING n > 0 UNION ALL SELECT 'key unused', 1 UNION ALL SELECT 'unknown source', count(*) FROM keyed WHERE source = 'src2' HAVING count(*) > 0"""
+    f"""WITH {_KEYED}, b AS (SELECT * FROM keyed UNION ALL SELECT * FROM keyed WHERE event_id % 50 = 0),
+r AS (
+  SELECT 'key missing' AS rule, count(*) AS n FROM b WHERE key = 'k3'
+  UNION ALL SELECT 'key unused', count(DISTINCT event_type) FROM events
+  UNION ALL SELECT 'unknown source', count(*) FROM b WHERE source = 'src2'
+  UNION ALL SELECT 'blob unreferenced', count(*) FROM keyed WHERE event_id % 40 = 0
+  UNION ALL SELECT 'hash repeated', count(*) FROM keyed WHERE event_id % 50 = 0)
+SELECT rule, n FROM r WHERE n > 0"""
 )
 def batch_admission(spark, d):
-    batch = _keyed(spark, d)
-    keys = batch.where("key <> 'k3'").select("key").distinct().union(spark.createDataFrame([("k99",)], "key string"))
-    refs = batch.select("hash", F.sha2("hash", 256).alias("digest"))
-    return store.admit(batch, keys, refs.select("digest"), refs, batch.where("source <> 'src2'").select("source"))
+    keyed = settle(_keyed(load(spark, d)[0]), "keyed")
+    batch = keyed.unionByName(keyed.where("event_id % 50 = 0"))
+    spare = table(spark, d, "events").select(F.concat(F.lit("x"), "event_type").alias("key")).distinct()
+    keys = batch.where("key <> 'k3'").select("key").distinct().union(spare)
+    refs = keyed.select("hash", F.sha2("hash", 256).alias("digest"))
+    blobs = refs.select("digest").union(keyed.where("event_id % 40 = 0").select(F.sha2(F.concat(F.lit("blob"), "hash"), 256)))
+    return store.admit(batch, keys, blobs, refs, batch.where("source <> 'src2'").select("source"))
 
 
 @query(f"WITH {LEDGER} SELECT hash, event_id % 3 <> 0 AS signature_ok FROM ledger")
@@ -694,7 +705,7 @@ def signature_check(spark, d):
 
     workers(spark)
     message = signing_message("event", F.col("hash"))
-    rows = _keyed(spark, d).select("hash", "key", message.alias("message"), (F.col("event_id") % 3 == 0).alias("damaged"))
+    rows = _keyed(load(spark, d)[0]).select("hash", "key", message.alias("message"), (F.col("event_id") % 3 == 0).alias("damaged"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = settle(rows.select("hash", "message", signed("key", "message", "damaged").alias("s")).select("hash", "message", "s.key", "s.signature"), "signed")
     return ed25519.verified(rows, "key", "message", "signature").select("hash", "signature_ok")

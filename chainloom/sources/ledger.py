@@ -51,3 +51,11 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     clean = from_events(table(spark, sf_dir, "events"))
     ledger = perturbed(clean)
     return ledger, parents_of(clean, ledger)
+
+
+def settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The perturbed ledger, its parents and the clean ledger, for what reads them more than once: the events are scanned and
+    numbered once, and clean ledger and parents stand in written tables."""
+    clean = settle(from_events(table(spark, sf_dir, "events")), "clean")
+    ledger = perturbed(clean)
+    return ledger, settle(parents_of(clean, ledger), "parents"), clean

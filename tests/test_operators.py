@@ -81,22 +81,96 @@ def test_validation(spark):
     assert validate.within_limits(df, {"items": 1}).count() == 1
 
 
-def test_publish_and_objects(spark):
+def test_publishing_is_all_or_nothing(spark):
     root = tempfile.mkdtemp(prefix="chainloom-test-")
     clean = from_events(table(spark, DATA, "events")).drop("user_id")
-    store.publish(root, clean.where("seq <= 2"), 1, 0)
-    store.publish(root, clean.where("seq = 3"), 2, 1)
+    assert tables.latest_revision(spark, root) == 0 and tables.published(spark, root, "events") is None
+    assert tables.publish(spark, root, 0, events=clean.where("seq <= 2"), notes=clean.select("hash").limit(1)) == 1
+    assert tables.publish(spark, root, 1, events=clean.where("seq = 3")) == 2
     assert tables.latest_revision(spark, root) == 2
-    assert tables.published_events(spark, root, 1).count() == clean.where("seq <= 2").count()
+    assert tables.published(spark, root, "events", 1).count() == clean.where("seq <= 2").count()
+    assert tables.published(spark, root, "events").count() == clean.where("seq <= 3").count()
     with pytest.raises(tables.RevisionConflict):
-        store.publish(root, clean, 2, 1)
+        tables.publish(spark, root, 1, events=clean)
+    assert tables.publish(spark, root, 1, events=clean.where("seq = 3").repartition(3)) == 2  # the same content again
+    clean.limit(1).write.parquet(f"{root}/data/half/events")  # a writer that ended before its commit
+    assert tables.published(spark, root, "events").count() == clean.where("seq <= 3").count()
+    assert tables.recover(spark, root) == 1 and tables.recover(spark, root) == 0
+    assert tables.published(spark, root, "events").count() == clean.where("seq <= 3").count()
+
+
+def test_two_writers_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = tempfile.mkdtemp(prefix="chainloom-test-")
+
+    def one(n):
+        try:
+            return tables.publish(spark, root, 0, events=spark.range(n))
+        except tables.RevisionConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(map(str, pool.map(one, range(1, 5)))) == ["1", "None", "None", "None"]
+
+
+def test_objects_are_adopted_or_refused(spark):
+    root = tempfile.mkdtemp(prefix="chainloom-test-")
     docs = table(spark, DATA, "documents").select(F.col("text").cast("binary").alias("content"))
-    tables.write_objects(docs, f"{root}/objects")
+    n = docs.distinct().count()
+    assert tables.write_objects(docs, f"{root}/objects") == n and tables.write_objects(docs, f"{root}/objects") == 0
     back = tables.read_objects(spark, f"{root}/objects")
-    assert back.count() == docs.distinct().count() and back.where("not intact").count() == 0
-    tables.write_bundle(f"{root}/bundle", events=clean, cuts=chain.cuts(clean))
-    assert tables.read_bundle(spark, f"{root}/bundle", ("events", "cuts"))["events"].count() == clean.count()
-    assert inventory.evidence_root(clean.select(F.lit("event").alias("kind"), F.col("hash").alias("digest"))).count() == 1
+    assert back.count() == n and back.where("not intact").count() == 0
+    with pytest.raises(tables.ObjectConflict):
+        tables.write_objects(docs.withColumn("digest", F.lit("0" * 64)), f"{root}/objects")
+    first = back.first().digest
+    spark.createDataFrame([(first, bytearray(b"other"), first[:2])], "digest string, content binary, prefix string").write.partitionBy("prefix").mode("append").parquet(f"{root}/objects")
+    with pytest.raises(tables.ObjectConflict):
+        tables.write_objects(docs, f"{root}/objects")
+
+
+def test_batches_commit_with_evidence_and_audit(spark):
+    from chainloom.operators import evidence
+    from chainloom.plans import verify
+    from chainloom.sources import histories
+
+    root = tempfile.mkdtemp(prefix="chainloom-test-")
+    b = histories.bundles_of(spark.createDataFrame([(i, 35) for i in range(1, 9)], "event_id long, user_id long"))
+    first, whole = b.events.where("seq <= 4"), b.events
+    keys, sources = b.keys.select("id", "public"), b.sources.select("id", "namespace", "profile")
+    commit = lambda events, expected: store.commit_batch(spark, root, "w1", events, keys, sources, expected, "auditor")
+    assert commit(first, 0) == (1, {"added": 4, "duplicates": 0, "conflicts": 0})
+    assert commit(whole, 1) == (2, {"added": 4, "duplicates": 4, "conflicts": 0})
+    with pytest.raises(tables.RevisionConflict):
+        commit(first, 1)
+    log = tables.published(spark, root, "audit").withColumn("workspace", F.lit("w1"))
+    assert store.audit_head(log).first().seq == 2 and store.audit_prefix(log, 1).count() == 1
+    assert audit.audit_chain(log).where("code <> 'AUDIT_BINDING_MISMATCH'").count() == 0  # it has no first entry of its own
+    rows = tables.published(spark, root, "revisions").withColumn("workspace", F.lit("w1"))
+    assert {r.code for r in audit.audit_binding(rows, log).collect()} == {"OK"}
+    assert verify.signed(tables.published(spark, root, "audit"), keys.withColumn("bundle", F.lit("w1")), "audit", verify.digests.TAGS).where("signature_code <> 'OK'").count() == 0
+    events = tables.published(spark, root, "events")
+    assert events.count() == 8 and store.lookup(rows, revision=2).first().n_events == 8
+    parents, objects = store.exploded(events.unionByName(events))
+    assert parents.count() == events.select(F.explode("parents")).count() and objects.count() == events.select(F.explode("objects")).count() > 0
+    assert evidence.used_keys(events, tables.published(spark, root, "audit")).count() == 2
+    content = b.objects.select(F.unbase64(F.translate("content", "-_", "+/")).alias("content"))
+    tables.write_objects(content, f"{root}/objects")
+    named = objects.first().digest
+    assert store.object_read(spark, f"{root}/objects", events, named).first().intact
+    assert store.object_read(spark, f"{root}/objects", events.where("seq < 0"), named).count() == 0
+    assert validate.batch_repeats(events.unionByName(events.limit(1)), keys, b.objects).collect() == [("event repeated", 1)]
+    restored = tempfile.mkdtemp(prefix="chainloom-test-")
+    inventory.backup(spark, root, f"{restored}/copy")
+    assert inventory.restore(spark, f"{restored}/copy", f"{restored}/back") > 5
+    assert tables.latest_revision(spark, f"{restored}/back") == 2 and tables.published(spark, f"{restored}/back", "events").count() == 8
+    import pathlib
+
+    damaged = next(p for p in pathlib.Path(f"{restored}/copy/files").rglob("*.parquet"))
+    damaged.write_bytes(damaged.read_bytes()[:-1] + b"?")
+    pathlib.Path(damaged.parent, f".{damaged.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(tables.ObjectConflict):
+        inventory.restore(spark, f"{restored}/copy", f"{restored}/again")
 
 
 def test_streaming_replay_equals_batch(spark):
@@ -114,6 +188,79 @@ def test_streaming_replay_equals_batch(spark):
     assert got == want and len(want) > 20
 
 
+def test_a_fork_blocks_what_follows_in_a_stream(spark):
+    root = tempfile.mkdtemp(prefix="chainloom-test-")
+    event = lambda seq, h, kind: ("s", "m", seq, h, kind, "r", None, None, None, None)
+    parts = [[event(1, "a", "RunOpened")], [event(3, "c", "StepOpened"), event(1, "a", "RunOpened")], [event(2, "b", "CorrectionNoted")], [event(2, "x", "CorrectionNoted"), event(4, "d", "CorrectionNoted")], [event(2, "x", "CorrectionNoted")]]
+    schema = "source string, stream string, seq long, hash string, kind string, run string, step string, outcome string, observation string, delegation string"
+    for k, rows in enumerate(parts):
+        frame(spark, rows, schema).coalesce(1).write.parquet(f"{root}/in/part={k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
+    q = streaming_replay(source).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.seq, r.hash, r.code) for r in spark.read.parquet(f"{root}/out").collect())
+    assert got == [(1, "a", "OK"), (2, "b", "OK"), (2, "x", "BLOCKED"), (3, "c", "OK"), (4, "d", "BLOCKED")]
+
+
+def test_stages_expire_in_a_stream(spark):
+    from chainloom.streaming.ordered_replay import stage_expiry_stream
+
+    root = tempfile.mkdtemp(prefix="chainloom-test-")
+    rows = [("t1", "2024-01-01 00:00:00", "STAGED"), ("t1", "2024-01-01 00:05:00", "COMMITTED"), ("t2", "2024-01-01 00:01:00", "STAGED"), ("t9", "2024-01-01 03:00:00", "STAGED"), ("t9", "2024-01-01 06:00:00", "STAGED")]
+    for k, r in enumerate(rows):
+        frame(spark, [r], "stage string, at string, kind string").selectExpr("stage", "timestamp(at) AS ts", "kind").coalesce(1).write.parquet(f"{root}/in/part={k}")
+    source = spark.readStream.schema("stage string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
+    q = stage_expiry_stream(source).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.stage for r in spark.read.parquet(f"{root}/out").collect()} == {"t2", "t9"}
+
+
+def test_python_operators_from_another_folder(tmp_path):
+    """Workers find the library wherever the driver runs."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from chainloom.functions import canon, ed25519
+from chainloom.operators import graph
+assert canon.parse_column(spark.createDataFrame([('{{"b":1,"a":2}}',)], "t string"), "t").first().canonical == '{{"a":2,"b":1}}'
+nodes = spark.createDataFrame([("g", "a"), ("g", "b")], "component string, node string")
+assert graph.topological_order(nodes, spark.createDataFrame([("b", "a")], "src string, dst string")).orderBy("position").first().node == "b"
+key, s = ed25519.public_key(bytes(32)), ed25519.sign(bytes(32), b"m")
+row = spark.createDataFrame([(bytearray(key), bytearray(b"m"), bytearray(s))], "k binary, m binary, s binary")
+assert ed25519.verified(row, "k", "m", "s").first().signature_ok
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from chainloom import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
 def test_audit_of_a_good_log(spark):
     rows = [("w", 1, ZERO, "a", "WorkspaceCreated", 0, None, None), ("w", 2, "a", "b", "SourceRegistered", 1, None, "s"), ("w", 3, "b", "c", "ImportStaged", None, "t", None), ("w", 4, "c", "d", "ImportCommitted", 2, "t", None)]
     log = frame(spark, rows, "workspace string, seq long, prev string, hash string, kind string, revision long, stage string, source_id string").withColumn("evidence", F.lit("e"))
