@@ -21,8 +21,9 @@ One conversation is one output string, so its turns meet in one row, as any chat
 are first folded by message. DataFrame functions only.
 
 Defined results: null texts and roles count as empty; a null conv_id is a conversation of its own;
-events with the same sequence number apply in the order of kind, then text, and a regeneration
-discards those of its own number; repeated rows each apply;
+an event of another kind or of none, or without a sequence number or a message, has no place and is
+ignored; events with the same sequence number apply in the order of kind, then text, and a regeneration
+discards those of its own number; rows may arrive in any order; repeated rows each apply;
 an empty log gives an empty result; other columns are not read.
 """
 
@@ -46,7 +47,8 @@ def unescape(text: Column) -> Column:
 
 def fold(log: DataFrame) -> DataFrame:
     """Final messages: conv_id, message, role, text."""
-    event = log.select("conv_id", "seq", "kind", F.col("message").cast("long").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = F.col("kind").isin("delta", "edit", "regenerate") & F.col("seq").isNotNull() & F.col("message").isNotNull()
+    event = log.where(placed).select("conv_id", "seq", "kind", F.col("message").cast("long").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parts = F.collect_list(F.when(F.col("kind") != "regenerate", F.struct("seq", "kind", "text", "role")))
     last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
     own = event.groupBy("conv_id", "message").agg(F.array_sort(parts).alias("parts"), last("regenerate").alias("regenerated"), last("edit").alias("edited"))
@@ -90,20 +92,22 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_log(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log. Each turn is streamed as two deltas, after a draft that a
-    regeneration discards where the turn is an assistant's. Turns with equal numbers follow each
-    other by role and text."""
+    """A table of finished turns as a log. Each turn is streamed in two halves. An assistant's follows a draft that a
+    regeneration discards; in every third place, and in every turn of others, what was streamed first is
+    replaced by an edit that holds the first half. Turns with equal numbers follow each other by
+    role and text. Events stand in the order of a hash, as logs of many writers do."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    events = F.array(
-        F.struct(F.lit("delta").alias("kind"), F.lit("(draft)").alias("text")),
-        F.struct(F.lit("regenerate").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit("delta").alias("kind"), F.substring("text", F.lit(1), half).alias("text")),
-        F.struct(F.lit("delta").alias("kind"), F.substring("text", half + 1, F.char_length("text")).alias("text")),
-    )
-    log = rows.select("conv_id", "message", "role", F.posexplode(F.when(F.col("role") == "assistant", events).otherwise(F.slice(events, 3, 2))).alias("step", "event"))
-    return log.select("conv_id", (F.col("message") * 4 + F.col("step")).alias("seq"), "event.kind", "message", "role", "event.text")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    edited = F.array(event("delta", F.lit("(typo)")), event("edit", first), event("delta", second))
+    again = F.array(event("delta", F.lit("(draft)")), event("regenerate", F.lit("")))
+    plain = F.array(event("delta", first), event("delta", second))
+    events = F.when(F.col("role") != "assistant", edited).otherwise(F.concat(again, F.when(F.col("message") % 3 == 0, edited).otherwise(plain)))
+    log = rows.select("conv_id", "message", "role", F.posexplode(events).alias("step", "event"))
+    log = log.select("conv_id", (F.col("message") * 8 + F.col("step")).alias("seq"), "event.kind", "message", "role", "event.text")
+    return log.sortWithinPartitions(F.xxhash64("conv_id", "seq"))
 
 
 def op2_chat_format(spark, sf_dir: str) -> DataFrame:
