@@ -1,7 +1,8 @@
 """Language ID (operator 1): a bidirectional gated recurrent network over bytes.
 
-Texts are read in windows of WINDOW bytes. Two gated recurrent layers run over each window, one from
-either end; their states at a byte give that byte's label distribution, and a document's distribution
+Texts are read in windows of WINDOW bytes, and the state begins anew in each, so all windows run side by
+side and every byte has context from both of its sides within its window. Two gated recurrent layers run over each window,
+one from either end; their states at a byte give that byte's label distribution, and a document's distribution
 is the mean over all its bytes. The network is trained in numpy by backpropagation through time, on
 windows from a bounded sample of labelled rows (`sample_rows` rows, `per_row` windows each, taken at
 hashed places by smallest seeded hash of doc_id, so reruns agree), with every position labelled by its

@@ -36,6 +36,55 @@ def test_windows_equal_one_by_one():
     assert np.allclose(lang_id.predict(pa.array(texts, pa.string()), net), alone, atol=1e-5)
 
 
+def one_byte_at_a_time(data, net):
+    """The mean label distribution of a text's bytes, by the recurrence in plain numbers."""
+    from math import exp, tanh
+
+    k, total = net.hidden, [0.0] * len(net.labels)
+    logistic = lambda v: 1 / (1 + exp(-v)) if v > -700 else 0.0
+
+    def run(window, d):
+        w_in, w_rec = net.inputs[d].tolist(), net.recurrent[d].tolist()
+        h, out = [0.0] * k, []
+        for byte in window:
+            e = w_in[byte]
+            g = [sum(w * x for w, x in zip(row, h)) for row in w_rec]
+            z = [logistic(g[i] + e[i]) for i in range(k)]
+            r = [logistic(g[k + i] + e[k + i]) for i in range(k)]
+            c = [tanh(g[2 * k + i] * r[i] + e[2 * k + i]) for i in range(k)]
+            h = [c[i] + z[i] * (h[i] - c[i]) for i in range(k)]
+            out.append(h)
+        return out
+
+    outputs = net.outputs.tolist()
+    for i in range(0, len(data), lang_id.WINDOW):
+        window = data[i : i + lang_id.WINDOW]
+        there, back = run(window, 0), run(window[::-1], 1)[::-1]
+        for a, b in zip(there, back):
+            s = [sum(w * x for w, x in zip(row, [*a, *b, 1.0])) for row in outputs]
+            p = [exp(v - max(s)) for v in s]
+            total = [t + v / sum(p) for t, v in zip(total, p)]
+    return [t / max(len(data), 1) for t in total]
+
+
+def test_query_equals_the_recurrence_byte_by_byte(spark, data):
+    """lang_pred and score of whole texts of the registered query."""
+    from chainloom.llm.runtime import table
+
+    net = lang_id.fit(table(spark, data, "documents"))
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{data}/documents.parquet").to_pylist()}
+    rows = {r.doc_id: r for r in lang_id.op1_language_id(spark, data).collect()}
+    checked = 0
+    for i, text in docs.items():
+        if text and any(c.isalpha() for c in text) and len(text) < 1500:
+            p = one_byte_at_a_time(text.encode(), net)
+            assert abs(rows[i].score - max(p)) < 1e-3 and rows[i].lang_pred == net.labels[p.index(max(p))]
+            checked += 1
+            if checked == 60:
+                break
+    assert checked == 60
+
+
 def test_held_out_accuracy(spark):
     data = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in lang_id.op1_language_id(spark, data).collect()}
