@@ -12,7 +12,7 @@ added up by source and digest bucket (with partial sums before the shuffle), and
 bucket of each source in which the fraction ends is sorted. DataFrame functions only.
 
 Defined results: a null source is a source of its own, last in order; a null or empty text has size
-0 and takes 0 words; repeated rows count each; null ids share one place in the order; an empty table
+0 and takes 0 words; repeated rows count each; rows with a null id are ordered by their texts' digests; an empty table
 gives an empty result. The documents' columns are carried in one struct, so extra columns and their
 names do not matter.
 """
@@ -52,8 +52,13 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     )
 
 
-def _sized(docs: DataFrame, size: Column, seed: int) -> DataFrame:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(string_column(docs, "doc_id"), F.lit(""))).cast("binary"))
+def text_digest(docs: DataFrame) -> Column:
+    """What orders rows without an id, so that these do not share one place."""
+    return F.when(string_column(docs, "doc_id").isNull(), F.md5(string_column(docs, "text").cast("binary")))
+
+
+def _sized(docs: DataFrame, size: Column, digest: Column, seed: int) -> DataFrame:
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(string_column(docs, "doc_id"), digest, F.lit(""))).cast("binary"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(row.alias("row"), string_column(docs, "source").alias("source"), string_column(docs, "doc_id").alias("id"), size.alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, 4))
 
@@ -79,9 +84,9 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     return F.broadcast(ends) if small else ends
 
 
-def with_copies(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+def with_copies(docs: DataFrame, size: Column, digest: Column, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """row (the document's columns), size, source_size, target, copies (0 to max_epochs)."""
-    sized = _sized(docs, size, seed)
+    sized = _sized(docs, size, digest, seed)
     dealt = sized.join(plan(sized.select("source", "bucket", "size"), weights, max_epochs), F.col("source").eqNullSafe(F.col("_source")))
     inner = Window.partitionBy("_source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = dealt.where("bucket = end").withColumn("at", F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("before"))
@@ -93,14 +98,14 @@ def with_copies(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHT
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken. Word counts are taken once and written."""
-    sizes = written(docs.select(F.col("doc_id"), string_column(docs, "source").alias("source"), n_words(string_column(docs, "text")).alias("n")), "mix-sizes")
-    out = with_copies(sizes, F.col("n"))
+    sizes = written(docs.select(F.col("doc_id"), string_column(docs, "source").alias("source"), n_words(string_column(docs, "text")).alias("n"), text_digest(docs).alias("digest")), "mix-sizes")
+    out = with_copies(sizes, F.col("n"), F.col("digest"))
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with the columns of docs."""
-    out = with_copies(docs, n_words(string_column(docs, "text")), weights, max_epochs, seed)
+    out = with_copies(docs, n_words(string_column(docs, "text")), text_digest(docs), weights, max_epochs, seed)
     return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
@@ -111,7 +116,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('7:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('7:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS key
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
