@@ -51,7 +51,7 @@ LOOSE, LIKELY = 16, 79
 TASK_EDGES = 500_000
 #: Sets of one node that stand side by side in a task; nodes with more are thinned by PIVOTS pivots at a time.
 NODE_BYTES = 64_000_000
-#: Up to so many ids are broadcast to fetch texts (16 bytes each); beyond it the join shuffles.
+#: Up to so many ids or components are broadcast (16 or 24 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(4)
@@ -390,8 +390,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     classes = settled(classes, "near-classes")
     roots = similar_classes(docs, classes, k)
     ids = classes.select("class", "first_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    first = ids.groupBy("root").agg(F.min("first_id").alias("component"))
-    member = ids.join(first, "root").select("class", "component")
+    first = settled(ids.groupBy("root").agg(F.min("first_id").alias("component")), "near-components")
+    few = first.count() <= BROADCAST_IDS
+    member = ids.join(F.broadcast(first) if few else first, "root").select("class", "component")
     out = signed.select("doc_id", "n_shingles", "class").join(member, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -419,14 +420,15 @@ FROM sets s LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) r ON s.doc
 def kept_rows(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one document of each component does.
     Decisions go by doc_id: an id goes when none of its rows is kept, and where a row occurs again
-    with the same id and text, one of them stays. Rows with a null doc_id stay."""
+    with the same id and text, one of them stays. Rows with a null doc_id stay. Without a column `text` no
+    document is linked."""
     told = settled(near_duplicates(docs, k), "near-decisions")
     ids = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = settled(ids.where("not kept").select("_id"), "near-gone")
     few = gone.count() <= BROADCAST_IDS
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), string_column(docs, "text").alias("own_text"))
     out = row.join(F.broadcast(gone) if few else gone, F.col("own_id") == F.col("_id"), "left_anti")
     if ids.where("kept and n > 1").head(1):
-        once = out.where("own_id is not null").select("row", "own_id", F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")).alias("digest")).dropDuplicates(["own_id", "digest"])
+        once = out.where("own_id is not null").select("row", "own_id", F.md5(F.coalesce(F.col("own_text"), F.lit("")).cast("binary")).alias("digest")).dropDuplicates(["own_id", "digest"])
         out = once.select("row").unionByName(out.where("own_id is null").select("row"))
     return out.select("row.*")
