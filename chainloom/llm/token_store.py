@@ -21,7 +21,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ MAGIC = b"BPS1"
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 19
 END_ID = 1
-#: Distinct words in each generation of a worker's memory.
+#: Distinct pre-tokens in each generation of a worker's memory.
 CACHE_WORDS = 250_000
 CHUNKS = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -48,63 +50,55 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts by a word tokenizer whose pre-tokens never contain white space: a text's ids are
-    those of its pieces between white space, and a piece's those of its pre-tokens, so each distinct
-    pre-token is encoded once while it is remembered. Only pieces whose characters all stand before
-    U+0180, where case, kind and normal form are the same in every Unicode version, are cut here;
-    any other piece, or text with a control character on whose kind Python differs, goes to the
-    tokenizer whole. Two generations of `cache_words` pieces bound the memory and keep the frequent."""
-
-    # Fixed value: the pre-token pattern of the tokenizer file.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    """Ids of texts by a word tokenizer whose pre-tokens never contain white space, so that a text's ids are those
+    of its pre-tokens, and each distinct one is encoded once while it is remembered. Only texts, or words between
+    white space, whose characters all stand before U+0180, where case, kind and normal form are the same in every
+    Unicode version, are cut here; any other word, or text with a control character on whose kind Python differs, goes to the
+    tokenizer whole. Two generations of `cache_words` pre-tokens bound the memory and keep the frequent."""
+
     _ODD = re.compile("[\x1c-\x1f]")
-    _PLAIN = re.compile("[\x21-\u017f]*")
+    _PLAIN = re.compile("[\t-\r\x20-\u017f]*")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a worker a core
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = regex.compile(self.PATTERN).findall
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+        letters, numbers = of("L"), of("N")
+        # the pre-tokens of the tokenizer file: some endings, runs of letters, single numbers, runs of anything else
+        self.cut = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}{numbers}]+").findall
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, token: str) -> bytes:
-        out = self.pieces.get(token)
-        if out is None:
-            if len(self.pieces) >= self.cache_words:
-                self.pieces.clear()
-            shown = token if token.isascii() else "".join(map(self.letter.__getitem__, token.encode()))
-            out = self.pieces[token] = np.array([x.id for x in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        return out
-
-    def word(self, word: str) -> bytes:
-        if (out := self.older.get(word)) is not None:
-            return out
-        if self._PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.piece, self.cut(word.lower())))
-        return self.raw(word)
+        shown = token if token.isascii() and token.isprintable() else "".join(map(self.letter.__getitem__, token.encode()))
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        tokens = self.cut(text.lower())
+        missing = set(tokens).difference(self.pieces)
+        if missing and len(self.pieces) + len(missing) > self.cache_words:
+            self.older, self.pieces = self.pieces, {}
+            missing = set(tokens)
+        for t in missing:
+            known = self.older.get(t)
+            self.pieces[t] = self.piece(t) if known is None else known
+        return b"".join(map(self.pieces.__getitem__, tokens))
 
     def __call__(self, text: str) -> bytes:
         if self._ODD.search(text):
             return self.raw(text)
-        words = text.split()
-        if new := set(words).difference(self.words):
-            fresh = {w: self.word(w) for w in new}
-            if len(self.words) + len(fresh) > self.cache_words:
-                kept = {w: self.words[w] for w in words if w in self.words}
-                self.older, self.words = self.words, kept
-            self.words |= fresh
-        return b"".join(map(self.words.__getitem__, words))
+        if self._PLAIN.fullmatch(text) and "<|" not in text:
+            return self.plain(text)
+        return b"".join(self.plain(w) if self._PLAIN.fullmatch(w) and "<|" not in w else self.raw(w) for w in text.split())
 
 
 def encoder_of(path: str) -> Encoder:
@@ -163,7 +157,15 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, unit: int = 8, chun
 
         def close() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(parts), "<u4")
-            row = {"part": part, "chunk": chunk, "start": start, "n_ids": len(data), "doc_ids": list(ids), "lengths": list(lengths), "payload": pack(data, unit, block_ids)}
+            row = {
+                "part": part,
+                "chunk": chunk,
+                "start": start,
+                "n_ids": len(data),
+                "doc_ids": list(ids),
+                "lengths": list(lengths),
+                "payload": pack(data, unit, block_ids),
+            }
             return pa.RecordBatch.from_pylist([row], SCHEMA)
 
         for batch in batches:
@@ -187,7 +189,17 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, unit: int = 8, chun
     return rows.select("doc_id", "text").mapInArrow(run, CHUNKS)
 
 
-SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
+SCHEMA = pa.schema(
+    [
+        ("part", pa.int32()),
+        ("chunk", pa.int32()),
+        ("start", pa.int64()),
+        ("n_ids", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("lengths", pa.list_(pa.int64())),
+        ("payload", pa.binary()),
+    ]
+)
 
 
 def directory(chunks: DataFrame) -> DataFrame:
@@ -208,7 +220,15 @@ def read_back(chunks: DataFrame) -> DataFrame:
                 ends = np.cumsum(lengths)
                 begin = ends - lengths
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begin + base + first, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc_ids, pa.int64()),
+                        pa.array(begin + base + first, pa.int64()),
+                        pa.array(lengths, pa.int64()),
+                        pa.array(crc, pa.int64()),
+                    ],
+                    ["doc_id", "start", "n_tokens", "ids_crc32"],
+                )
 
     workers(chunks.sparkSession)
     rows = chunks.join(F.broadcast(directory(chunks)), "part").select("base", "start", "doc_ids", "lengths", "payload")

@@ -41,5 +41,30 @@ def test_edges(spark, odd_docs):
 
 def test_pieces_equal_whole_text():
     encoder = store.Encoder(store.tokenizer_path(), cache_words=3)
-    for text in ["a b  c\td", "It's Ünḯcode  x\x85y", "<|endoftext|> q<|startoftext|>", "a\x1cb c\x1fd", "é ́e 12 345!!", "ΑΣ ΣΑΣ", "", "İ\u0130X ª² ½ n\u0149 I'LL can't ſtop", "a\xa0b"]:
+    for text in [
+        "a b  c\td",
+        "It's Ünḯcode  x\x85y",
+        "<|endoftext|> q<|startoftext|>",
+        "a\x1cb c\x1fd",
+        "é ́e 12 345!!",
+        "ΑΣ ΣΑΣ",
+        "",
+        "İ\u0130X ª² ½ n\u0149 I'LL can't ſtop",
+        "a\xa0b",
+    ]:
         assert encoder(text) == encoder.raw(text)
+
+
+def test_random_texts_equal_the_library():
+    import random
+
+    encoder, rng = store.Encoder(store.tokenizer_path(), cache_words=50), random.Random(4)
+    pools = [
+        [chr(c) for c in range(0x20, 0x80)],
+        [chr(c) for c in range(0x180)],
+        [chr(c) for c in range(0x3000)],
+        list(" 'stremld<|\u0130ſßÀé1²½\xa0\x85\xad\x7f\n\t"),
+    ]
+    for _ in range(5000):
+        text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 25)))
+        assert encoder(text) == encoder.raw(text), ascii(text)
