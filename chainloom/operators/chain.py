@@ -27,7 +27,12 @@ def cuts(ledger: DataFrame) -> DataFrame:
     """source, stream, through, head: the head is zero where the last slot is forked."""
     top = ledger.groupBy("source", "stream").agg(F.max("seq").alias("through"))
     last = slots(ledger).select("source", "stream", F.col("seq").alias("through"), "n", "hashes")
-    return top.join(last, ["source", "stream", "through"]).select("source", "stream", "through", F.when(F.col("n") == 1, F.col("hashes")[0]).otherwise(ZERO).alias("head"))
+    return top.join(last, ["source", "stream", "through"]).select(
+        "source",
+        "stream",
+        "through",
+        F.when(F.col("n") == 1, F.col("hashes")[0]).otherwise(ZERO).alias("head"),
+    )
 
 
 def prev_check(ledger: DataFrame) -> DataFrame:
@@ -37,7 +42,10 @@ def prev_check(ledger: DataFrame) -> DataFrame:
     joined = ledger.join(before, KEY, "left")
     own = F.get(F.filter("before", lambda b: b["hash"] == F.col("prev")), F.lit(0))["lamport"]
     first = F.col("seq") == 1
-    code = F.when(first, F.when(F.col("prev") == ZERO, "OK").otherwise("PREV_MISMATCH")).when(F.col("before").isNull(), "PREFIX_MISSING").when(own.isNull(), "PREV_MISMATCH").otherwise("OK")
+    code = F.when(
+        first,
+        F.when(F.col("prev") == ZERO, "OK").otherwise("PREV_MISMATCH"),
+    ).when(F.col("before").isNull(), "PREFIX_MISSING").when(own.isNull(), "PREV_MISMATCH").otherwise("OK")
     return joined.select(*ledger.columns, code.alias("prev_code"), F.when(first, F.lit(0)).otherwise(own).cast("long").alias("prev_lamport"))
 
 
@@ -81,7 +89,12 @@ def findings(ledger: DataFrame, parents: DataFrame, data_refs: DataFrame | None
     forks = ledger.groupBy(*KEY).agg(F.array_sort(F.collect_set(own)).alias("subjects")).where(F.size("subjects") > 1)
     refs = parent_check(ledger, parents)
     checked = _clocked(ledger, refs)
-    codes = F.array_compact(F.array(F.when(F.col("prev_code") != "OK", F.col("prev_code")), F.when(F.col("lamport_code").isin("LAMPORT_INVALID", "COUNTER_EXHAUSTED"), F.col("lamport_code"))))
+    codes = F.array_compact(
+        F.array(
+            F.when(F.col("prev_code") != "OK", F.col("prev_code")),
+            F.when(F.col("lamport_code").isin("LAMPORT_INVALID", "COUNTER_EXHAUSTED"), F.col("lamport_code")),
+        )
+    )
     single = checked.select(F.explode(codes).alias("code"), F.array(own).alias("subjects"))
     child = F.struct(F.col("c_source").alias("source"), F.col("c_stream").alias("stream"), F.col("c_seq").alias("seq"), F.col("child").alias("hash"))
     missing = refs.where("not ok").select(child.alias("c"), own.alias("r"))
@@ -120,5 +133,8 @@ def predecessor_lag(ledger: DataFrame) -> DataFrame:
     """The form of prev_check for ledgers without forks: one window and no join."""
     w = Window.partitionBy("source", "stream").orderBy("seq")
     hash_, seq = F.lag("hash").over(w), F.lag("seq").over(w)
-    code = F.when(F.col("seq") == 1, F.when(F.col("prev") == ZERO, "OK").otherwise("PREV_MISMATCH")).when(F.coalesce(seq != F.col("seq") - 1, F.lit(True)), "PREFIX_MISSING").when(hash_ == F.col("prev"), "OK").otherwise("PREV_MISMATCH")
+    code = F.when(
+        F.col("seq") == 1,
+        F.when(F.col("prev") == ZERO, "OK").otherwise("PREV_MISMATCH"),
+    ).when(F.coalesce(seq != F.col("seq") - 1, F.lit(True)), "PREFIX_MISSING").when(hash_ == F.col("prev"), "OK").otherwise("PREV_MISMATCH")
     return ledger.withColumn("prev_code", code)

@@ -29,7 +29,10 @@ def availability(objects: DataFrame) -> DataFrame:
 def disclosure(objects: DataFrame, by: str) -> DataFrame:
     """by, n_refs, n_included, label: FULL without references or with all bodies, HASHES_ONLY with none, else REDACTED."""
     counts = objects.groupBy(by).agg(F.count("digest").alias("n_refs"), F.count_if(F.col("availability") == "INCLUDED").alias("n_included"))
-    label = F.when((F.col("n_refs") == 0) | (F.col("n_included") == F.col("n_refs")), "FULL").when(F.col("n_included") == 0, "HASHES_ONLY").otherwise("REDACTED")
+    label = F.when(
+        (F.col("n_refs") == 0) | (F.col("n_included") == F.col("n_refs")),
+        "FULL",
+    ).when(F.col("n_included") == 0, "HASHES_ONLY").otherwise("REDACTED")
     return counts.withColumn("label", label)
 
 
@@ -44,7 +47,12 @@ def reconcile(expected: DataFrame, declared: DataFrame) -> DataFrame:
     """kind, digest, reason of every mismatch between what an inventory should hold (kind, digest,
     bytes) and what it declares (also availability, has_body): one full outer join."""
     left = expected.select("kind", "digest", F.col("bytes").alias("e_bytes")).distinct().withColumn("_e", F.lit(1))
-    right = declared.groupBy("kind", "digest").agg(F.count("*").alias("n"), F.min("bytes").alias("bytes"), F.min("availability").alias("availability"), F.max("has_body").alias("has_body"))
+    right = declared.groupBy("kind", "digest").agg(
+        F.count("*").alias("n"),
+        F.min("bytes").alias("bytes"),
+        F.min("availability").alias("availability"),
+        F.max("has_body").alias("has_body"),
+    )
     reason = (
         F.when(F.col("n").isNull(), "MISSING")
         .when(F.col("_e").isNull(), "EXTRA")
@@ -79,7 +87,9 @@ def evidence_tree(parts: DataFrame, tag: str = "evidence-tree") -> DataFrame:
     n = rows.count()
     while n > LEAF_DIGESTS * 16**depth:
         depth += 2
-    leaf = rows.groupBy(F.substring("digest", 1, depth).alias("prefix")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "digest"))), ",").alias("x"))
+    leaf = rows.groupBy(F.substring("digest", 1, depth).alias("prefix")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "digest"))), ",").alias("x")
+    )
     node = leaf.select("prefix", domain_hash(tag, F.col("x")).alias("h"))
     while depth:
         depth -= 2

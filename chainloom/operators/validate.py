@@ -20,8 +20,28 @@ PROFILE, FORMAT = "proof-evidence/1", "proof-bundle/1"
 # A foreign format is a name and a version; which of them a deployment takes is a parameter of event_rules().
 FOREIGN = r"^[a-z][a-z0-9-]*/[0-9]+$"
 MAX_PARENTS, MAX_OBJECTS, MAX_EVENT_BYTES, MAX_AUDIT_BYTES, MAX_OBJECT_BYTES, MAX_INVENTORY = 64, 16, 65_536, 4096, 1_048_576, 140_000
-EVENT_FIELDS = {"v": "int", "workspace": "string", "source": "string", "stream": "string", "seq": "string", "prev": "string", "lamport": "string", "key": "string", "parents": "array", "data": "record"}
-AUDIT_FIELDS = {"v": "int", "workspace": "string", "seq": "string", "prev": "string", "key": "string", "principal": "string", "request": "string", "data": "record"}
+EVENT_FIELDS = {
+    "v": "int",
+    "workspace": "string",
+    "source": "string",
+    "stream": "string",
+    "seq": "string",
+    "prev": "string",
+    "lamport": "string",
+    "key": "string",
+    "parents": "array",
+    "data": "record",
+}
+AUDIT_FIELDS = {
+    "v": "int",
+    "workspace": "string",
+    "seq": "string",
+    "prev": "string",
+    "key": "string",
+    "principal": "string",
+    "request": "string",
+    "data": "record",
+}
 BUNDLE_FIELDS = {
     "v": "int", "format": "string", "workspace": "string", "revision": "string", "sources": "array", "actions": "array", "cuts": "array", "evidence": "string", "projection": "string",
     "inventory": "array", "disclosure": "string", "audit_through": "audit",
@@ -61,7 +81,11 @@ def violations(df: DataFrame, rules: dict[str, Column], *keys: str) -> DataFrame
 
 def sorted_unique(items: Column) -> Column:
     """Whether an array stands in strictly rising order."""
-    pairs = F.zip_with(F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda a, b: a < b)
+    pairs = F.zip_with(
+        F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))),
+        F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))),
+        lambda a, b: a < b,
+    )
     return (F.size(items) < 2) | F.forall(pairs, lambda x: x)
 
 
@@ -101,7 +125,10 @@ def event_rules(formats: tuple[str, ...] | None = None) -> dict[str, Column]:
     """Rules of typed events (sources.bundles.typed_events): fields and their types, identifiers, counts, the kind's own data,
     sorted parents, and bounds. Where the envelope's body is kept, counts are read from it as they were written."""
     written = lambda f: F.get_json_object("body", f"$.{f}")
-    parents = F.transform("parents", lambda p: F.struct(p["source"].alias("a"), p["stream"].alias("b"), p["seq"].try_cast("bigint").alias("c"), p["hash"].alias("d")))
+    parents = F.transform(
+        "parents",
+        lambda p: F.struct(p["source"].alias("a"), p["stream"].alias("b"), p["seq"].try_cast("bigint").alias("c"), p["hash"].alias("d")),
+    )
     kind = F.col("kind")
     return {
         "fields": has_fields(F.col("fields"), EVENT_FIELDS),
@@ -136,7 +163,11 @@ def audit_rules() -> dict[str, Column]:
         hashes &= optional(c, is_hash)
     revision = F.get_json_object("body", "$.data.revision")
     at_start = F.when(kind == "WorkspaceCreated", revision == "0").otherwise(_optional(revision, is_count(revision, 1)))
-    proof = (kind != "KeyRotated") | (decoded_signature(F.col("proof")).isNotNull() & decoded_key(F.col("next.public")).isNotNull() & (F.sha2(decoded_key(F.col("next.public")), 256) == F.col("next.id")))
+    proof = (kind != "KeyRotated") | (
+        decoded_signature(F.col("proof")).isNotNull() & decoded_key(F.col("next.public")).isNotNull() & (
+            F.sha2(decoded_key(F.col("next.public")), 256) == F.col("next.id")
+        )
+    )
     reason = (kind != "ImportCancelled") | _enum(F.col("reason"), ("USER", "EXPIRED"))
     return {
         "fields": has_fields(F.col("fields"), AUDIT_FIELDS),
@@ -159,8 +190,13 @@ def audit_rules() -> dict[str, Column]:
 
 def bundle_rules() -> dict[str, Column]:
     """Rules of typed bundles (sources.bundles.typed_bundles)."""
-    cut = lambda c: is_id(c["source"]) & is_id(c["stream"]) & is_count(c["through"]) & is_hash(c["head"]) & ((c["through"] == "0") == (c["head"] == ZERO))
-    item = lambda i: _enum(i["kind"], ("event", "audit", "key", "object")) & is_hash(i["digest"]) & is_count(i["bytes"]) & inventory_rule(i["kind"], i["availability"])
+    cut = lambda c: is_id(c["source"]) & is_id(c["stream"]) & is_count(c["through"]) & is_hash(c["head"]) & (
+        (c["through"] == "0") == (c["head"] == ZERO)
+    )
+    item = lambda i: _enum(
+        i["kind"],
+        ("event", "audit", "key", "object"),
+    ) & is_hash(i["digest"]) & is_count(i["bytes"]) & inventory_rule(i["kind"], i["availability"])
     return {
         "fields": has_fields(F.col("fields"), BUNDLE_FIELDS),
         "version": (F.col("v") == 1) & (F.col("format") == FORMAT),
@@ -190,7 +226,12 @@ def pin_rules() -> dict[str, Column]:
 
 def head_rules() -> dict[str, Column]:
     """Rules of head pins: role, source, stream, seq, hash."""
-    return {"role": _enum(F.col("role"), ("origin", "audit")), "scope": pin_rules()["scope"], "hash": is_hash(F.col("hash")), "zero head": (F.col("seq") == 0) == (F.col("hash") == ZERO)}
+    return {
+        "role": _enum(F.col("role"), ("origin", "audit")),
+        "scope": pin_rules()["scope"],
+        "hash": is_hash(F.col("hash")),
+        "zero head": (F.col("seq") == 0) == (F.col("hash") == ZERO),
+    }
 
 
 def step_closed_rule() -> Column:
@@ -227,4 +268,8 @@ def lineage_request_rule(max_nodes: int, max_depth: int) -> bool:
 def within_limits(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """limit, most of the array columns that pass a bound."""
     sizes = df.agg(*[F.max(F.size(c)).alias(c) for c in limits])
-    return sizes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("limit"), F.col(c).alias("most"), F.lit(n).alias("bound")) for c, n in limits.items()])).alias("x")).select("x.*").where("most > bound")
+    return sizes.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("limit"), F.col(c).alias("most"), F.lit(n).alias("bound")) for c, n in limits.items()])
+        ).alias("x")
+    ).select("x.*").where("most > bound")

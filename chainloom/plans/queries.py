@@ -29,7 +29,8 @@ base AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY stream ORDER BY seq), '
 ledger AS (
   SELECT source, stream, seq, CASE WHEN event_id % 83 = 0 THEN '{ZERO}' ELSE prev END AS prev, hash,
          lamport + (event_id % 79 = 0)::INT AS lamport, kind, event_id, user_id FROM base WHERE event_id % 97 <> 0
-  UNION ALL SELECT source, stream, seq, prev, sha256(hash || 'fork'), lamport, 'altered', event_id, user_id FROM base WHERE event_id % 97 <> 0 AND event_id % 89 = 0),
+  UNION ALL SELECT source, stream, seq, prev, sha256(hash || 'fork'), lamport, 'altered', event_id, user_id FROM base WHERE event_id % 97 <> 0
+  AND event_id % 89 = 0),
 parents AS (
   SELECT c.hash AS child, p.source, p.stream, p.seq, CASE WHEN c.event_id % 35 = 0 THEN sha256(p.hash) ELSE p.hash END AS hash,
          c.source AS c_source, c.stream AS c_stream, c.seq AS c_seq
@@ -60,7 +61,8 @@ streams AS (SELECT user_id, min(source) AS source, min(stream) AS stream, max(se
 pins AS (
   SELECT 'origin' AS role, source, stream, 'k' || (user_id % 7) AS key, 1 AS first, CASE WHEN user_id % 5 = 0 THEN 20 ELSE 1000000 END AS last,
          CASE WHEN user_id % 11 = 0 THEN 'COMPROMISED' ELSE 'ACTIVE' END AS status FROM streams WHERE user_id % 13 <> 0
-  UNION ALL SELECT 'origin', source, stream, 'k' || (user_id % 7 + 1), CASE WHEN user_id % 10 = 0 THEN 15 ELSE 1000001 END, 2000000, 'ACTIVE' FROM streams WHERE user_id % 13 <> 0),
+  UNION ALL SELECT 'origin', source, stream, 'k' || (user_id % 7 + 1), CASE WHEN user_id % 10 = 0 THEN 15 ELSE 1000001 END, 2000000, 'ACTIVE'
+  FROM streams WHERE user_id % 13 <> 0),
 heads AS (
   SELECT s.source, s.stream, CASE WHEN s.user_id % 6 = 0 THEN 0 WHEN s.user_id % 6 = 1 THEN s.top + 5 ELSE s.top END AS seq,
          CASE WHEN s.user_id % 6 = 0 THEN '{ZERO}' WHEN s.user_id % 6 = 2 THEN sha256(coalesce(b.hash, '')) ELSE coalesce(b.hash, '{ZERO}') END AS hash
@@ -85,7 +87,11 @@ def slot_forks(spark, d):
     return chain.slot_forks(load(spark, d)[0]).withColumn("hashes", F.array_join("hashes", ","))
 
 
-@query(f"WITH {LEDGER}, t AS (SELECT source, stream, max(seq) AS through FROM ledger GROUP BY ALL) SELECT source, stream, through, CASE WHEN count(*) = 1 THEN any_value(hash) ELSE '{ZERO}' END AS head FROM t JOIN ledger l USING (source, stream) WHERE l.seq = through GROUP BY source, stream, through")
+@query(
+    f"""WITH {LEDGER}, t AS (SELECT source, stream, max(seq) AS through FROM ledger GROUP BY ALL) SELECT source, stream, through, CASE WHEN
+  count(*) = 1 THEN any_value(hash) ELSE '{ZERO}' END AS head FROM t JOIN ledger l USING (source, stream) WHERE l.seq = through GROUP BY source,
+  stream, through"""
+)
 def stream_cuts(spark, d):
     return chain.cuts(settled(spark, d)[0])
 
@@ -124,7 +130,8 @@ found AS (
   SELECT 'SOURCE_FORK' AS code, string_agg({_REF}, ';' ORDER BY {_REF}) AS subjects FROM ledger GROUP BY source, stream, seq HAVING count(*) > 1
   UNION SELECT prev_code, {_REF} FROM checked WHERE prev_code <> 'OK'
   UNION SELECT lamport_code, {_REF} FROM checked WHERE lamport_code = 'LAMPORT_INVALID'
-  UNION SELECT 'PARENT_MISSING', least({_REF}, c_source || '/' || c_stream || '/' || c_seq || '/' || child) || ';' || greatest({_REF}, c_source || '/' || c_stream || '/' || c_seq || '/' || child) FROM refs WHERE NOT ok)
+  UNION SELECT 'PARENT_MISSING', least({_REF}, c_source || '/' || c_stream || '/' || c_seq || '/' || child) || ';' || greatest({_REF},
+  c_source || '/' || c_stream || '/' || c_seq || '/' || child) FROM refs WHERE NOT ok)
 SELECT code, subjects FROM found"""
 )
 def chain_findings(spark, d):
@@ -150,7 +157,11 @@ SELECT stream, max(seq) AS n, arg_max(head, seq) AS head FROM links GROUP BY str
 )
 def ledger_hash_chain(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, d, "events").select(F.col("user_id").alias("stream"), F.row_number().over(w).cast("long").alias("seq"), F.concat_ws("/", "event_type", "event_id").alias("body"))
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("stream"),
+        F.row_number().over(w).cast("long").alias("seq"),
+        F.concat_ws("/", "event_type", "event_id").alias("body"),
+    )
     return chain.hash_chain(rows)
 
 
@@ -176,8 +187,10 @@ def strict_json(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '0' || event_id ELSE event_id::VARCHAR END AS n, CASE WHEN event_id % 7 = 0 THEN '9' || event_type ELSE event_type END AS name FROM events)
-SELECT event_id, 'count' AS rule FROM r WHERE NOT regexp_full_match(n, '0|[1-9][0-9]*') UNION ALL SELECT event_id, 'id' FROM r WHERE NOT regexp_full_match(name, '[A-Za-z][A-Za-z0-9_-]{0,63}')"""
+    """WITH r AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '0' || event_id ELSE event_id::VARCHAR END AS n, CASE
+  WHEN event_id % 7 = 0 THEN '9' || event_type ELSE event_type END AS name FROM events)
+SELECT event_id, 'count' AS rule FROM r WHERE NOT regexp_full_match(n, '0|[1-9][0-9]*') UNION ALL SELECT event_id, 'id' FROM r
+  WHERE NOT regexp_full_match(name, '[A-Za-z][A-Za-z0-9_-]{0,63}')"""
 )
 def schema_violations(spark, d):
     n = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("0"), "event_id")).otherwise(F.col("event_id").cast("string"))
@@ -189,17 +202,19 @@ def schema_violations(spark, d):
 # -- graph --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LEDGER}, {EDGES} SELECT src, dst, kind FROM links UNION SELECT sha256(o.text), l.hash, 'input' FROM ledger l JOIN documents o ON o.doc_id = l.event_id % 997")
+@query(
+    f"""WITH {LEDGER}, {EDGES} SELECT src, dst, kind FROM links UNION SELECT sha256(o.text), l.hash, 'input' FROM ledger l
+  JOIN documents o ON o.doc_id = l.event_id % 997"""
+)
 def edge_list(spark, d):
     ledger, parents = load(spark, d)
-    objects = ledger.join(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("object")), F.col("event_id") % 997 == F.col("doc_id")).select(F.col("hash").alias("event"), "object", F.lit("input").alias("kind"))
+    objects = ledger.join(
+        table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("object")),
+        F.col("event_id") % 997 == F.col("doc_id"),
+    ).select(F.col("hash").alias("event"), "object", F.lit("input").alias("kind"))
     return graph.edges(ledger, parents, objects)
 
 
-def _causal(ledger: DataFrame, parents: DataFrame) -> DataFrame:
-    return graph.edges(ledger, parents).join(ledger.select(F.col("hash").alias("src")), "src", "left_semi")
-
-
 _CLOSURE = f"""WITH RECURSIVE {LEDGER}, {EDGES}, known AS (SELECT src, dst FROM links WHERE src IN (SELECT hash FROM ledger)),
 tops AS (SELECT source, stream, max(seq) AS seq FROM ledger GROUP BY ALL),
 seen AS (SELECT hash AS node FROM ledger JOIN tops USING (source, stream, seq) UNION SELECT k.src FROM seen s JOIN known k ON k.dst = s.node)"""
@@ -209,7 +224,7 @@ def _closure(ledger: DataFrame, parents: DataFrame) -> DataFrame:
     """Ancestors of every stream's last events."""
     tops = ledger.groupBy("source", "stream").agg(F.max("seq").alias("seq"))
     heads = ledger.join(tops, ["source", "stream", "seq"]).select(F.col("hash").alias("node"))
-    return graph.ancestors(_causal(ledger, parents), heads, max_depth=2**31 - 1)
+    return graph.reached(ledger, parents, heads)
 
 
 @query(f"{_CLOSURE} SELECT node FROM seen")
@@ -288,7 +303,8 @@ _RUN = "CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'UNKNOWN' ELSE '
 
 @query(
     f"""WITH s AS (SELECT l_orderkey AS run, {_STEP} AS o FROM lineitem),
-c AS (SELECT run, count(*) AS n, count(*) FILTER (o = 'SUCCEEDED') AS s, count(*) FILTER (o = 'FAILED') AS f, count(*) FILTER (o = 'UNKNOWN') AS u FROM s GROUP BY run)
+c AS (SELECT run, count(*) AS n, count(*) FILTER (o = 'SUCCEEDED') AS s, count(*) FILTER (o = 'FAILED') AS f, count(*) FILTER (o = 'UNKNOWN') AS u
+  FROM s GROUP BY run)
 SELECT o_orderkey AS run, {_RUN} AS outcome, coalesce(n, 0) AS n_steps,
   coalesce(n, 0) > 0 AND CASE {_RUN} WHEN 'SUCCEEDED' THEN s = n WHEN 'FAILED' THEN f > 0 ELSE f = 0 AND u > 0 END AS legal
 FROM orders LEFT JOIN c ON run = o_orderkey"""
@@ -310,27 +326,54 @@ def run_events(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def event(at, kind, step=none, outcome=none, observation=none, hash_=None):
-        return F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), step.alias("step"), outcome.alias("outcome"), observation.alias("observation"), (none if hash_ is None else hash_).alias("own"))
+        return F.struct(
+            F.lit(at).alias("at"),
+            F.lit(kind).alias("kind"),
+            step.alias("step"),
+            outcome.alias("outcome"),
+            observation.alias("observation"),
+            (none if hash_ is None else hash_).alias("own"),
+        )
 
     step = F.concat(F.lit("s"), "k")
     close = event(3, "StepClosed", step, F.col("step_outcome"), seen)
     again = F.when((F.col("l_orderkey") + F.col("k")) % 23 == 0, event(4, "StepClosed", step, F.col("step_outcome"), seen))
     inner = F.array_compact(F.array(event(1, "StepOpened", step), F.when(seen.isNotNull(), event(2, "ObservationRecorded", step, hash_=seen)), close, again))
     inner = steps.select("o_custkey", F.col("l_orderkey").alias("run"), F.col("k").alias("place"), F.explode(inner).alias("e"))
-    outer = F.array_compact(F.array(F.struct(F.lit(0).alias("place"), event(0, "RunOpened").alias("e")), F.when(F.col("o_orderkey") % 17 == 0, F.struct(F.lit(0).alias("place"), event(1, "RunOpened").alias("e"))), F.struct(F.lit(1_000_000).alias("place"), event(0, "RunClosed", outcome=F.col("outcome")).alias("e"))))
+    outer = F.array_compact(
+        F.array(
+            F.struct(F.lit(0).alias("place"), event(0, "RunOpened").alias("e")),
+            F.when(F.col("o_orderkey") % 17 == 0, F.struct(F.lit(0).alias("place"), event(1, "RunOpened").alias("e"))),
+            F.struct(F.lit(1_000_000).alias("place"), event(0, "RunClosed", outcome=F.col("outcome")).alias("e")),
+        )
+    )
     outer = orders.select("o_custkey", F.col("o_orderkey").alias("run"), F.explode(outer).alias("x")).select("o_custkey", "run", "x.place", "x.e")
     rows = inner.unionByName(outer)
     seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("run", "place", "e.at"))
     rows = rows.withColumn("seq", seq.cast("long"))
     hash_ = F.coalesce("e.own", F.sha2(F.concat_ws("/", "o_custkey", "seq"), 256))
-    return rows.select(F.lit("shop").alias("source"), F.concat(F.lit("c"), "o_custkey").alias("stream"), "seq", hash_.alias("hash"), "e.kind", F.col("run").cast("string").alias("run"), "e.step", "e.outcome", "e.observation", none.alias("delegation"))
+    return rows.select(
+        F.lit("shop").alias("source"),
+        F.concat(F.lit("c"), "o_custkey").alias("stream"),
+        "seq",
+        hash_.alias("hash"),
+        "e.kind",
+        F.col("run").cast("string").alias("run"),
+        "e.step",
+        "e.outcome",
+        "e.observation",
+        none.alias("delegation"),
+    )
 
 
 @query(
-    f"""WITH s AS (SELECT l_orderkey AS run, {_STEP} AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem),
-c AS (SELECT run, count(*) AS n, count(*) FILTER (o = 'SUCCEEDED') AS s, count(*) FILTER (o = 'FAILED') AS f, count(*) FILTER (o = 'UNKNOWN') AS u, count(*) FILTER ((run + k) % 23 = 0) AS twice FROM s GROUP BY run),
+    f"""WITH s AS (SELECT l_orderkey AS run, {_STEP} AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+  l_extendedprice, l_shipdate) AS k FROM lineitem),
+c AS (SELECT run, count(*) AS n, count(*) FILTER (o = 'SUCCEEDED') AS s, count(*) FILTER (o = 'FAILED') AS f, count(*) FILTER (o = 'UNKNOWN') AS u,
+  count(*) FILTER ((run + k) % 23 = 0) AS twice FROM s GROUP BY run),
 g AS (SELECT 'c' || o_custkey AS stream, o_orderkey AS run, {_RUN} AS outcome, coalesce(n, 0) AS n, coalesce(twice, 0) AS twice,
-  coalesce(n, 0) > 0 AND CASE {_RUN} WHEN 'SUCCEEDED' THEN s = n WHEN 'FAILED' THEN f > 0 ELSE f = 0 AND u > 0 END AS legal FROM orders LEFT JOIN c ON run = o_orderkey)
+  coalesce(n, 0) > 0 AND CASE {_RUN} WHEN 'SUCCEEDED' THEN s = n WHEN 'FAILED' THEN f > 0 ELSE f = 0 AND u > 0 END AS legal FROM orders LEFT
+  JOIN c ON run = o_orderkey)
 SELECT 'shop' AS source, stream, run::VARCHAR AS run, CASE WHEN legal THEN outcome END AS outcome, n AS n_steps, n AS n_closed,
   (twice + (run % 17 = 0)::INT + (NOT legal)::INT)::BIGINT AS n_illegal FROM g"""
 )
@@ -340,7 +383,13 @@ def lifecycle_replay(spark, d):
 
 def _offers(spark, d):
     o = table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("offer"), F.concat(F.lit("d"), F.col("o_orderkey") % 50).alias("delegation"), F.col("o_orderstatus").alias("scope"), F.col("o_custkey").cast("string").alias("child"), (F.col("o_orderkey") % 19 != 0).alias("applied"))
+    return o.select(
+        F.col("o_orderkey").alias("offer"),
+        F.concat(F.lit("d"), F.col("o_orderkey") % 50).alias("delegation"),
+        F.col("o_orderstatus").alias("scope"),
+        F.col("o_custkey").cast("string").alias("child"),
+        (F.col("o_orderkey") % 19 != 0).alias("applied"),
+    )
 
 
 def _accepts(spark, d):
@@ -351,11 +400,18 @@ def _accepts(spark, d):
     li = li.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     other = (F.col("l_partkey") % 10 == 0) | ((F.col("l_orderkey") % 2 == 0) & (F.col("k") > 1))
     scope = F.when(other, "X").otherwise(F.col("o_orderstatus"))
-    return li.select(F.concat_ws("-", "l_orderkey", "k").alias("accept"), F.when(F.col("l_partkey") % 31 == 0, -1).otherwise(F.col("l_orderkey")).alias("offer"), F.concat(F.lit("d"), F.col("l_orderkey") % 50).alias("delegation"), scope.alias("scope"), F.col("o_custkey").cast("string").alias("child"))
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "k").alias("accept"),
+        F.when(F.col("l_partkey") % 31 == 0, -1).otherwise(F.col("l_orderkey")).alias("offer"),
+        F.concat(F.lit("d"), F.col("l_orderkey") % 50).alias("delegation"),
+        scope.alias("scope"),
+        F.col("o_custkey").cast("string").alias("child"),
+    )
 
 
 _MATCH = """WITH k AS (
-  SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem),
+  SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  l_shipdate) AS k FROM lineitem),
 a AS (
   SELECT l_orderkey || '-' || k AS accept, CASE WHEN l_partkey % 31 = 0 THEN -1 ELSE l_orderkey END AS offer,
     l_partkey % 10 = 0 OR l_partkey % 31 = 0 OR l_orderkey % 19 = 0 OR (l_orderkey % 2 = 0 AND k > 1) AS bad FROM k JOIN orders ON l_orderkey = o_orderkey),
@@ -367,7 +423,10 @@ def delegation_match(spark, d):
     return replay.delegation_match(_accepts(spark, d), _offers(spark, d))
 
 
-@query(f"{_MATCH} SELECT offer, count(*) AS n, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'DELEGATION_REUSED' END AS code, CASE WHEN count(*) = 1 THEN min(accept) END AS accept FROM m WHERE code = 'OK' GROUP BY offer")
+@query(
+    f"""{_MATCH} SELECT offer, count(*) AS n, CASE WHEN count(*) = 1 THEN 'OK' ELSE 'DELEGATION_REUSED' END AS code, CASE WHEN count(*) = 1 THEN
+  min(accept) END AS accept FROM m WHERE code = 'OK' GROUP BY offer"""
+)
 def delegation_reuse(spark, d):
     return replay.delegation_edges(delegation_match(spark, d))
 
@@ -376,13 +435,26 @@ def delegation_reuse(spark, d):
 
 
 def _refs(spark, d):
-    doc = table(spark, d, "documents").select(F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"), F.when(F.col("doc_id") % 40 == 3, "application/json").otherwise("text/plain").alias("media"), F.col("doc_id").alias("id"), "source")
-    page = table(spark, d, "pages").select(F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"), F.lit("text/html").alias("media"), (-F.col("page_id") - 1).alias("id"), F.lit("web").alias("source"))
+    doc = table(spark, d, "documents").select(
+        F.sha2("text", 256).alias("digest"),
+        F.octet_length("text").cast("long").alias("bytes"),
+        F.when(F.col("doc_id") % 40 == 3, "application/json").otherwise("text/plain").alias("media"),
+        F.col("doc_id").alias("id"),
+        "source",
+    )
+    page = table(spark, d, "pages").select(
+        F.sha2("html", 256).alias("digest"),
+        F.octet_length("html").cast("long").alias("bytes"),
+        F.lit("text/html").alias("media"),
+        (-F.col("page_id") - 1).alias("id"),
+        F.lit("web").alias("source"),
+    )
     return doc.unionByName(page)
 
 
 _REFS = """WITH refs AS (
-  SELECT sha256(text) AS digest, strlen(text) AS bytes, CASE WHEN doc_id % 40 = 3 THEN 'application/json' ELSE 'text/plain' END AS media, doc_id AS id, source FROM documents
+  SELECT sha256(text) AS digest, strlen(text) AS bytes, CASE WHEN doc_id % 40 = 3 THEN 'application/json' ELSE 'text/plain' END AS media,
+  doc_id AS id, source FROM documents
   UNION ALL SELECT sha256(html), strlen(html), 'text/html', -page_id - 1, 'web' FROM pages)"""
 
 
@@ -416,7 +488,10 @@ def availability_label(spark, d):
     return inventory.availability(_labelled(spark, d)[0])
 
 
-@query(f"{_LABELLED} SELECT source, count(*) AS n_refs, count(*) FILTER (availability = 'INCLUDED') AS n_included, CASE WHEN n_included = n_refs THEN 'FULL' WHEN n_included = 0 THEN 'HASHES_ONLY' ELSE 'REDACTED' END AS label FROM o GROUP BY source")
+@query(
+    f"""{_LABELLED} SELECT source, count(*) AS n_refs, count(*) FILTER (availability = 'INCLUDED') AS n_included, CASE
+  WHEN n_included = n_refs THEN 'FULL' WHEN n_included = 0 THEN 'HASHES_ONLY' ELSE 'REDACTED' END AS label FROM o GROUP BY source"""
+)
 def disclosure_label(spark, d):
     return inventory.disclosure(_labelled(spark, d)[1], "source")
 
@@ -429,15 +504,24 @@ def disclose(spark, d):
 
 @query(
     f"""{_REFS}, e AS (SELECT DISTINCT 'object' AS kind, digest, bytes FROM refs WHERE id % 7 <> 1),
-d AS (SELECT 'object' AS kind, digest, bytes + (id % 9 = 0)::INT AS bytes, CASE WHEN id % 4 = 0 THEN 'WITHHELD' ELSE 'INCLUDED' END AS availability, id % 6 <> 0 AS has_body FROM refs WHERE id % 11 <> 1),
+d AS (SELECT 'object' AS kind, digest, bytes + (id % 9 = 0)::INT AS bytes, CASE WHEN id % 4 = 0 THEN 'WITHHELD' ELSE 'INCLUDED' END AS availability,
+  id % 6 <> 0 AS has_body FROM refs WHERE id % 11 <> 1),
 g AS (SELECT kind, digest, count(*) AS n, min(bytes) AS bytes, min(availability) AS availability, max(has_body) AS has_body FROM d GROUP BY kind, digest),
-r AS (SELECT coalesce(e.kind, g.kind) AS kind, coalesce(e.digest, g.digest) AS digest, CASE WHEN n IS NULL THEN 'MISSING' WHEN e.digest IS NULL THEN 'EXTRA' WHEN n > 1 THEN 'DUPLICATE'
-  WHEN g.bytes <> e.bytes THEN 'BYTES' WHEN availability = 'INCLUDED' AND NOT has_body THEN 'NO_BODY' WHEN availability <> 'INCLUDED' AND has_body THEN 'UNEXPECTED_BODY' END AS reason FROM e FULL JOIN g ON e.kind = g.kind AND e.digest = g.digest)
+r AS (SELECT coalesce(e.kind, g.kind) AS kind, coalesce(e.digest, g.digest) AS digest, CASE WHEN n IS NULL THEN 'MISSING'
+  WHEN e.digest IS NULL THEN 'EXTRA' WHEN n > 1 THEN 'DUPLICATE'
+  WHEN g.bytes <> e.bytes THEN 'BYTES' WHEN availability = 'INCLUDED' AND NOT has_body THEN 'NO_BODY' WHEN availability <> 'INCLUDED'
+  AND has_body THEN 'UNEXPECTED_BODY' END AS reason FROM e FULL JOIN g ON e.kind = g.kind AND e.digest = g.digest)
 SELECT kind, digest, reason FROM r WHERE reason IS NOT NULL"""
 )
 def inventory_reconcile(spark, d):
     refs, i = _refs(spark, d).withColumn("kind", F.lit("object")), F.col("id")
-    declared = refs.where("id % 11 <> 1").select("kind", "digest", (F.col("bytes") + (i % 9 == 0).cast("long")).alias("bytes"), F.when(i % 4 == 0, "WITHHELD").otherwise("INCLUDED").alias("availability"), (i % 6 != 0).alias("has_body"))
+    declared = refs.where("id % 11 <> 1").select(
+        "kind",
+        "digest",
+        (F.col("bytes") + (i % 9 == 0).cast("long")).alias("bytes"),
+        F.when(i % 4 == 0, "WITHHELD").otherwise("INCLUDED").alias("availability"),
+        (i % 6 != 0).alias("has_body"),
+    )
     return inventory.reconcile(refs.where("id % 7 <> 1"), declared)
 
 
@@ -446,20 +530,33 @@ def evidence_root(spark, d):
     return inventory.evidence_root(_refs(spark, d).select(F.lit("object").alias("kind"), "digest"))
 
 
-@query(f"{_REFS}, x AS (SELECT DISTINCT digest[1:2] AS p, 'object:' || digest AS x FROM refs), l AS (SELECT p, sha256('evidence-tree' || chr(0) || string_agg(x, ',' ORDER BY x)) AS h FROM x GROUP BY p) SELECT sha256('evidence-tree' || chr(0) || string_agg(h, ',' ORDER BY p)) AS evidence FROM l")
+@query(
+    f"""{_REFS}, x AS (SELECT DISTINCT digest[1:2] AS p, 'object:' || digest AS x FROM refs), l AS (SELECT p,
+  sha256('evidence-tree' || chr(0) || string_agg(x, ',' ORDER BY x)) AS h FROM x GROUP BY p) SELECT sha256('evidence-tree' || chr(0) || string_agg(h,
+  ',' ORDER BY p)) AS evidence FROM l"""
+)
 def evidence_tree(spark, d):
     return inventory.evidence_tree(_refs(spark, d).select(F.lit("object").alias("kind"), "digest"))
 
 
-@query("SELECT 'p' || page_id AS path, CASE WHEN page_id % 10 = 1 THEN 'MISSING' WHEN page_id % 10 = 2 THEN 'EXTRA' ELSE 'CHANGED' END AS code FROM pages WHERE page_id % 10 IN (1, 2, 3)")
+@query(
+    """SELECT 'p' || page_id AS path, CASE WHEN page_id % 10 = 1 THEN 'MISSING' WHEN page_id % 10 = 2 THEN 'EXTRA' ELSE 'CHANGED' END AS code
+  FROM pages WHERE page_id % 10 IN (1, 2, 3)"""
+)
 def manifest_check(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("p"), "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
     old = inventory.manifest(pages.where("page_id % 10 <> 2"))
-    now = pages.where("page_id % 10 <> 1").withColumn("content", F.when(F.col("page_id") % 10 == 3, F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content")))
+    now = pages.where("page_id % 10 <> 1").withColumn(
+        "content",
+        F.when(F.col("page_id") % 10 == 3, F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content")),
+    )
     return inventory.manifest_check(old, now)
 
 
-@query(f"{_REFS}, h AS (SELECT DISTINCT digest FROM refs WHERE id % 3 <> 0) SELECT source AS owner, count(*) FILTER (h.digest IS NULL) AS n_missing FROM refs LEFT JOIN h USING (digest) GROUP BY source")
+@query(
+    f"""{_REFS}, h AS (SELECT DISTINCT digest FROM refs WHERE id % 3 <> 0) SELECT source AS owner, count(*) FILTER (h.digest IS NULL) AS n_missing
+  FROM refs LEFT JOIN h USING (digest) GROUP BY source"""
+)
 def dependency_check(spark, d):
     refs = _refs(spark, d)
     return inventory.dependencies(refs.select(F.col("source").alias("owner"), "digest"), refs.where("id % 3 <> 0"))
@@ -473,8 +570,24 @@ def _pins(ledger: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame]:
     streams = ledger.groupBy("source", "stream").agg(F.max("seq").alias("top")).withColumn("user", user)
     held = streams.where("user % 13 <> 0")
     u = F.col("user")
-    one = held.select(F.lit("origin").alias("role"), "source", "stream", F.concat(F.lit("k"), u % 7).alias("key"), F.lit(1).alias("first"), F.when(u % 5 == 0, 20).otherwise(1000000).alias("last"), F.when(u % 11 == 0, "COMPROMISED").otherwise("ACTIVE").alias("status"))
-    two = held.select(F.lit("origin").alias("role"), "source", "stream", F.concat(F.lit("k"), u % 7 + 1).alias("key"), F.when(u % 10 == 0, 15).otherwise(1000001).alias("first"), F.lit(2000000).alias("last"), F.lit("ACTIVE").alias("status"))
+    one = held.select(
+        F.lit("origin").alias("role"),
+        "source",
+        "stream",
+        F.concat(F.lit("k"), u % 7).alias("key"),
+        F.lit(1).alias("first"),
+        F.when(u % 5 == 0, 20).otherwise(1000000).alias("last"),
+        F.when(u % 11 == 0, "COMPROMISED").otherwise("ACTIVE").alias("status"),
+    )
+    two = held.select(
+        F.lit("origin").alias("role"),
+        "source",
+        "stream",
+        F.concat(F.lit("k"), u % 7 + 1).alias("key"),
+        F.when(u % 10 == 0, 15).otherwise(1000001).alias("first"),
+        F.lit(2000000).alias("last"),
+        F.lit("ACTIVE").alias("status"),
+    )
     base = clean.select("stream", F.col("seq").alias("top"), "hash")
     at = streams.join(base, ["stream", "top"], "left")
     seq = F.when(u % 6 == 0, 0).when(u % 6 == 1, F.col("top") + 5).otherwise(F.col("top"))
@@ -490,7 +603,8 @@ def _keyed(ledger: DataFrame) -> DataFrame:
 _KEYED = f"""{LEDGER}, {PINS},
 keyed AS (SELECT *, 'k' || (user_id % 7 + (event_id % 29 = 0)::INT) AS key FROM ledger),
 one AS (SELECT source, stream, key, min((first, last, status)) AS pin FROM pins WHERE role = 'origin' GROUP BY ALL),
-coded AS (SELECT k.*, CASE WHEN pin IS NULL THEN 'KEY_UNPINNED' WHEN seq NOT BETWEEN pin[1] AND pin[2] THEN 'KEY_INTERVAL' WHEN pin[3] = 'COMPROMISED' THEN 'KEY_COMPROMISED' ELSE 'OK' END AS key_code
+coded AS (SELECT k.*, CASE WHEN pin IS NULL THEN 'KEY_UNPINNED' WHEN seq NOT BETWEEN pin[1] AND pin[2] THEN 'KEY_INTERVAL'
+  WHEN pin[3] = 'COMPROMISED' THEN 'KEY_COMPROMISED' ELSE 'OK' END AS key_code
   FROM keyed k LEFT JOIN one USING (source, stream, key))"""
 
 
@@ -500,7 +614,10 @@ def pin_range_join(spark, d):
     return trust.key_check(_keyed(ledger), _pins(ledger, clean)[0]).select("hash", "key", "key_code")
 
 
-@query(f"WITH {LEDGER}, {PINS}, o AS (SELECT *, lag(last) OVER (PARTITION BY role, source, stream ORDER BY first, last, key) AS before FROM pins) SELECT role, source, stream, key, first, last FROM o WHERE first <= before")
+@query(
+    f"""WITH {LEDGER}, {PINS}, o AS (SELECT *, lag(last) OVER (PARTITION BY role, source, stream ORDER BY first, last, key) AS before FROM pins)
+  SELECT role, source, stream, key, first, last FROM o WHERE first <= before"""
+)
 def pin_overlap(spark, d):
     ledger, _, clean = settled(spark, d)
     return trust.pin_overlap(_pins(ledger, clean)[0])
@@ -519,14 +636,24 @@ def head_pin_status(spark, d):
     return trust.head_check(_pins(ledger, clean)[1], ledger)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 8 <> 0 AND o_custkey * 10 >= o_orderkey THEN 'TRUST_EXPIRED' ELSE 'OK' END AS code, NOT (o_orderkey % 3 = 0 AND o_custkey % 2 = 0) AS anchor FROM orders")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 8 <> 0 AND o_custkey * 10 >= o_orderkey THEN 'TRUST_EXPIRED' ELSE 'OK' END AS code,
+  NOT (o_orderkey % 3 = 0 AND o_custkey % 2 = 0) AS anchor FROM orders"""
+)
 def trust_expiry(spark, d):
     until = F.when(F.col("o_orderkey") % 8 != 0, F.col("o_orderkey"))
     pin_hash = F.when(F.col("o_custkey") % 2 == 0, ZERO).otherwise("f" * 64)
-    return table(spark, d, "orders").select("o_orderkey", trust.expiry(F.col("o_custkey") * 10, until).alias("code"), trust.is_anchor(F.col("o_orderkey") % 3, pin_hash).alias("anchor"))
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        trust.expiry(F.col("o_custkey") * 10, until).alias("code"),
+        trust.is_anchor(F.col("o_orderkey") % 3, pin_hash).alias("anchor"),
+    )
 
 
-@query(f"WITH {_KEYED} SELECT source, stream, seq, count(*) AS n, bool_and(key_code = 'OK') AS attributable FROM coded GROUP BY source, stream, seq HAVING count(*) > 1")
+@query(
+    f"""WITH {_KEYED} SELECT source, stream, seq, count(*) AS n, bool_and(key_code = 'OK') AS attributable FROM coded GROUP BY source, stream,
+  seq HAVING count(*) > 1"""
+)
 def fork_attribution(spark, d):
     ledger, _, clean = settled(spark, d)
     return trust.fork_attribution(trust.key_check(_keyed(ledger), _pins(ledger, clean)[0]))
@@ -534,14 +661,20 @@ def fork_attribution(spark, d):
 
 @query(
     f"""WITH {_KEYED}, {CHECKED}, {_HEADS},
-s AS (SELECT source, stream, count(*) AS n_events, bool_or(prev_code = 'PREV_MISMATCH' OR lamport_code = 'LAMPORT_INVALID') AS invalid, bool_or(prev_code = 'PREFIX_MISSING' OR n_missing > 0) AS gap FROM checked GROUP BY ALL),
+s AS (SELECT source, stream, count(*) AS n_events, bool_or(prev_code = 'PREV_MISMATCH' OR lamport_code = 'LAMPORT_INVALID') AS invalid,
+  bool_or(prev_code = 'PREFIX_MISSING' OR n_missing > 0) AS gap FROM checked GROUP BY ALL),
 f AS (SELECT source, stream, bool_or(n > 1) AS forked FROM slots GROUP BY ALL),
 k AS (SELECT source, stream, bool_or(key_code <> 'OK') AS untrusted FROM coded GROUP BY ALL),
-a AS (SELECT source, stream, bool_or(x) AS attributable FROM (SELECT source, stream, bool_and(key_code = 'OK') AS x FROM coded GROUP BY source, stream, seq HAVING count(*) > 1) GROUP BY ALL),
-p AS (SELECT source, stream, count(*) FILTER (seq > 0) AS n_pins, bool_or(head_code = 'PIN_AHEAD') AS ahead, bool_and(head_code = 'PIN_AHEAD') AS all_ahead, bool_or(head_code IN ('PIN_MISMATCH', 'CONFLICTED')) AS pin_conflict, bool_or(head_code IN ('OK', 'CONFLICTED')) AS anchored FROM head_codes GROUP BY ALL)
+a AS (SELECT source, stream, bool_or(x) AS attributable FROM (SELECT source, stream, bool_and(key_code = 'OK') AS x FROM coded GROUP BY source,
+  stream, seq HAVING count(*) > 1) GROUP BY ALL),
+p AS (SELECT source, stream, count(*) FILTER (seq > 0) AS n_pins, bool_or(head_code = 'PIN_AHEAD') AS ahead,
+  bool_and(head_code = 'PIN_AHEAD') AS all_ahead, bool_or(head_code IN ('PIN_MISMATCH', 'CONFLICTED')) AS pin_conflict, bool_or(head_code IN ('OK',
+  'CONFLICTED')) AS anchored FROM head_codes GROUP BY ALL)
 SELECT source, stream, n_events, CASE WHEN invalid THEN 'INVALID' ELSE 'VALID' END AS integrity,
-  CASE WHEN coalesce(pin_conflict, false) OR coalesce(attributable, false) THEN 'CONFLICTED' WHEN untrusted THEN 'UNTRUSTED' WHEN coalesce(all_ahead, false) AND NOT coalesce(anchored, false) THEN 'INCOMPLETE' WHEN coalesce(anchored, false) THEN 'PINNED' ELSE 'SIGNED_UNANCHORED' END AS origin,
-  CASE WHEN coalesce(ahead, false) THEN 'BEHIND_REQUIRED_CUT' WHEN coalesce(n_pins, 0) = 0 OR (NOT coalesce(anchored, false) AND NOT coalesce(all_ahead, false)) THEN 'UNANCHORED' ELSE 'AT_REQUIRED_CUT' END AS freshness,
+  CASE WHEN coalesce(pin_conflict, false) OR coalesce(attributable, false) THEN 'CONFLICTED' WHEN untrusted THEN 'UNTRUSTED' WHEN coalesce(all_ahead,
+  false) AND NOT coalesce(anchored, false) THEN 'INCOMPLETE' WHEN coalesce(anchored, false) THEN 'PINNED' ELSE 'SIGNED_UNANCHORED' END AS origin,
+  CASE WHEN coalesce(ahead, false) THEN 'BEHIND_REQUIRED_CUT' WHEN coalesce(n_pins, 0) = 0 OR (NOT coalesce(anchored, false)
+  AND NOT coalesce(all_ahead, false)) THEN 'UNANCHORED' ELSE 'AT_REQUIRED_CUT' END AS freshness,
   CASE WHEN forked THEN 'CONFLICTED' WHEN gap THEN 'INCOMPLETE' ELSE 'COMPLETE_RELATIVE' END AS lineage
 FROM s JOIN f USING (source, stream) JOIN k USING (source, stream) LEFT JOIN a USING (source, stream) LEFT JOIN p USING (source, stream)"""
 )
@@ -559,14 +692,23 @@ def _audit(spark, d):
     rows = rows.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("hash", F.sha2(F.concat_ws("/", "workspace", "o_orderkey"), 256))
     rows = rows.withColumn("prev", F.coalesce(F.lag("hash").over(w), F.lit(ZERO)))
     key, seq = F.col("o_orderkey"), F.col("seq")
-    kind = F.when(seq == 1, "WorkspaceCreated").when(seq % 4 == 2, "SourceRegistered").when(seq % 4 == 3, "ImportStaged").when(seq % 4 == 0, F.when(key % 3 == 0, "ImportCancelled").otherwise("ImportCommitted")).otherwise("ConfigActivated")
+    kind = F.when(seq == 1, "WorkspaceCreated").when(seq % 4 == 2, "SourceRegistered").when(seq % 4 == 3, "ImportStaged").when(
+        seq % 4 == 0,
+        F.when(key % 3 == 0, "ImportCancelled").otherwise("ImportCommitted"),
+    ).otherwise("ConfigActivated")
     rows = rows.withColumn("kind", F.when((seq == 1) & (key % 5 == 0), "ConfigActivated").otherwise(kind))
-    rows = rows.withColumn("published", F.sum(F.col("kind").isin("SourceRegistered", "ImportCommitted").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn(
+        "published",
+        F.sum(F.col("kind").isin("SourceRegistered", "ImportCommitted").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    )
     rows = rows.withColumn("revision", F.when(F.col("kind").isin("SourceRegistered", "ImportCommitted"), F.col("published") + (key % 29 == 0).cast("long")))
     rows = rows.withColumn("stage", F.when(F.col("kind").startswith("Import"), F.concat(F.lit("t"), F.floor((seq - 3 + (key % 31 == 0).cast("int")) / 4))))
     rows = rows.withColumn("source_id", F.when(F.col("kind") == "SourceRegistered", F.concat(F.lit("s"), F.when(key % 37 == 0, 2).otherwise(seq))))
     bent = rows.withColumn("prev", F.when(key % 41 == 0, ZERO).otherwise(F.col("prev"))).where("o_orderkey % 43 <> 0")
-    fork = bent.where("o_orderkey % 47 = 0").withColumn("hash", F.sha2("hash", 256)).withColumn("kind", F.lit("ConfigActivated")).withColumn("revision", F.lit(None).cast("long")).withColumn("stage", F.lit(None).cast("string")).withColumn("source_id", F.lit(None).cast("string"))
+    fork = bent.where("o_orderkey % 47 = 0").withColumn("hash", F.sha2("hash", 256)).withColumn("kind", F.lit("ConfigActivated")).withColumn("revision", F.lit(None).cast("long")).withColumn("stage", F.lit(None).cast("string")).withColumn(
+        "source_id",
+        F.lit(None).cast("string"),
+    )
     names = ["workspace", "seq", "prev", "hash", "kind", "revision", "stage", "source_id"]
     return bent.select(*names, F.sha2("hash", 256).alias("evidence")).unionByName(fork.select(*names, F.sha2("hash", 256).alias("evidence")))
 
@@ -574,13 +716,16 @@ def _audit(spark, d):
 _AUDIT = f"""a0 AS (SELECT o_orderkey AS k, 'w' || (o_custkey % 100) AS workspace FROM orders),
 a1 AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY k) AS seq, sha256(workspace || '/' || k) AS hash FROM a0),
 a2 AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY workspace ORDER BY k), '{ZERO}') AS prev,
-  CASE WHEN seq = 1 THEN CASE WHEN k % 5 = 0 THEN 'ConfigActivated' ELSE 'WorkspaceCreated' END WHEN seq % 4 = 2 THEN 'SourceRegistered' WHEN seq % 4 = 3 THEN 'ImportStaged'
+  CASE WHEN seq = 1 THEN CASE WHEN k % 5 = 0 THEN 'ConfigActivated' ELSE 'WorkspaceCreated' END WHEN seq % 4 = 2 THEN 'SourceRegistered'
+  WHEN seq % 4 = 3 THEN 'ImportStaged'
     WHEN seq % 4 = 0 THEN CASE WHEN k % 3 = 0 THEN 'ImportCancelled' ELSE 'ImportCommitted' END ELSE 'ConfigActivated' END AS kind FROM a1),
-a3 AS (SELECT *, CASE WHEN kind IN ('SourceRegistered', 'ImportCommitted') THEN count(*) FILTER (kind IN ('SourceRegistered', 'ImportCommitted')) OVER (PARTITION BY workspace ORDER BY k) + (k % 29 = 0)::INT END AS revision,
+a3 AS (SELECT *, CASE WHEN kind IN ('SourceRegistered', 'ImportCommitted') THEN count(*) FILTER (kind IN ('SourceRegistered',
+  'ImportCommitted')) OVER (PARTITION BY workspace ORDER BY k) + (k % 29 = 0)::INT END AS revision,
   CASE WHEN kind LIKE 'Import%' THEN 't' || floor((seq - 3 + (k % 31 = 0)::INT) / 4)::BIGINT END AS stage,
   CASE WHEN kind = 'SourceRegistered' THEN 's' || CASE WHEN k % 37 = 0 THEN 2 ELSE seq END END AS source_id FROM a2),
 a4 AS (SELECT workspace, k, seq, hash, CASE WHEN k % 41 = 0 THEN '{ZERO}' ELSE prev END AS prev, kind, revision, stage, source_id FROM a3 WHERE k % 43 <> 0),
-entries AS (SELECT *, sha256(hash) AS evidence FROM a4 UNION ALL SELECT workspace, k, seq, sha256(hash), prev, 'ConfigActivated', NULL, NULL, NULL, sha256(sha256(hash)) FROM a4 WHERE k % 47 = 0)"""
+entries AS (SELECT *, sha256(hash) AS evidence FROM a4 UNION ALL SELECT workspace, k, seq, sha256(hash), prev, 'ConfigActivated', NULL, NULL, NULL,
+  sha256(sha256(hash)) FROM a4 WHERE k % 47 = 0)"""
 
 
 @query(
@@ -597,14 +742,18 @@ def audit_chain(spark, d):
 
 @query(
     f"""WITH RECURSIVE {_AUDIT},
-pub AS (SELECT workspace, seq, revision, row_number() OVER (PARTITION BY workspace ORDER BY seq) AS i FROM entries WHERE kind IN ('SourceRegistered', 'ImportCommitted')),
+pub AS (SELECT workspace, seq, revision, row_number() OVER (PARTITION BY workspace ORDER BY seq) AS i FROM entries WHERE kind IN ('SourceRegistered',
+  'ImportCommitted')),
 fold AS (
   SELECT workspace, i, seq, CASE WHEN revision = 1 THEN 1 ELSE 0 END AS last, revision <> 1 AS bad FROM pub WHERE i = 1
-  UNION ALL SELECT p.workspace, p.i, p.seq, CASE WHEN p.revision = f.last + 1 THEN p.revision ELSE f.last END, p.revision <> f.last + 1 FROM fold f JOIN pub p ON p.workspace = f.workspace AND p.i = f.i + 1),
-st AS (SELECT *, coalesce(bool_or(kind = 'ImportStaged') OVER w, false) AS staged, coalesce(bool_or(kind IN ('ImportCommitted', 'ImportCancelled')) OVER w, false) AS done
+  UNION ALL SELECT p.workspace, p.i, p.seq, CASE WHEN p.revision = f.last + 1 THEN p.revision ELSE f.last END, p.revision <> f.last + 1 FROM fold f
+  JOIN pub p ON p.workspace = f.workspace AND p.i = f.i + 1),
+st AS (SELECT *, coalesce(bool_or(kind = 'ImportStaged') OVER w, false) AS staged, coalesce(bool_or(kind IN ('ImportCommitted',
+  'ImportCancelled')) OVER w, false) AS done
   FROM entries WHERE stage IS NOT NULL WINDOW w AS (PARTITION BY workspace, stage ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT workspace, seq, 'created late' AS reason FROM entries WHERE kind = 'WorkspaceCreated' AND seq <> 1
-UNION ALL SELECT workspace, seq, 'source again' FROM (SELECT *, row_number() OVER (PARTITION BY workspace, source_id ORDER BY seq) AS i FROM entries WHERE kind = 'SourceRegistered') WHERE i > 1
+UNION ALL SELECT workspace, seq, 'source again' FROM (SELECT *, row_number() OVER (PARTITION BY workspace, source_id ORDER BY seq) AS i FROM entries
+  WHERE kind = 'SourceRegistered') WHERE i > 1
 UNION ALL SELECT workspace, seq, 'stage not open' FROM st WHERE kind IN ('ImportCommitted', 'ImportCancelled') AND (NOT staged OR done)
 UNION ALL SELECT workspace, seq, 'staged again' FROM st WHERE kind = 'ImportStaged' AND staged
 UNION ALL SELECT workspace, seq, 'revision' FROM fold WHERE bad"""
@@ -614,56 +763,95 @@ def audit_semantics(spark, d):
 
 
 @query(
-    f"""WITH {_AUDIT}, r AS (SELECT workspace, revision, CASE WHEN revision % 6 = 0 THEN 'x' ELSE evidence END AS evidence, seq + (revision % 7 = 0)::INT AS audit_seq FROM entries WHERE revision IS NOT NULL)
-SELECT r.workspace, r.revision, CASE WHEN e.kind IN ('SourceRegistered', 'ImportCommitted') AND e.revision = r.revision AND e.evidence = r.evidence THEN 'OK' ELSE 'AUDIT_BINDING_MISMATCH' END AS code
+    f"""WITH {_AUDIT}, r AS (SELECT workspace, revision, CASE WHEN revision % 6 = 0 THEN 'x' ELSE evidence END AS evidence,
+  seq + (revision % 7 = 0)::INT AS audit_seq FROM entries WHERE revision IS NOT NULL)
+SELECT r.workspace, r.revision, CASE WHEN e.kind IN ('SourceRegistered', 'ImportCommitted') AND e.revision = r.revision
+  AND e.evidence = r.evidence THEN 'OK' ELSE 'AUDIT_BINDING_MISMATCH' END AS code
 FROM r LEFT JOIN entries e ON e.workspace = r.workspace AND e.seq = r.audit_seq"""
 )
 def audit_binding(spark, d):
     entries = _audit(spark, d)
-    r = entries.where("revision is not null").select("workspace", "revision", F.when(F.col("revision") % 6 == 0, "x").otherwise(F.col("evidence")).alias("evidence"), (F.col("seq") + (F.col("revision") % 7 == 0).cast("long")).alias("audit_seq"))
+    r = entries.where("revision is not null").select(
+        "workspace",
+        "revision",
+        F.when(F.col("revision") % 6 == 0, "x").otherwise(F.col("evidence")).alias("evidence"),
+        (F.col("seq") + (F.col("revision") % 7 == 0).cast("long")).alias("audit_seq"),
+    )
     return audit.audit_binding(r, entries)
 
 
 @query(
     f"""WITH {_AUDIT}, o AS (SELECT workspace, count(*) AS n, max(seq) AS top, count(DISTINCT seq) AS d FROM entries GROUP BY 1),
 q AS (SELECT workspace, 3 AS seq, max(CASE WHEN seq = 3 THEN hash END) AS hash FROM a1 GROUP BY 1)
-SELECT o.workspace, n, n = top AND d = n AS contiguous, CASE WHEN NOT (n = top AND d = n) THEN 'GAP' WHEN 3 > n THEN 'BEHIND' WHEN list_contains(e.hashes, q.hash) THEN 'OK' ELSE 'MISMATCH' END AS code
+SELECT o.workspace, n, n = top AND d = n AS contiguous, CASE WHEN NOT (n = top AND d = n) THEN 'GAP' WHEN 3 > n THEN 'BEHIND'
+  WHEN list_contains(e.hashes, q.hash) THEN 'OK' ELSE 'MISMATCH' END AS code
 FROM o JOIN q USING (workspace) LEFT JOIN (SELECT workspace, list(hash) AS hashes FROM entries WHERE seq = 3 GROUP BY 1) e USING (workspace)"""
 )
 def recovery_prefix(spark, d):
     w = Window.partitionBy("workspace").orderBy("o_orderkey")
     clean = table(spark, d, "orders").withColumn("workspace", F.concat(F.lit("w"), F.col("o_custkey") % 100)).withColumn("seq", F.row_number().over(w))
-    need = clean.groupBy("workspace").agg(F.max(F.when(F.col("seq") == 3, F.sha2(F.concat_ws("/", "workspace", "o_orderkey"), 256))).alias("hash")).withColumn("seq", F.lit(3).cast("long"))
+    need = clean.groupBy("workspace").agg(
+        F.max(F.when(F.col("seq") == 3, F.sha2(F.concat_ws("/", "workspace", "o_orderkey"), 256))).alias("hash")
+    ).withColumn("seq", F.lit(3).cast("long"))
     return audit.recovery_prefix(_audit(spark, d), need)
 
 
-@query("SELECT o_custkey AS principal, o_orderkey % 20 AS request, count(*) AS n, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'IDEMPOTENCY_CONFLICT' WHEN count(*) > 1 THEN 'REPLAYED' ELSE 'NEW' END AS code FROM orders GROUP BY 1, 2")
+@query(
+    """SELECT o_custkey AS principal, o_orderkey % 20 AS request, count(*) AS n, CASE WHEN
+  count(DISTINCT o_orderstatus) > 1 THEN 'IDEMPOTENCY_CONFLICT' WHEN count(*) > 1 THEN 'REPLAYED' ELSE 'NEW' END AS code FROM orders GROUP BY 1, 2"""
+)
 def idempotency_conflict(spark, d):
-    return store.idempotency(table(spark, d, "orders").select(F.col("o_custkey").alias("principal"), (F.col("o_orderkey") % 20).alias("request"), F.col("o_orderstatus").alias("body")))
+    return store.idempotency(
+        table(spark, d, "orders").select(
+            F.col("o_custkey").alias("principal"),
+            (F.col("o_orderkey") % 20).alias("request"),
+            F.col("o_orderstatus").alias("body"),
+        )
+    )
 
 
 @query(
-    f"""WITH {LEDGER}, r AS (SELECT DISTINCT * FROM ledger WHERE event_id % 3 <> 0), b AS (SELECT * FROM ledger WHERE event_id % 3 = 0 OR event_id % 5 = 0 UNION ALL SELECT source, stream, seq, prev, sha256(hash || 'late'), lamport, kind, event_id, user_id FROM ledger WHERE event_id % 14 = 0),
+    f"""WITH {LEDGER}, r AS (SELECT DISTINCT * FROM ledger WHERE event_id % 3 <> 0), b AS (SELECT * FROM ledger WHERE event_id % 3 = 0
+  OR event_id % 5 = 0 UNION ALL SELECT source, stream, seq, prev, sha256(hash || 'late'), lamport, kind, event_id, user_id FROM ledger
+  WHERE event_id % 14 = 0),
 n AS (SELECT DISTINCT source, stream, seq, hash FROM b WHERE hash NOT IN (SELECT hash FROM r)),
 o AS (SELECT source, stream, seq, count(*) AS n, (source, stream, seq) IN (SELECT (source, stream, seq) FROM r) AS taken FROM n GROUP BY ALL)
-SELECT sum(n)::BIGINT AS added, ((SELECT count(*) FROM b) - sum(n))::BIGINT AS duplicates, sum(n - CASE WHEN taken THEN 0 ELSE 1 END)::BIGINT AS conflicts FROM o"""
+SELECT sum(n)::BIGINT AS added, ((SELECT count(*) FROM b) - sum(n))::BIGINT AS duplicates, sum(n - CASE WHEN taken THEN 0
+  ELSE 1 END)::BIGINT AS conflicts FROM o"""
 )
 def commit_tallies(spark, d):
     ledger, _ = load(spark, d)
-    batch = ledger.where("event_id % 3 = 0 or event_id % 5 = 0").unionByName(ledger.where("event_id % 14 = 0").withColumn("hash", F.sha2(F.concat("hash", F.lit("late")), 256)))
+    batch = ledger.where("event_id % 3 = 0 or event_id % 5 = 0").unionByName(
+        ledger.where("event_id % 14 = 0").withColumn("hash", F.sha2(F.concat("hash", F.lit("late")), 256))
+    )
     return store.commit_tallies(ledger.where("event_id % 3 <> 0"), batch)
 
 
-@query("SELECT o_orderkey AS stage, CASE WHEN o_orderkey % 4 = 0 THEN 'COMMITTED' WHEN o_orderkey % 4 = 1 THEN 'CANCELLED' WHEN greatest(o_custkey, o_orderkey % 1000) - 100 >= 600 THEN 'EXPIRED' ELSE 'STAGED' END AS state FROM orders")
+@query(
+    """SELECT o_orderkey AS stage, CASE WHEN o_orderkey % 4 = 0 THEN 'COMMITTED' WHEN o_orderkey % 4 = 1 THEN 'CANCELLED' WHEN greatest(o_custkey,
+  o_orderkey % 1000) - 100 >= 600 THEN 'EXPIRED' ELSE 'STAGED' END AS state FROM orders"""
+)
 def stage_expiry(spark, d):
     o = table(spark, d, "orders")
-    stages = o.select(F.col("o_orderkey").alias("stage"), F.lit(100).cast("long").alias("created_ms"), F.col("o_custkey").alias("floor_ms"), (F.col("o_orderkey") % 1000).alias("now_ms"))
-    ends = o.where("o_orderkey % 4 < 2").select(F.col("o_orderkey").alias("stage"), F.when(F.col("o_orderkey") % 4 == 0, "COMMITTED").otherwise("CANCELLED").alias("kind"), F.lit(1).alias("at_ms"))
+    stages = o.select(
+        F.col("o_orderkey").alias("stage"),
+        F.lit(100).cast("long").alias("created_ms"),
+        F.col("o_custkey").alias("floor_ms"),
+        (F.col("o_orderkey") % 1000).alias("now_ms"),
+    )
+    ends = o.where("o_orderkey % 4 < 2").select(
+        F.col("o_orderkey").alias("stage"),
+        F.when(F.col("o_orderkey") % 4 == 0, "COMMITTED").otherwise("CANCELLED").alias("kind"),
+        F.lit(1).alias("at_ms"),
+    )
     later = ends.withColumn("kind", F.lit("CANCELLED")).withColumn("at_ms", F.lit(2))
     return store.stage_state(stages, ends.unionByName(later), 600)
 
 
-@query(f"WITH {LEDGER}, r AS (SELECT DISTINCT event_id % 12 + 1 AS revision FROM ledger) SELECT revision, (SELECT count(*) FROM ledger l WHERE l.event_id % 12 + 1 <= r.revision) AS n_events FROM r")
+@query(
+    f"""WITH {LEDGER}, r AS (SELECT DISTINCT event_id % 12 + 1 AS revision FROM ledger) SELECT revision, (SELECT count(*) FROM ledger l
+  WHERE l.event_id % 12 + 1 <= r.revision) AS n_events FROM r"""
+)
 def revision_members(spark, d):
     events = load(spark, d)[0].withColumn("first_revision", F.col("event_id") % 12 + 1)
     return store.revision_counts(events, events.select(F.col("first_revision").alias("revision")).distinct())
@@ -776,7 +964,8 @@ def verify_report(spark, d):
 
 @query(
     """WITH e AS (SELECT event_id, event_type, event_id % 12 AS f FROM events)
-SELECT 'e' || event_id AS bundle, CASE f WHEN 0 THEN 'fields' WHEN 1 THEN 'version' WHEN 2 THEN 'seq' WHEN 3 THEN 'data fields' WHEN 4 THEN 'parents' WHEN 5 THEN 'outcome'
+SELECT 'e' || event_id AS bundle, CASE f WHEN 0 THEN 'fields' WHEN 1 THEN 'version' WHEN 2 THEN 'seq' WHEN 3 THEN 'data fields' WHEN 4 THEN 'parents'
+  WHEN 5 THEN 'outcome'
   WHEN 6 THEN 'kind' WHEN 7 THEN 'signature' WHEN 8 THEN 'JSON_INVALID' WHEN 9 THEN 'SCHEMA_INVALID' END AS rule FROM e WHERE f < 10"""
 )
 def bundle_schema(spark, d):
@@ -797,13 +986,24 @@ def bundle_schema(spark, d):
     signature = F.concat(F.repeat(F.lit("A"), when(7, F.lit(85), F.lit(86))))
     event = F.concat(F.lit('{"body":'), body, F.lit(',"hash":"'), h, F.lit('","signature":"'), signature, F.lit('"}'))
     hash_ = when(8, F.concat(h, F.lit('","hash":"')), h)
-    text = F.concat(F.lit('{"body":{},"keys":[],"audit":[],'), when(9, F.lit('"other":[],'), F.lit('"objects":[],')), F.lit('"hash":"'), hash_, F.lit('","events":['), event, F.lit("]}"))
+    text = F.concat(
+        F.lit('{"body":{},"keys":[],"audit":[],'),
+        when(9, F.lit('"other":[],'), F.lit('"objects":[],')),
+        F.lit('"hash":"'),
+        hash_,
+        F.lit('","events":['),
+        event,
+        F.lit("]}"),
+    )
     rows = settle(bundles.members(table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("bundle"), text.alias("text"))), "members")
     broken = validate.violations(bundles.typed_events(rows), validate.event_rules(), "bundle")
     return rows.where("code <> 'OK'").select("bundle", F.col("code").alias("rule")).unionByName(broken)
 
 
-@query("SELECT event_id, 'PT' || event_id AS path, CASE event_id % 5 WHEN 0 THEN 'scope' WHEN 1 THEN 'interval' WHEN 2 THEN 'zero head' WHEN 3 THEN 'availability' END AS rule FROM events WHERE event_id % 5 < 4")
+@query(
+    """SELECT event_id, 'PT' || event_id AS path, CASE event_id % 5 WHEN 0 THEN 'scope' WHEN 1 THEN 'interval' WHEN 2 THEN 'zero head'
+  WHEN 3 THEN 'availability' END AS rule FROM events WHERE event_id % 5 < 4"""
+)
 def pin_rules(spark, d):
     """Key pins, head pins and inventory items with one broken rule each, a row for every event of the table."""
     n, h = F.col("event_id") % 5, F.sha2(F.col("event_id").cast("string"), 256)
@@ -812,4 +1012,9 @@ def pin_rules(spark, d):
         F.lit(5).cast("long").alias("first"), F.when(n == 1, 4).otherwise(9).cast("long").alias("last"), F.lit("ACTIVE").alias("status"),
         F.when(n == 2, 0).otherwise(7).cast("long").alias("seq"), h.alias("hash"), F.when(n == 3, "key").otherwise("object").alias("kind"), F.lit("WITHHELD").alias("availability"), F.lit(1).cast("long").alias("bytes"), h.alias("digest"),
     )
-    return validate.violations(rows, validate.pin_rules() | validate.head_rules() | validate.inventory_rules(), "event_id", "path").dropDuplicates(["event_id", "rule"])
+    return validate.violations(
+        rows,
+        validate.pin_rules() | validate.head_rules() | validate.inventory_rules(),
+        "event_id",
+        "path",
+    ).dropDuplicates(["event_id", "rule"])

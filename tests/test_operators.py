@@ -30,6 +30,41 @@ def test_diamond_closure_and_limits(spark):
     assert depth["0"] == 1 and depth["1"] == 29 and len(depth) == 31
 
 
+def test_segments_reach_what_single_steps_reach(spark):
+    """reached() over segments against ancestors() over single links, in random histories with forks, gaps and cross links."""
+    import random
+
+    rng = random.Random(3)
+    rows, refs = [], []
+    for s in range(6):
+        last = [ZERO]
+        for seq in range(1, 15):
+            if rng.random() < 0.1:
+                last = ["gone"]
+                continue
+            own = [f"{s}-{seq}-{k}" for k in range(1 + (rng.random() < 0.15))]
+            rows += [("src", f"m{s}", seq, rng.choice(last), h, seq) for h in own]
+            last = own
+    slots = {(r[1], r[2]): r for r in rows}
+    for _, stream, seq, _, h, _ in rows:
+        if rng.random() < 0.4:
+            p = slots[rng.choice(sorted(slots))]
+            if (p[1] != stream or p[2] < seq) and p[4] != h:
+                refs.append((h, *p[:3], p[4]))
+    ledger = frame(spark, rows, "source string, stream string, seq long, prev string, hash string, lamport long").withColumn("kind", F.lit("k")).cache()
+    parents = frame(spark, refs, "child string, source string, stream string, seq long, hash string").cache()
+    known = graph.edges(ledger, parents).join(ledger.select(F.col("hash").alias("src")), "src", "left_semi").collect()
+    for actions in (["0-14-0"], [r[4] for r in rows if r[2] == 7], [rows[0][4]]):
+        want, todo = set(), [a for a in actions if any(r[4] == a for r in rows)]
+        while todo:
+            h = todo.pop()
+            if h not in want:
+                want.add(h)
+                todo += [e.src for e in known if e.dst == h]
+        got = {r.node for r in graph.reached(ledger, parents, frame(spark, [(a,) for a in actions], "node string")).collect()}
+        assert got == want
+
+
 def test_topological_order_and_cycles(spark):
     nodes = frame(spark, [("g", x) for x in "abcdexy"], "component string, node string")
     links = frame(spark, [*DIAMOND, ("x", "y"), ("y", "x"), ("x", "e")], "src string, dst string")
@@ -40,9 +75,20 @@ def test_topological_order_and_cycles(spark):
 
 
 def test_findings_of_a_small_history(spark):
-    rows = [("s", "m", 1, ZERO, "h1", 1), ("s", "m", 2, "h1", "h2", 2), ("s", "m", 2, "h1", "h2b", 2), ("s", "m", 4, "h3", "h4", 3), ("s", "n", 1, "h1", "n1", 2), ("t", "m", 3, "x", "t3", 9)]
+    rows = [
+        ("s", "m", 1, ZERO, "h1", 1),
+        ("s", "m", 2, "h1", "h2", 2),
+        ("s", "m", 2, "h1", "h2b", 2),
+        ("s", "m", 4, "h3", "h4", 3),
+        ("s", "n", 1, "h1", "n1", 2),
+        ("t", "m", 3, "x", "t3", 9),
+    ]
     ledger = frame(spark, rows, "source string, stream string, seq long, prev string, hash string, lamport long").withColumn("kind", F.lit("k"))
-    parents = frame(spark, [("n1", "s", "m", 1, "h1"), ("h2", "t", "m", 3, "t3"), ("h4", "s", "m", 4, "h4")], "child string, source string, stream string, seq long, hash string")
+    parents = frame(
+        spark,
+        [("n1", "s", "m", 1, "h1"), ("h2", "t", "m", 3, "t3"), ("h4", "s", "m", 4, "h4")],
+        "child string, source string, stream string, seq long, hash string",
+    )
     codes = sorted(r.code for r in chain.chain_findings(ledger, parents).collect())
     assert codes == ["PARENT_MISSING", "PARENT_MISSING", "PREFIX_MISSING", "PREFIX_MISSING", "PREV_MISMATCH", "SOURCE_FORK"]
     strict = {r.child: r.ok for r in chain.parent_check(ledger, parents, strict_source=True).collect()}
@@ -54,14 +100,27 @@ def test_findings_of_a_small_history(spark):
 def test_legal_outcomes():
     ok = replay.legal_outcome
     assert ok("SUCCEEDED", ["SUCCEEDED"]) and not ok("SUCCEEDED", []) and not ok("SUCCEEDED", ["SUCCEEDED", "FAILED"])
-    assert ok("FAILED", ["FAILED", "UNKNOWN"]) and not ok("UNKNOWN", ["FAILED", "UNKNOWN"]) and ok("CANCELLED", ["CANCELLED", "SUCCEEDED"]) and not ok("CANCELLED", [None, "CANCELLED"])
+    assert ok("FAILED", ["FAILED", "UNKNOWN"]) and not ok("UNKNOWN", ["FAILED", "UNKNOWN"]) and ok(
+        "CANCELLED",
+        ["CANCELLED", "SUCCEEDED"],
+    ) and not ok("CANCELLED", [None, "CANCELLED"])
 
 
 def test_trust(spark):
     schema = "role string, source string, stream string, key string, first long, last long, status string"
-    pins = frame(spark, [("origin", "s", "m", "k", 1, 9, "ACTIVE"), ("origin", "s", "m", "k", 20, 30, "ACTIVE"), ("audit", None, None, "a", 1, 5, "ACTIVE")], schema)
-    records = frame(spark, [("s", "m", 9, "k"), ("s", "m", 25, "k"), ("s", "m", 1, "z"), ("s", "q", 1, "k")], "source string, stream string, seq long, key string")
-    assert [r.key_code for r in trust.key_check(records, pins).orderBy("stream", "key", "seq").collect()] == ["OK", "KEY_INTERVAL", "KEY_UNPINNED", "KEY_UNPINNED"]
+    pins = frame(
+        spark,
+        [("origin", "s", "m", "k", 1, 9, "ACTIVE"), ("origin", "s", "m", "k", 20, 30, "ACTIVE"), ("audit", None, None, "a", 1, 5, "ACTIVE")],
+        schema,
+    )
+    records = frame(
+        spark,
+        [("s", "m", 9, "k"), ("s", "m", 25, "k"), ("s", "m", 1, "z"), ("s", "q", 1, "k")],
+        "source string, stream string, seq long, key string",
+    )
+    assert [
+        r.key_code for r in trust.key_check(records, pins).orderBy("stream", "key", "seq").collect()
+    ] == ["OK", "KEY_INTERVAL", "KEY_UNPINNED", "KEY_UNPINNED"]
     heads = frame(spark, [("origin", "s", "m", 3, "h"), ("origin", "s", "m", 3, "g")], "role string, source string, stream string, seq long, hash string")
     assert {r.problem for r in trust.trust_problems(pins, heads).collect()} == {"head conflict"}
     bad = pins.unionByName(frame(spark, [("origin", "s", "m", "a", 5, 6, "ACTIVE")], schema))
@@ -71,7 +130,11 @@ def test_trust(spark):
 
 
 def test_validation(spark):
-    rows = [("RunClosed", {"kind": "string", "run": "string", "outcome": "string"}, [1, 2]), ("StepOpened", {"kind": "string", "run": "string", "step": "string"}, [2, 1]), ("Other", {"kind": "string"}, [1, 1])]
+    rows = [
+        ("RunClosed", {"kind": "string", "run": "string", "outcome": "string"}, [1, 2]),
+        ("StepOpened", {"kind": "string", "run": "string", "step": "string"}, [2, 1]),
+        ("Other", {"kind": "string"}, [1, 1]),
+    ]
     df = frame(spark, rows, "kind string, fields map<string,string>, items array<int>")
     fields = validate._by_kind(F.col("kind"), F.col("fields"), validate.EVENT_DATA)
     out = validate.violations(df, {"fields": fields, "order": validate.sorted_unique(F.col("items"))}, "kind")
@@ -124,7 +187,10 @@ def test_objects_are_adopted_or_refused(spark):
     with pytest.raises(tables.ObjectConflict):
         tables.write_objects(docs.withColumn("digest", F.lit("0" * 64)), f"{root}/objects")
     first = back.first().digest
-    spark.createDataFrame([(first, bytearray(b"other"), first[:2])], "digest string, content binary, prefix string").write.partitionBy("prefix").mode("append").parquet(f"{root}/objects")
+    spark.createDataFrame(
+        [(first, bytearray(b"other"), first[:2])],
+        "digest string, content binary, prefix string",
+    ).write.partitionBy("prefix").mode("append").parquet(f"{root}/objects")
     with pytest.raises(tables.ObjectConflict):
         tables.write_objects(docs, f"{root}/objects")
 
@@ -137,20 +203,31 @@ def test_batches_commit_with_evidence_and_audit(spark):
     root = tempfile.mkdtemp(prefix="chainloom-test-")
     b = histories.bundles_of(spark.createDataFrame([(i, 35) for i in range(1, 9)], "event_id long, user_id long"))
     first, whole = b.events.where("seq <= 4"), b.events
-    keys, sources = b.keys.select("id", "public"), b.sources.select("id", "namespace", "profile")
-    commit = lambda events, expected: store.commit_batch(spark, root, "w1", events, keys, sources, expected, "auditor")
-    assert commit(first, 0) == (1, {"added": 4, "duplicates": 0, "conflicts": 0})
-    assert commit(whole, 1) == (2, {"added": 4, "duplicates": 4, "conflicts": 0})
+    keys = b.keys.select("id", "public")
+    commit = lambda events, expected: store.commit_batch(spark, root, "w1", events, keys, expected, "auditor")
+    source = {"id": "src1", "namespace": "fixture", "profile": "proof-evidence/1"}
+    assert store.init_workspace(spark, root, "w1", "auditor") == 0
+    assert store.register_source(spark, root, "w1", "auditor", 0, source) == 1 and store.register_source(spark, root, "w1", "auditor", 0, source) == 1
+    with pytest.raises(tables.ObjectConflict):
+        store.register_source(spark, root, "w1", "auditor", 1, source | {"namespace": "other"})
+    assert commit(first, 1) == (2, {"added": 4, "duplicates": 0, "conflicts": 0})
+    assert commit(whole, 2) == (3, {"added": 4, "duplicates": 4, "conflicts": 0})
     with pytest.raises(tables.RevisionConflict):
-        commit(first, 1)
+        commit(first, 2)
     log = tables.published(spark, root, "audit").withColumn("workspace", F.lit("w1"))
-    assert store.audit_head(log).first().seq == 2 and store.audit_prefix(log, 1).count() == 1
-    assert audit.audit_chain(log).where("code <> 'AUDIT_BINDING_MISMATCH'").count() == 0  # it has no first entry of its own
+    assert store.audit_head(log).first().seq == 4 and store.audit_prefix(log, 2).count() == 2
+    assert audit.audit_chain(log).count() == 0
+    assert {r.seq for r in audit.audit_semantics(log).collect()} == {3, 4}  # nothing was staged before these commits
     rows = tables.published(spark, root, "revisions").withColumn("workspace", F.lit("w1"))
     assert {r.code for r in audit.audit_binding(rows, log).collect()} == {"OK"}
-    assert verify.signed(tables.published(spark, root, "audit"), keys.withColumn("bundle", F.lit("w1")), "audit", verify.digests.TAGS).where("signature_code <> 'OK'").count() == 0
+    assert verify.signed(
+        tables.published(spark, root, "audit"),
+        keys.withColumn("bundle", F.lit("w1")),
+        "audit",
+        verify.digests.TAGS,
+    ).where("signature_code <> 'OK'").count() == 0
     events = tables.published(spark, root, "events")
-    assert events.count() == 8 and store.lookup(rows, revision=2).first().n_events == 8
+    assert events.count() == 8 and store.lookup(rows, revision=3).first().n_events == 8
     parents, objects = store.exploded(events.unionByName(events))
     assert parents.count() == events.select(F.explode("parents")).count() and objects.count() == events.select(F.explode("objects")).count() > 0
     assert evidence.used_keys(events, tables.published(spark, root, "audit")).count() == 2
@@ -163,7 +240,7 @@ def test_batches_commit_with_evidence_and_audit(spark):
     restored = tempfile.mkdtemp(prefix="chainloom-test-")
     inventory.backup(spark, root, f"{restored}/copy")
     assert inventory.restore(spark, f"{restored}/copy", f"{restored}/back") > 5
-    assert tables.latest_revision(spark, f"{restored}/back") == 2 and tables.published(spark, f"{restored}/back", "events").count() == 8
+    assert tables.latest_revision(spark, f"{restored}/back") == 4 and tables.published(spark, f"{restored}/back", "events").count() == 8
     import pathlib
 
     damaged = next(p for p in pathlib.Path(f"{restored}/copy/files").rglob("*.parquet"))
@@ -180,7 +257,10 @@ def test_streaming_replay_equals_batch(spark):
     for k in range(4):  # every part has holes that later parts fill
         parts.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{root}/in/part={k}")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
-    q = streaming_replay(source).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").start()
+    q = streaming_replay(source).writeStream.format("parquet").option(
+        "checkpointLocation",
+        f"{root}/state",
+    ).option("path", f"{root}/out").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     got = {(r.stream, r.seq): r.code for r in spark.read.parquet(f"{root}/out").collect()}
@@ -191,12 +271,21 @@ def test_streaming_replay_equals_batch(spark):
 def test_a_fork_blocks_what_follows_in_a_stream(spark):
     root = tempfile.mkdtemp(prefix="chainloom-test-")
     event = lambda seq, h, kind: ("s", "m", seq, h, kind, "r", None, None, None, None)
-    parts = [[event(1, "a", "RunOpened")], [event(3, "c", "StepOpened"), event(1, "a", "RunOpened")], [event(2, "b", "CorrectionNoted")], [event(2, "x", "CorrectionNoted"), event(4, "d", "CorrectionNoted")], [event(2, "x", "CorrectionNoted")]]
+    parts = [
+        [event(1, "a", "RunOpened")],
+        [event(3, "c", "StepOpened"), event(1, "a", "RunOpened")],
+        [event(2, "b", "CorrectionNoted")],
+        [event(2, "x", "CorrectionNoted"), event(4, "d", "CorrectionNoted")],
+        [event(2, "x", "CorrectionNoted")],
+    ]
     schema = "source string, stream string, seq long, hash string, kind string, run string, step string, outcome string, observation string, delegation string"
     for k, rows in enumerate(parts):
         frame(spark, rows, schema).coalesce(1).write.parquet(f"{root}/in/part={k}")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
-    q = streaming_replay(source).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").start()
+    q = streaming_replay(source).writeStream.format("parquet").option(
+        "checkpointLocation",
+        f"{root}/state",
+    ).option("path", f"{root}/out").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     got = sorted((r.seq, r.hash, r.code) for r in spark.read.parquet(f"{root}/out").collect())
@@ -207,11 +296,24 @@ def test_stages_expire_in_a_stream(spark):
     from chainloom.streaming.ordered_replay import stage_expiry_stream
 
     root = tempfile.mkdtemp(prefix="chainloom-test-")
-    rows = [("t1", "2024-01-01 00:00:00", "STAGED"), ("t1", "2024-01-01 00:05:00", "COMMITTED"), ("t2", "2024-01-01 00:01:00", "STAGED"), ("t9", "2024-01-01 03:00:00", "STAGED"), ("t9", "2024-01-01 06:00:00", "STAGED")]
+    rows = [
+        ("t1", "2024-01-01 00:00:00", "STAGED"),
+        ("t1", "2024-01-01 00:05:00", "COMMITTED"),
+        ("t2", "2024-01-01 00:01:00", "STAGED"),
+        ("t9", "2024-01-01 03:00:00", "STAGED"),
+        ("t9", "2024-01-01 06:00:00", "STAGED"),
+    ]
     for k, r in enumerate(rows):
-        frame(spark, [r], "stage string, at string, kind string").selectExpr("stage", "timestamp(at) AS ts", "kind").coalesce(1).write.parquet(f"{root}/in/part={k}")
+        frame(
+            spark,
+            [r],
+            "stage string, at string, kind string",
+        ).selectExpr("stage", "timestamp(at) AS ts", "kind").coalesce(1).write.parquet(f"{root}/in/part={k}")
     source = spark.readStream.schema("stage string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
-    q = stage_expiry_stream(source).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").start()
+    q = stage_expiry_stream(source).writeStream.format("parquet").option(
+        "checkpointLocation",
+        f"{root}/state",
+    ).option("path", f"{root}/out").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     assert {r.stage for r in spark.read.parquet(f"{root}/out").collect()} == {"t2", "t9"}
@@ -262,8 +364,17 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
 
 def test_audit_of_a_good_log(spark):
-    rows = [("w", 1, ZERO, "a", "WorkspaceCreated", 0, None, None), ("w", 2, "a", "b", "SourceRegistered", 1, None, "s"), ("w", 3, "b", "c", "ImportStaged", None, "t", None), ("w", 4, "c", "d", "ImportCommitted", 2, "t", None)]
-    log = frame(spark, rows, "workspace string, seq long, prev string, hash string, kind string, revision long, stage string, source_id string").withColumn("evidence", F.lit("e"))
+    rows = [
+        ("w", 1, ZERO, "a", "WorkspaceCreated", 0, None, None),
+        ("w", 2, "a", "b", "SourceRegistered", 1, None, "s"),
+        ("w", 3, "b", "c", "ImportStaged", None, "t", None),
+        ("w", 4, "c", "d", "ImportCommitted", 2, "t", None),
+    ]
+    log = frame(
+        spark,
+        rows,
+        "workspace string, seq long, prev string, hash string, kind string, revision long, stage string, source_id string",
+    ).withColumn("evidence", F.lit("e"))
     assert audit.audit_chain(log).count() == 0 and audit.audit_semantics(log).count() == 0
     twice = log.unionByName(log.where("seq = 4").withColumn("seq", F.lit(5).cast("long")))
     assert {r.reason for r in audit.audit_semantics(twice).collect()} == {"stage not open", "revision"}
