@@ -48,7 +48,14 @@ def unescape(text: Column) -> Column:
 def fold(log: DataFrame) -> DataFrame:
     """Final messages: conv_id, message, role, text."""
     placed = F.col("kind").isin("delta", "edit", "regenerate") & F.col("seq").isNotNull() & F.col("message").isNotNull()
-    event = log.where(placed).select("conv_id", "seq", "kind", F.col("message").cast("long").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    event = log.where(placed).select(
+        "conv_id",
+        "seq",
+        "kind",
+        F.col("message").cast("long").alias("message"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     parts = F.collect_list(F.when(F.col("kind") != "regenerate", F.struct("seq", "kind", "text", "role")))
     last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
     own = event.groupBy("conv_id", "message").agg(F.array_sort(parts).alias("parts"), last("regenerate").alias("regenerated"), last("edit").alias("edited"))
@@ -57,7 +64,12 @@ def fold(log: DataFrame) -> DataFrame:
     own = own.withColumn("parts", F.filter("parts", lambda p: F.col("void").isNull() | (p["seq"] > F.col("void")))).where(F.size("parts") > 0)
     own = own.withColumn("from", F.array_max(F.filter("parts", lambda p: p["kind"] == "edit")))
     kept = F.filter("parts", lambda p: F.col("from").isNull() | (p >= F.col("from")))
-    return own.withColumn("parts", kept).select("conv_id", "message", F.element_at("parts", -1)["role"].alias("role"), F.concat_ws("", F.transform("parts", lambda p: p["text"])).alias("text"))
+    return own.withColumn("parts", kept).select(
+        "conv_id",
+        "message",
+        F.element_at("parts", -1)["role"].alias("role"),
+        F.concat_ws("", F.transform("parts", lambda p: p["text"])).alias("text"),
+    )
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -97,7 +109,12 @@ def conversation_log(conversations: DataFrame) -> DataFrame:
     replaced by an edit that holds the first half. Turns with equal numbers follow each other by
     role and text. Events stand in the order of a hash, as logs of many writers do."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    ).withColumn("message", F.row_number().over(order).cast("long"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
     event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
@@ -114,7 +131,12 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts are control strings."""
     text = f"{END}{START}assistant ok"
     conversations = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("int"), "role", "text")
-    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(text).alias("text"),
+    )
     return digests(render(fold(conversation_log(conversations.unionByName(own)))))
 
 

@@ -150,7 +150,10 @@ def coverages(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), string_column(docs, "text").alias("text")).where("text is not null")
     rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), string_column(benchmark, "text").alias("text")).where("text is not null").distinct()
+    items = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"),
+        string_column(benchmark, "text").alias("text"),
+    ).where("text is not null").distinct()
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n_blocks = -(-chars // BLOCK_CHARS) or 1
     out = None
@@ -175,7 +178,13 @@ def coverages(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
                     hits.append(one[1])
             at = pa.array(at, pa.int64())
             ids = [[k for k in x if k is not None] for x in hits]
-            columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(best, pa.float64()), pa.array([bool(x) for x in hits], pa.bool_()), pa.array(ids, pa.list_(pa.int64()))]
+            columns = [
+                batch.column(0).take(at),
+                batch.column(2).take(at),
+                pa.array(best, pa.float64()),
+                pa.array([bool(x) for x in hits], pa.bool_()),
+                pa.array(ids, pa.list_(pa.int64())),
+            ]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "coverage", "hit", "items"])
 
         part = map_batches(rows, run, "doc_id long, digest string, coverage double, hit boolean, items array<long>")
@@ -189,7 +198,11 @@ def _flags(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: flo
     """One row for each text that shares a seed: equal texts of an id are one. Flags are broadcast up to a bound of their rows and of all their item ids."""
     found = coverages(docs, benchmark, min_match, threshold)
     ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
-    flags = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("coverage").alias("coverage"), ids.alias("items"), F.max("hit").alias("hit"))
+    flags = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
+        F.max("coverage").alias("coverage"),
+        ids.alias("items"),
+        F.max("hit").alias("hit"),
+    )
     flags = written(flags, "flags")
     size = flags.agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("ids")).first()
     return F.broadcast(flags) if size.n + (size.ids or 0) <= BROADCAST_ROWS else flags
@@ -201,7 +214,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(string_column(docs, "text"), F.lit("")).cast("binary")).alias("digest"))
     out = rows.join(flags, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     items = F.coalesce("items", F.array().cast("array<bigint>"))
-    return out.select("doc_id", F.coalesce("hit", F.lit(False)).alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.size(items).cast("long").alias("n_items"), F.concat_ws(",", items.cast("array<string>")).alias("item_ids"))
+    return out.select(
+        "doc_id",
+        F.coalesce("hit", F.lit(False)).alias("contaminated"),
+        F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
+        F.size(items).cast("long").alias("n_items"),
+        F.concat_ws(",", items.cast("array<string>")).alias("item_ids"),
+    )
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:

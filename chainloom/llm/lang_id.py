@@ -126,11 +126,25 @@ def _gradient(x: np.ndarray, y: np.ndarray, weight: np.ndarray, net: Network) ->
     return [*grads, d_out.astype(np.float32)], loss
 
 
-def train(windows: np.ndarray, y: np.ndarray, labels: list[str], hidden: int = HIDDEN, epochs: int = 4, batch: int = 256, rate: float = 0.02, seed: int = 1) -> Network:
+def train(
+    windows: np.ndarray,
+    y: np.ndarray,
+    labels: list[str],
+    hidden: int = HIDDEN,
+    epochs: int = 4,
+    batch: int = 256,
+    rate: float = 0.02,
+    seed: int = 1,
+) -> Network:
     """windows (time, n) of bytes and PAD, y their label numbers. Adam with a falling rate."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.normal(size=shape) * 0.3).astype(np.float32)
-    net = Network([draw(257, 3 * hidden), draw(257, 3 * hidden)], [draw(3 * hidden, hidden), draw(3 * hidden, hidden)], draw(len(labels), 2 * hidden + 1), labels)
+    net = Network(
+        [draw(257, 3 * hidden), draw(257, 3 * hidden)],
+        [draw(3 * hidden, hidden), draw(3 * hidden, hidden)],
+        draw(len(labels), 2 * hidden + 1),
+        labels,
+    )
     for w in net.inputs:
         w[PAD] = 0
         w[PAD, :hidden] = 60  # the update gate is 1
@@ -203,7 +217,11 @@ def language_id(docs: DataFrame, sample_rows: int = 4000, per_row: int = 3) -> D
     """doc_id, held_out, lang_pred, score."""
     net = fit(docs, sample_rows, per_row)
     text = string_column(docs, "text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
+        F.when(text.rlike(r"\p{L}"), text).alias("text"),
+    )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
@@ -212,7 +230,10 @@ def language_id(docs: DataFrame, sample_rows: int = 4000, per_row: int = 3) -> D
         best = p.argmax(1)
         lang = [net.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
         score = np.where(known, np.clip(p.max(1), 0, 1), 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+            ["doc_id", "held_out", "lang_pred", "score"],
+        )
 
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 

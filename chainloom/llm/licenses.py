@@ -86,7 +86,11 @@ def places(words: Column, phrase: str) -> Column:
     """Starts (words from 0) at which the phrase's words stand consecutively in an array of words."""
     parts = phrase.split()
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts), F.lit(0)))
-    hit = lambda i: F.reduce(F.array(*[F.try_element_at(words, i + k + 1) == F.lit(p) for k, p in enumerate(parts)]), F.lit(True), lambda a, b: a & F.coalesce(b, F.lit(False)))
+    hit = lambda i: F.reduce(
+        F.array(*[F.try_element_at(words, i + k + 1) == F.lit(p) for k, p in enumerate(parts)]),
+        F.lit(True),
+        lambda a, b: a & F.coalesce(b, F.lit(False)),
+    )
     return F.filter(starts, hit)
 
 
@@ -101,7 +105,15 @@ def template_words(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     out = []
     for k, (label, s) in enumerate(sets):
         need = -int(-threshold * len(s) // 1)
-        out.append({"template": k, "label": label, "words": sorted(s, key=lambda w: (count.get(w, 0), w)), "need": need, "span": run_length(templates[k][1], threshold)})
+        out.append(
+            {
+                "template": k,
+                "label": label,
+                "words": sorted(s, key=lambda w: (count.get(w, 0), w)),
+                "need": need,
+                "span": run_length(templates[k][1], threshold),
+            }
+        )
     return out
 
 
@@ -115,23 +127,53 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(string_column(docs, "text"), F.lit("")).alias("text"))
     found = template_words(docs, templates, threshold)
-    heads = [(t["words"][i], t["template"], t["label"], i + 1, len(t["words"]), t["need"], t["span"], t["words"]) for t in found for i in range(len(t["words"]) - t["need"] + 1)]
+    heads = [
+        (
+            t["words"][i],
+            t["template"],
+            t["label"],
+            i + 1,
+            len(t["words"]),
+            t["need"],
+            t["span"],
+            t["words"],
+        ) for t in found for i in range(len(t["words"]) - t["need"] + 1)
+    ]
     prefix = F.array(*map(F.lit, sorted({h[0] for h in heads})))
     heads = spark.createDataFrame(heads, "word string, template int, label string, place int, size int, need int, span int, words array<string>")
 
     base = F.when(_any_phrase(F.col("text")), _words(F.col("text")))
-    rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.regexp_count("text", F.lit(f"{WORD}+")).cast("long").alias("n_words"), base.alias("base"), F.when(F.arrays_overlap(_loose(F.col("text")), prefix), F.col("text")).alias("text"))
+    rows = docs.select(
+        "doc_id",
+        F.md5(F.col("text").cast("binary")).alias("digest"),
+        F.regexp_count("text", F.lit(f"{WORD}+")).cast("long").alias("n_words"),
+        base.alias("base"),
+        F.when(F.arrays_overlap(_loose(F.col("text")), prefix), F.col("text")).alias("text"),
+    )
     starts = [places(F.col("base"), p) for p, _ in PHRASES]
     rows = rows.withColumns({f"at{k}": F.coalesce(s, F.array().cast("array<int>")) for k, s in enumerate(starts)})
     every = F.concat(*[F.col(f"at{k}") for k in range(len(PHRASES))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
-    rows = rows.select("doc_id", "digest", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), "text")
+    rows = rows.select(
+        "doc_id",
+        "digest",
+        "n_words",
+        F.size(every).cast("long").alias("n_base"),
+        F.array_min(every).cast("long").alias("first_word"),
+        F.array_max(every).cast("long").alias("last_word"),
+        F.array_sort(F.array_distinct(labels)).alias("base"),
+        "text",
+    )
     rows = written(rows, "licenses")
 
     block = lambda wrapped: lambda x: F.struct(x.alias("block"), F.lit(wrapped).alias("wrapped"))
     lines = F.transform(F.split("text", "\n"), block(False))
     paragraphs = F.transform(F.filter(F.split("text", f"\n{GAP}*\n"), lambda x: x.contains("\n")), block(True))
-    blocks = rows.where("text is not null").select("doc_id", "digest", F.inline(F.concat(lines, paragraphs))).where(F.arrays_overlap(_loose(F.col("block")), prefix))
+    blocks = rows.where("text is not null").select(
+        "doc_id",
+        "digest",
+        F.inline(F.concat(lines, paragraphs)),
+    ).where(F.arrays_overlap(_loose(F.col("block")), prefix))
     blocks = blocks.select("doc_id", "digest", "wrapped", _words(F.col("block")).alias("said"))
     blocks = blocks.withColumn("held", F.array_distinct("said")).withColumn("said", F.when(F.col("wrapped"), F.col("said")))
     pairs = blocks.withColumn("word", F.explode(F.array_intersect("held", prefix))).join(F.broadcast(heads), "word")
@@ -142,10 +184,22 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     begins = F.filter(F.sequence(F.lit(1), F.size("said")), lambda i: F.array_contains("words", F.element_at("said", i)))
     runs = F.transform(begins, lambda i: F.size(F.array_intersect(F.slice("said", i, F.col("span")), F.col("words"))))
     pairs = pairs.withColumn("shared", F.when(F.col("wrapped"), F.array_max(runs)).otherwise(F.col("shared"))).where("shared >= need")
-    met = pairs.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("label").alias("met"), F.max(F.col("shared") / F.col("size")).alias("score"))
+    met = pairs.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
+        F.collect_set("label").alias("met"),
+        F.max(F.col("shared") / F.col("size")).alias("score"),
+    )
     out = rows.drop("text").join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     everything = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("met", F.array().cast("array<string>")))))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", everything).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.concat_ws(",", "base").alias("base_labels"),
+        F.concat_ws(",", everything).alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -158,7 +212,10 @@ def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     low = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
     phrases = ", ".join(f"({quote(label)}, [{', '.join(map(quote, p.split()))}])" for p, label in PHRASES)
-    templates = ", ".join(f"({k}, {quote(label)}, [{', '.join(map(quote, sorted(set(_split(text)))))}], {-int(-THRESHOLD * len(set(_split(text))) // 1)})" for k, (label, text) in enumerate(TEMPLATES))
+    templates = ", ".join(
+        f"({k}, {quote(label)}, [{', '.join(map(quote, sorted(set(_split(text)))))}], {-int(-THRESHOLD * len(set(_split(text))) // 1)})" for k,
+        (label, text) in enumerate(TEMPLATES)
+    )
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 told AS (SELECT r, doc_id, text, regexp_extract_all({low('text')}, '{word}+') AS w FROM docs),

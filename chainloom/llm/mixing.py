@@ -60,7 +60,13 @@ def text_digest(docs: DataFrame) -> Column:
 def _sized(docs: DataFrame, size: Column, digest: Column, seed: int) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(string_column(docs, "doc_id"), digest, F.lit(""))).cast("binary"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), string_column(docs, "source").alias("source"), string_column(docs, "doc_id").alias("id"), size.alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, 4))
+    return docs.select(
+        row.alias("row"),
+        string_column(docs, "source").alias("source"),
+        string_column(docs, "doc_id").alias("id"),
+        size.alias("size"),
+        key.alias("key"),
+    ).withColumn("bucket", F.substring("key", 1, 4))
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -98,7 +104,15 @@ def with_copies(docs: DataFrame, size: Column, digest: Column, weights: tuple[in
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken. Word counts are taken once and written."""
-    sizes = written(docs.select(F.col("doc_id"), string_column(docs, "source").alias("source"), n_words(string_column(docs, "text")).alias("n"), text_digest(docs).alias("digest")), "mix-sizes")
+    sizes = written(
+        docs.select(
+            F.col("doc_id"),
+            string_column(docs, "source").alias("source"),
+            n_words(string_column(docs, "text")).alias("n"),
+            text_digest(docs).alias("digest"),
+        ),
+        "mix-sizes",
+    )
     out = with_copies(sizes, F.col("n"), F.col("digest"))
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

@@ -45,7 +45,8 @@ TREES, COORDS, BYTES, BRANCHES = 10, 40, 96, 2
 SMALL, PIVOTS = 2000, 32
 #: Nodes have PIVOTS pivots from MAX_LEVELS on, and are no more branched from LAST_LEVEL on.
 MAX_LEVELS, LAST_LEVEL = 6, 30
-#: Equal coordinates from which a pair is confirmed on full sets, of the COORDS and of all. A pair at the threshold has 30 and 102 in the mean, and fewer than these with probabilities of about 1e-6 and 3e-6.
+#: Equal coordinates from which a pair is confirmed on full sets, of the COORDS and of all. A pair at the threshold has
+#: 30 and 102 in the mean, and fewer than these with probabilities of about 1e-6 and 3e-6.
 LOOSE, LIKELY = 16, 79
 #: Links that one task merges (32 bytes each); more are merged by joins, to the same result.
 TASK_EDGES = 500_000
@@ -95,7 +96,10 @@ def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
             n.append(len(own))
             key.append(_key(own) if len(own) else None)
             sig.append(_signature(own) if len(own) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "class", "sig"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+            ["doc_id", "n_shingles", "class", "sig"],
+        )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), string_column(docs, "text").alias("text"))
     return map_batches(rows, run, "doc_id long, n_shingles long, class binary, sig binary")
@@ -223,7 +227,10 @@ def confirm(pairs: DataFrame, items: DataFrame) -> DataFrame:
         sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3)]
         return batch.select(["a", "b"]).filter(pa.array([_similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
-    full = pairs.join(items.select(F.col("class").alias("a"), F.col("items").alias("left")), "a").join(items.select(F.col("class").alias("b"), F.col("items").alias("right")), "b")
+    full = pairs.join(items.select(F.col("class").alias("a"), F.col("items").alias("left")), "a").join(
+        items.select(F.col("class").alias("b"), F.col("items").alias("right")),
+        "b",
+    )
     return map_batches(full.select("a", "b", "left", "right"), similar, "a binary, b binary")
 
 
@@ -262,7 +269,9 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
+        small = large.join(small_low, "u").select(
+            F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")
+        )
         after = settled(small.select(F.col("e.u").alias("b"), F.col("e.v").alias("a")).where("a <> b").distinct().select("a", "b"), "near-edges")
         sides = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if sides(after) == sides(edges):
@@ -352,7 +361,11 @@ class _Links:
     def label(self, rows: DataFrame) -> DataFrame:
         """rows with the root of their class as label, of nodes with more than one label; n: their size."""
         rows = rows.join(self.roots, "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
-        size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node", "n")
+        size = rows.groupBy("node").agg(
+            F.count("*").alias("n"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+        ).where("low <> high").select("node", "n")
         return rows.join(size, "node")
 
 
@@ -369,7 +382,11 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int = WORDS) -> Data
         known.add(known.stars(live, pivots))
         open_ = known.label(live.drop("label"))
         known.add_from_nodes(open_.where(F.col("n") <= SMALL))
-        rest = known.label(live.drop("label")).where(F.col("n") > SMALL).join(pivots.select("node", F.col("pivot").alias("class")), ["node", "class"], "left_anti")
+        rest = known.label(live.drop("label")).where(F.col("n") > SMALL).join(
+            pivots.select("node", F.col("pivot").alias("class")),
+            ["node", "class"],
+            "left_anti",
+        )
         rest = settled(rest.select("node", "class", "sig"), "near-rest")
         discard(live, pivots)
         if not rest.head(1):
@@ -386,7 +403,11 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int = WORDS) -> Data
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     signed = settled(signatures(docs, k), "near-signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(
+        F.min("doc_id").alias("first_id"),
+        F.max("sig").alias("sig"),
+        F.max("n_shingles").alias("n_shingles"),
+    )
     classes = settled(classes, "near-classes")
     roots = similar_classes(docs, classes, k)
     ids = classes.select("class", "first_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -395,7 +416,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     member = ids.join(F.broadcast(first) if few else first, "root").select("class", "component")
     out = signed.select("doc_id", "n_shingles", "class").join(member, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -426,9 +451,17 @@ def kept_rows(docs: DataFrame, k: int = WORDS) -> DataFrame:
     ids = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = settled(ids.where("not kept").select("_id"), "near-gone")
     few = gone.count() <= BROADCAST_IDS
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), string_column(docs, "text").alias("own_text"))
+    row = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("own_id"),
+        string_column(docs, "text").alias("own_text"),
+    )
     out = row.join(F.broadcast(gone) if few else gone, F.col("own_id") == F.col("_id"), "left_anti")
     if ids.where("kept and n > 1").head(1):
-        once = out.where("own_id is not null").select("row", "own_id", F.md5(F.coalesce(F.col("own_text"), F.lit("")).cast("binary")).alias("digest")).dropDuplicates(["own_id", "digest"])
+        once = out.where("own_id is not null").select(
+            "row",
+            "own_id",
+            F.md5(F.coalesce(F.col("own_text"), F.lit("")).cast("binary")).alias("digest"),
+        ).dropDuplicates(["own_id", "digest"])
         out = once.select("row").unionByName(out.where("own_id is null").select("row"))
     return out.select("row.*")

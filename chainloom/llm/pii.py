@@ -60,7 +60,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Entered at the start of a token only and never given back, so that work is linear in any text.
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
-_NAMED = re.compile(r"(?i)(?:token|secret|password|passwd|credential|(?:api|access|private)[ _-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9+/_-]{12,128})")
+_NAMED = re.compile(
+    r"(?i)(?:token|secret|password|passwd|credential|(?:api|access|private)[ _-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9+/_-]{12,128})"
+)
 _BEFORE = re.compile(r"([A-Za-z_-]{1,24})?[\"']?\s{0,4}([:=])?\s{0,4}[\"'(\[]?$")
 _INSIDE = re.compile(r"[:=][\"']?([A-Za-z0-9+/_-]+)")
 _SECRET_WORD = re.compile(r"(?i)token|secret|passw|credential|key$")
@@ -481,7 +483,14 @@ def find_personal_data(docs: DataFrame, sample_rows: int = 3000) -> DataFrame:
                 if base:
                     sha[i] = hashlib.sha256(_told(base).encode()).hexdigest()
                 told[i], more[i] = _told(base + added), len(added)
-        columns = [batch.column(0), *map(pa.array, counts), pa.array(sha, pa.string()), pa.array(told, pa.string()), pa.array(more), pa.array([x != "" for x in told], pa.bool_())]
+        columns = [
+            batch.column(0),
+            *map(pa.array, counts),
+            pa.array(sha, pa.string()),
+            pa.array(told, pa.string()),
+            pa.array(more),
+            pa.array([x != "" for x in told], pa.bool_()),
+        ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
 
     return map_batches(rows, run, FOUND)

@@ -19,7 +19,18 @@ from .token_store import op5_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_chat_format": op2_chat_format, "op3_personal_data": op3_personal_data, "op4_near_dedup": op4_near_dedup, "op5_token_output": op5_token_output, "op6_license_scan": op6_license_scan, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_chat_format": op2_chat_format,
+        "op3_personal_data": op3_personal_data,
+        "op4_near_dedup": op4_near_dedup,
+        "op5_token_output": op5_token_output,
+        "op6_license_scan": op6_license_scan,
+        "op7_mixing": op7_mixing,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_token_counts": op9_token_counts,
+        "op10_decontaminate": op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -119,7 +119,11 @@ def count_tokens(docs: DataFrame, edits: Column, path: str | None = None) -> Dat
     """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded (for the edits). edits: an
     array of structs (start, end, replacement) for each row, applied in order."""
     path = path or tokenizer_path()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), string_column(docs, "text").alias("text"), edits.cast("array<struct<start:bigint,end:bigint,replacement:string>>").alias("edits"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        string_column(docs, "text").alias("text"),
+        edits.cast("array<struct<start:bigint,end:bigint,replacement:string>>").alias("edits"),
+    )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, out = encoder_of(path), []
@@ -130,7 +134,10 @@ def count_tokens(docs: DataFrame, edits: Column, path: str | None = None) -> Dat
                 if e is not None and e["start"] is not None and e["end"] is not None:
                     tree.edit(e["start"], e["end"], e["replacement"] or "")
             out.append((before, tree.n_tokens, tree.chars[1], tree.encoded))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(4))], ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(4))],
+            ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"],
+        )
 
     return map_batches(rows, run, "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long", f"encoder {path}")
 
@@ -145,7 +152,11 @@ def sample_edits(n: int = EDITS) -> Column:
         h = lambda i: F.xxhash64("doc_id", F.lit(10 * k + i))
         start = F.pmod(h(0), size + 1)
         put = F.substring(text, (F.pmod(h(2), size + 1) + 1).cast("int"), F.pmod(h(3), F.lit(40)).cast("int"))
-        return F.struct(start.alias("start"), (start + F.pmod(h(1), F.lit(60))).alias("end"), F.when(F.pmod(h(4), F.lit(4)) > 0, put).otherwise("").alias("replacement"))
+        return F.struct(
+            start.alias("start"),
+            (start + F.pmod(h(1), F.lit(60))).alias("end"),
+            F.when(F.pmod(h(4), F.lit(4)) > 0, put).otherwise("").alias("replacement"),
+        )
 
     return F.array(*[one(k) for k in range(n)])
 

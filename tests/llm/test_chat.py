@@ -43,7 +43,15 @@ def test_random_logs_in_any_order(spark):
     rng = random.Random(2)
     logs = {}
     for conv in range(60):
-        logs[conv] = [(seq, rng.choice(["delta", "delta", "edit", "regenerate", "other"]), rng.randrange(1, 5), rng.choice(["user", "assistant"]), rng.choice(["a", "b<|", ""])) for seq in range(rng.randrange(1, 25))]
+        logs[conv] = [
+            (
+                seq,
+                rng.choice(["delta", "delta", "edit", "regenerate", "other"]),
+                rng.randrange(1, 5),
+                rng.choice(["user", "assistant"]),
+                rng.choice(["a", "b<|", ""]),
+            ) for seq in range(rng.randrange(1, 25))
+        ]
     rows = [(c, *e, "clash") for c, events in logs.items() for e in events]
     rng.shuffle(rows)
     out = chat.render(chat.fold(spark.createDataFrame(rows, SCHEMA)))
@@ -58,7 +66,14 @@ def test_the_registered_log_has_every_kind(spark):
 
 
 def test_table_round_trip(spark):
-    rows = [(1, 0, "user", None, 1), (1, 1, "assistant", "é<|im_sep|>" * 3000, 1), (1, 1, "assistant", "", 1), (1, 1, "assistant", "", 1), (2, 0, None, "x", 1), (None, None, "assistant", "😀y", 1)]
+    rows = [
+        (1, 0, "user", None, 1),
+        (1, 1, "assistant", "é<|im_sep|>" * 3000, 1),
+        (1, 1, "assistant", "", 1),
+        (1, 1, "assistant", "", 1),
+        (2, 0, None, "x", 1),
+        (None, None, "assistant", "😀y", 1),
+    ]
     table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, seq int")
     got = {r.conv_id: r for r in chat.digests(chat.render(chat.fold(chat.conversation_log(table)))).collect()}
     for conv in (1, 2, None):

@@ -89,7 +89,9 @@ def test_edges(spark, odd_docs):
     words = [f"q{i}" for i in range(40)]
     text = " ".join(words)
     turned = " ".join([*words[20:], "and", *words[:20]])
-    docs = odd_docs.unionByName(spark.createDataFrame([(900, turned, None, None, 1, "k", 0.1), (901, " ".join(words[:15]), None, None, 1, "k", 0.1)], odd_docs.schema))
+    docs = odd_docs.unionByName(
+        spark.createDataFrame([(900, turned, None, None, 1, "k", 0.1), (901, " ".join(words[:15]), None, None, 1, "k", 0.1)], odd_docs.schema)
+    )
     items = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "a a", "x"), (None, text, "y")], "item_id long, text string, coverage string")
     rows = decontam.decontaminate(docs, items).collect()
     assert len(rows) == docs.count()

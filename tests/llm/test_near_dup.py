@@ -28,12 +28,22 @@ def brute(rows):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             first[find(i)] = min(d, first.get(find(i), d))
-    return sorted((d if d is not None else -1, len(sets[i]), first[find(i)] if d is not None else -1, d is None or d == first[find(i)]) for i, (d, _) in enumerate(rows))
+    return sorted(
+        (d if d is not None else -1, len(sets[i]), first[find(i)] if d is not None else -1, d is None or d == first[find(i)]) for i,
+        (d, _) in enumerate(rows)
+    )
 
 
 def got(spark, rows):
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, component_id int, class string")
-    return sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1, r.kept) for r in near_dup.near_duplicates(df).collect())
+    return sorted(
+        (
+            r.doc_id if r.doc_id is not None else -1,
+            r.n_shingles,
+            r.component_id if r.component_id is not None else -1,
+            r.kept,
+        ) for r in near_dup.near_duplicates(df).collect()
+    )
 
 
 def test_edges(spark, odd_docs):

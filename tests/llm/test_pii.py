@@ -121,7 +121,14 @@ def test_query_equals_slow_inference(spark, data):
                 a, b = g.span[i]
                 if not any(s < b and a < e for _, s, e in base):
                     kind = int(p[i].argmax()) - 1
-                    core = re.search(r"[:=][\"']?([A-Za-z0-9+/_-]+)" if kind == 4 and re.search("[:=][\"']?[A-Za-z0-9+/_-]", text[a:b]) else r"(\+?[^\W_].*[^\W_]|[^\W_])", text[a:b], re.S)
+                    core = re.search(
+                        r"[:=][\"']?([A-Za-z0-9+/_-]+)" if kind == 4 and re.search(
+                            "[:=][\"']?[A-Za-z0-9+/_-]",
+                            text[a:b],
+                        ) else r"(\+?[^\W_].*[^\W_]|[^\W_])",
+                        text[a:b],
+                        re.S,
+                    )
                     want.add((kind, a + core.start(1), a + core.end(1)))
         got = {(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)}
         assert got == want

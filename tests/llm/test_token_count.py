@@ -44,7 +44,10 @@ def test_query_matches_brute_force(spark, data):
 
 
 def test_edges(spark, odd_docs):
-    edits = F.when(F.col("doc_id") > 5, F.array(F.struct(F.lit(0).alias("start"), F.lit(10**9).alias("end"), F.lit(None).cast("string").alias("replacement")))).otherwise(F.lit(None))
+    edits = F.when(
+        F.col("doc_id") > 5,
+        F.array(F.struct(F.lit(0).alias("start"), F.lit(10**9).alias("end"), F.lit(None).cast("string").alias("replacement"))),
+    ).otherwise(F.lit(None))
     rows = token_count.count_tokens(odd_docs, edits).collect()
     assert len(rows) == odd_docs.count()
     assert all(r.n_tokens_edited == 0 for r in rows if r.doc_id and r.doc_id > 5)
