@@ -410,10 +410,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     )
     classes = settled(classes, "near-classes")
     roots = similar_classes(docs, classes, k)
-    ids = classes.select("class", "first_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    first = settled(ids.groupBy("root").agg(F.min("first_id").alias("component")), "near-components")
+    # only classes that are linked have another component than their own first id
+    linked = classes.select("class", "first_id").join(roots, "class")
+    first = settled(linked.groupBy("root").agg(F.min("first_id").alias("component")), "near-components")
     few = first.count() <= BROADCAST_IDS
-    member = ids.join(F.broadcast(first) if few else first, "root").select("class", "component")
+    member = linked.join(F.broadcast(first) if few else first, "root").select("class", "component")
+    alone = classes.join(roots, "class", "left_anti").select("class", F.col("first_id").alias("component"))
+    member = member.unionByName(alone)
     out = signed.select("doc_id", "n_shingles", "class").join(member, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
