@@ -39,7 +39,7 @@ BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 19
 END_ID = 1
 #: Distinct pre-tokens in each generation of a worker's memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 CHUNKS = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
