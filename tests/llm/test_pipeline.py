@@ -58,3 +58,18 @@ def test_empty_table_and_null_rows(spark, data):
             rows = written(stage(spark, rows, data), "t")
             assert rows.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, rows, data).count() == rows.count()
+
+
+def test_clashing_columns_stay(spark, data):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, data, "documents").where("doc_id < 40")
+    names = ["row", "kept", "score", "label", "size", "node", "class", "digest", "_id", "coverage", "bucket"]
+    rows = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    want = {r.doc_id for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = written(stage(spark, rows, data), "t")
+        assert rows.columns == [*docs.columns, *names]
+        assert all([r[n] for n in names] == list(range(len(names))) and r.doc_id in want for r in rows.collect())
+    assert rows.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, data).count() == rows.count()
