@@ -378,3 +378,22 @@ def test_audit_of_a_good_log(spark):
     assert audit.audit_chain(log).count() == 0 and audit.audit_semantics(log).count() == 0
     twice = log.unionByName(log.where("seq = 4").withColumn("seq", F.lit(5).cast("long")))
     assert {r.reason for r in audit.audit_semantics(twice).collect()} == {"stage not open", "revision"}
+
+
+def test_evidence_tree_deepens_with_its_digests(spark, monkeypatch):
+    import hashlib
+
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    monkeypatch.setattr(inventory, "LEAF_DIGESTS", 1)  # 3,000 digests then need prefixes of four characters
+    parts = frame(spark, [("object", d) for d in digests + digests[:5]], "kind string, digest string")
+    level = {}
+    for d in sorted(digests):
+        level.setdefault(d[:4], []).append(f"object:{d}")
+    hashed = lambda parts: hashlib.sha256(b"evidence-tree\0" + ",".join(parts).encode()).hexdigest()
+    nodes = {p: hashed(x) for p, x in level.items()}
+    for depth in (2, 0):
+        up = {}
+        for p in sorted(nodes):
+            up.setdefault(p[:depth], []).append(nodes[p])
+        nodes = {p: hashed(x) for p, x in up.items()}
+    assert inventory.evidence_tree(parts).first().evidence == nodes[""]
