@@ -86,3 +86,17 @@ def test_edges(spark, odd_docs):
 
     typed = odd_docs.withColumn("text", F.col("text").cast("binary"))
     assert quality.kept_rows(typed, labels).schema == typed.schema and quality.kept_rows(typed, labels).count() == quality.kept_rows(odd_docs, labels).count()
+
+
+def test_all_labelled_rows_set_the_threshold(spark):
+    n = 10_000
+    rows = spark.range(n).selectExpr("id AS doc_id", "100L AS n_words", "500L AS word_chars", "IF(id % 100 = 0, 90L, id % 7) AS n_symbols", "0L AS n_dup_lines", "0L AS n_repeat_words", "3L AS n_upper")
+    labels = spark.range(n).selectExpr("id AS doc_id", "IF(id % 100 = 0, 0, 1) AS quality")
+    model = quality.fit(rows, labels)
+    frame = rows.toPandas()
+    score = model.forest.score(quality.features({k: frame[k].to_numpy() for k in quality.STATS + quality.RATES}))
+    assert abs(model.threshold - quality.calibrate(score, (frame["doc_id"] % 100 != 0).to_numpy())) < 2 / quality.LEVELS
+    few = quality.fit(rows, labels.where("doc_id % 100 = 0 or xxhash64(doc_id, 8) > 9000000000000000000"))
+    assert few.threshold != 0.65
+    counted = quality.fit(rows, labels.withColumn("quality", (labels["quality"] * 0).cast("int")))
+    assert counted.threshold == 0.65
