@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle, table
+from ..session import settle, spread, table
 
 ZERO = "0" * 64
 
@@ -60,7 +60,9 @@ def parents_of(clean: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The perturbed ledger of the events table, and its parents."""
-    clean = from_events(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
+    spread(events)
+    clean = from_events(events)
     ledger = perturbed(clean)
     return ledger, parents_of(clean, ledger)
 
@@ -68,6 +70,8 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The perturbed ledger, its parents and the clean ledger, for what reads them more than once: the events are scanned and
     numbered once, and clean ledger and parents stand in written tables."""
-    clean = settle(from_events(table(spark, sf_dir, "events")), "clean")
+    events = table(spark, sf_dir, "events")
+    spread(events)
+    clean = settle(from_events(events), "clean")
     ledger = perturbed(clean)
     return ledger, settle(parents_of(clean, ledger), "parents"), clean
