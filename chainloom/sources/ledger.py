@@ -75,3 +75,10 @@ def settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     clean = settle(from_events(events), "clean")
     ledger = perturbed(clean)
     return ledger, settle(parents_of(clean, ledger), "parents"), clean
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perturbed ledger over written events, for what reads it more than once and needs no parents."""
+    events = table(spark, sf_dir, "events")
+    spread(events)
+    return perturbed(settle(from_events(events), "clean"))
